@@ -41,7 +41,7 @@ PIECES_PER_BUCKET = 20_000
 # How the tokenizer cuts words.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _UNSURE = regex.compile(r"[\x00-\x1f\x7f-\xa0İɐ-\U0010ffff]")
-_CACHE_WORDS = 3_000_000
+_CACHE_WORDS = 500_000
 
 
 class WordEncoder:
