@@ -34,7 +34,11 @@ from skerry import workspace
 WHITE_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings of the stateful query; state is many small stores, so none may preallocate its files.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 #: Rows of (digest, keeper) that may be broadcast; some 100 bytes each, so 7 MB at most.
 BROADCAST_ROWS = 65_536
@@ -69,8 +73,9 @@ def _state(spark: SparkSession, intake: str, schema, files_per_trigger: int) ->
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         query = (
             seen.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
@@ -78,7 +83,8 @@ def _state(spark: SparkSession, intake: str, schema, files_per_trigger: int) ->
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     workspace.remove(spark, checkpoint)
     # Both columns only grow from batch to batch, so their maximum is the final state.
     return (
