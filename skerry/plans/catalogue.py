@@ -1,4 +1,560 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Every query runs over its whole tables.  Derived doubles are rounded to six places on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from skerry.functions import labels as answer_labels
+from skerry.functions import text as tx
+from skerry.operators import agreement, chunking, metrics, pooling, sampling, statistics, vector_search
+from skerry.schemas import VARIANTS
+from skerry.sources import pages as html_pages
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+QUERY_VECTORS = 50  # the search's stated query set: vectors with an identifier below
+NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+PARTS = {"baseline": (1, 64), "qr_only": (1, 32), "hq_only": (33, 32), "both": (17, 32)}
+"""Variants of the vector search: first coordinate and number of coordinates."""
+
+
+def register(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(name: str):
+    return F.round(F.col(name), 6).alias(name)
+
+
+# --- vector search and ranked-list metrics -------------------------------------------------------
+
+
+def _vector_hits(spark: SparkSession, sf_dir: str, first: int = 1, count: int = 64, k: int = 10, method=vector_search.topk_native) -> DataFrame:
+    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.slice("embedding", first, count).alias("vector"))
+    queries = vectors.filter(F.col("item_id") < QUERY_VECTORS).withColumnRenamed("item_id", "query_id")
+    return method(queries, vectors, k, exclude_self=True)
+
+
+def _label_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label")
+    left = rows.filter(F.col("vec_id") < QUERY_VECTORS).select(F.col("vec_id").alias("query_id"), "label")
+    return left.join(rows.withColumnRenamed("vec_id", "item_id"), "label").filter("query_id <> item_id").select("query_id", "item_id")
+
+
+def _hits_sql(name: str = "hits", first: int = 1, count: int = 64) -> str:
+    return f"""
+        {name}_v as (select vec_id, embedding[{first}:{first + count - 1}]::double[] as e, label from embeddings),
+        {name} as (
+            select q.vec_id as query_id, d.vec_id as item_id, list_cosine_similarity(q.e, d.e) as score,
+                   row_number() over (partition by q.vec_id order by list_cosine_similarity(q.e, d.e) desc, d.vec_id) as rank
+            from {name}_v q join {name}_v d on q.vec_id < {QUERY_VECTORS} and q.vec_id <> d.vec_id
+            qualify rank <= 10
+        )"""
+
+
+_GOLD_SQL = f"""
+        gold as (select q.vec_id as query_id, d.vec_id as item_id from embeddings q join embeddings d using (label) where q.vec_id < {QUERY_VECTORS} and q.vec_id <> d.vec_id),
+        sizes as (select query_id, count(*) as n_gold from gold group by 1)"""
+
+
+_IDEAL = "list_sum(list_transform(range(1, least(10, n_gold)::bigint + 1), lambda i: 1.0 / log2(i + 1)))"
+
+
+def _scores_sql(hits: str = "hits") -> str:
+    return f"""
+            select query_id, n_gold, h5 / n_gold as recall_at_5, h10 / n_gold as recall_at_10, mrr, dcg / {_IDEAL} as ndcg_at_10
+            from (
+                select h.query_id, max(s.n_gold) as n_gold,
+                       count(g.item_id) filter (where h.rank <= 5) as h5, count(g.item_id) filter (where h.rank <= 10) as h10,
+                       coalesce(1.0 / min(h.rank) filter (where g.item_id is not null), 0.0) as mrr,
+                       coalesce(sum(1.0 / log2(h.rank + 1)) filter (where g.item_id is not null and h.rank <= 10), 0.0) as dcg
+                from {hits} h left join gold g on g.query_id = h.query_id and g.item_id = h.item_id join sizes s on s.query_id = h.query_id
+                group by h.query_id
+            )"""
+
+
+@register(f"with {_hits_sql()} select query_id, item_id, rank, round(score, 6) as score from hits")
+def topk_cosine(spark, sf_dir):
+    return _vector_hits(spark, sf_dir).select("query_id", "item_id", "rank", _r("score"))
+
+
+@register(f"with {_hits_sql()} select query_id, item_id, rank, round(score, 6) as score from hits")
+def topk_cosine_block(spark, sf_dir):
+    return _vector_hits(spark, sf_dir, method=vector_search.topk_block).select("query_id", "item_id", "rank", _r("score"))
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    hits = _vector_hits(spark, sf_dir).withColumn("variant", F.lit("baseline"))
+    return metrics.per_query(hits, _label_gold(spark, sf_dir), keep_empty=False)
+
+
+_ROUNDED = "round(recall_at_5, 6) as recall_at_5, round(recall_at_10, 6) as recall_at_10, round(mrr, 6) as mrr, round(ndcg_at_10, 6) as ndcg_at_10"
+_METRICS = ("recall_at_5", "recall_at_10", "mrr", "ndcg_at_10")
+
+
+@register(f"with {_hits_sql()}, {_GOLD_SQL} select query_id, n_gold, {_ROUNDED} from ({_scores_sql()})")
+def recall_mrr_ndcg_per_query(spark, sf_dir):
+    return _scores(spark, sf_dir).select("query_id", "n_gold", *[_r(m) for m in _METRICS])
+
+
+@register(f"with {_hits_sql()}, {_GOLD_SQL} select {', '.join(f'round(avg({m}), 6) as {m}' for m in _METRICS)} from ({_scores_sql()})")
+def metrics_mean(spark, sf_dir):
+    return metrics.means(_scores(spark, sf_dir)).select(*[_r(m) for m in _METRICS])
+
+
+@register(f"""
+    with {_hits_sql()}, firsts as (select query_id, label, min(rank) as first from hits join embeddings on vec_id = item_id group by 1, 2)
+    select query_id, label as item_id, row_number() over (partition by query_id order by first) as rank from firsts""")
+def collapse_to_articles(spark, sf_dir):
+    labels = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "label")
+    hits = _vector_hits(spark, sf_dir).join(labels, "item_id").withColumn("variant", F.lit("v"))
+    return metrics.collapsed(hits, F.col("label")).select("query_id", "item_id", "rank")
+
+
+def _variant_scores(spark, sf_dir) -> DataFrame:
+    out = None
+    for name, (first, count) in PARTS.items():
+        hits = _vector_hits(spark, sf_dir, first, count).withColumn("variant", F.lit(name))
+        out = hits if out is None else out.unionByName(hits)
+    return metrics.per_query(out, _label_gold(spark, sf_dir), keep_empty=False)
+
+
+_VARIANT_SQL = "with " + ", ".join(_hits_sql(f"of_{n}", *p) for n, p in PARTS.items()) + f", {_GOLD_SQL}, scores as (" + " union all ".join(
+    f"select '{n}' as variant, * from ({_scores_sql(f'of_{n}')})" for n in PARTS
+) + ")"
+_ORDER_SQL = "(values " + ", ".join(f"('{n}', {i})" for i, n in enumerate(PARTS)) + ") o(variant, place)"
+_PAIRS_SQL = f"""{_VARIANT_SQL}, long as (
+        select variant, query_id, 'recall_at_10' as metric, recall_at_10 as v from scores union all select variant, query_id, 'ndcg_at_10', ndcg_at_10 from scores
+    ), o as (select * from {_ORDER_SQL}), pairs as (
+        select l.variant as a, r.variant as b, l.metric, l.query_id, l.v as x, r.v as y
+        from long l join long r using (metric, query_id) join o lo on lo.variant = l.variant join o ro on ro.variant = r.variant where lo.place < ro.place
+    )"""
+
+
+@register(f"{_VARIANT_SQL} select variant, {', '.join(f'round(avg({m}), 6) as {m}' for m in _METRICS)} from scores group by 1")
+def variant_means(spark, sf_dir):
+    return metrics.means(_variant_scores(spark, sf_dir)).select("variant", *[_r(m) for m in _METRICS])
+
+
+@register(f"""{_PAIRS_SQL}, d as (select *, round(x - y, 9) as d from pairs), k as (
+        select *, abs(d) as size, count(*) over (partition by a, b, metric, d = 0, abs(d)) as t,
+               rank() over (partition by a, b, metric, d = 0 order by abs(d)) as rk from d
+    ), w as (
+        select a, b, metric, count(*) as pairs, count(*) filter (where d <> 0) as n, avg(x) as mean_a, avg(y) as mean_b,
+               coalesce(sum(rk + (t - 1) / 2) filter (where d > 0), 0.0) as plus, coalesce(sum(rk + (t - 1) / 2) filter (where d < 0), 0.0) as minus,
+               coalesce(sum(t * t - 1) filter (where d <> 0), 0) as tied from k group by 1, 2, 3
+    )
+    select a, b, metric, pairs, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, case when n > 0 then least(plus, minus) else 0.0 end as statistic,
+           round((least(plus, minus) - n * (n + 1) / 4) / nullif(sqrt((n * (n + 1) * (2 * n + 1) - tied / 2) / 24), 0), 6) as z
+    from w""")
+def wilcoxon_t_z(spark, sf_dir):
+    pairs = statistics.variant_pairs(_variant_scores(spark, sf_dir), list(PARTS))
+    # Sums of discounts come in any order: equal differences are made equal before they are ranked.
+    pairs = pairs.withColumn("x", F.round(F.col("x") - F.col("y"), 9)).withColumnRenamed("y", "y0").withColumn("y", F.lit(0.0))
+    means = statistics.variant_pairs(_variant_scores(spark, sf_dir), list(PARTS)).groupBy("a", "b", "metric").agg(F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"))
+    parts = statistics.wilcoxon_parts(pairs).drop("mean_a", "mean_b").join(means, ["a", "b", "metric"])
+    return parts.select("a", "b", "metric", "pairs", "n", _r("mean_a"), _r("mean_b"), "statistic", _r("z"))
+
+
+@register(f"""{_PAIRS_SQL} select a, b, metric, count(*) as n, round(avg(x), 6) as mean_a, round(avg(y), 6) as mean_b,
+        round(avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))), 6) as statistic from pairs group by 1, 2, 3""")
+def ttest_t(spark, sf_dir):
+    pairs = statistics.variant_pairs(_variant_scores(spark, sf_dir), list(PARTS))
+    return statistics.ttest_parts(pairs).select("a", "b", "metric", "n", _r("mean_a"), _r("mean_b"), _r("statistic"))
+
+
+@register()
+def ablation_verdicts(spark, sf_dir):
+    return statistics.ablation(_variant_scores(spark, sf_dir), list(PARTS))
+
+
+@register()
+def test_robustness(spark, sf_dir):
+    return statistics.robustness(statistics.variant_pairs(_variant_scores(spark, sf_dir), list(PARTS)), 12)
+
+
+@register(f"""{_VARIANT_SQL}, d as (select s.variant, s.recall_at_10 - b.recall_at_10 as delta from scores s join scores b on b.query_id = s.query_id and b.variant = 'baseline' and s.variant <> 'baseline')
+    select variant, count(*) filter (where delta > 1e-9) as better, count(*) filter (where delta < -1e-9) as worse, count(*) filter (where abs(delta) <= 1e-9) as same,
+           round(coalesce(sum(delta) filter (where delta > 1e-9), 0.0), 6) as gained, round(coalesce(sum(delta) filter (where delta < -1e-9), 0.0), 6) as lost, round(avg(delta), 6) as mean_delta
+    from d group by 1""")
+def delta_better_worse_same(spark, sf_dir):
+    counts = metrics.change_counts(metrics.deltas(_variant_scores(spark, sf_dir), "recall_at_10", "baseline"))
+    return counts.select("variant", "better", "worse", "same", _r("gained"), _r("lost"), _r("mean_delta"))
+
+
+@register(f"with {_hits_sql()}, {_GOLD_SQL} select query_id, round(recall_at_10, 6) as recall_at_10 from ({_scores_sql()}) order by round(recall_at_10, 6), query_id limit 10")
+def worst_queries(spark, sf_dir):
+    return _scores(spark, sf_dir).select("query_id", _r("recall_at_10")).orderBy("recall_at_10", "query_id").limit(10)
+
+
+# --- chunks ---------------------------------------------------------------------------------------
+
+
+_CHUNK_SQL = """select doc_id::varchar || ':' || case when k < 10000 then lpad(k::varchar, 4, '0') else k::varchar end as chunk_id, k::int as position,
+        (k * 800)::int as char_start, least(k * 800 + 1000, length(text))::int as char_end, substring(text, k * 800 + 1, 1000) as content
+    from documents, unnest(range(0, greatest(ceil((length(text) - 1000) / 800), 0)::bigint + 1)) r(k) where length(text) > 0"""
+
+
+def _chunks(spark, sf_dir, by_line: bool = False) -> DataFrame:
+    return chunking.chunk(chunking.document_sections(_t(spark, sf_dir, "documents"), by_line))
+
+
+@register(f"select chunk_id, position, char_start, char_end, md5(content) as content_md5 from ({_CHUNK_SQL})")
+def chunk_documents(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("chunk_id", "position", "char_start", "char_end", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+
+
+@register("""
+    with lines as (select doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as line, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) - 1 as sec from documents),
+    w as (select doc_id, sec, k, line from lines, unnest(range(0, greatest(ceil((length(line) - 1000) / 800), 0)::bigint + 1)) r(k))
+    select doc_id::varchar as pmid, (row_number() over (partition by doc_id order by sec, k) - 1)::int as position, 's' || sec::varchar as section, (k * 800)::int as char_start, md5(substring(line, k * 800 + 1, 1000)) as content_md5 from w""")
+def chunk_sections(spark, sf_dir):
+    return _chunks(spark, sf_dir, True).select("pmid", "position", "section", "char_start", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+
+
+@register(f"select count(*) as chunks, count(distinct split_part(chunk_id, ':', 1)) as articles, round(avg(length(content)), 6) as mean_chars, max(position) as last_position from ({_CHUNK_SQL})")
+def chunk_stats(spark, sf_dir):
+    return _chunks(spark, sf_dir).agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("pmid").alias("articles"), F.round(F.avg(F.length("content")), 6).alias("mean_chars"), F.max("position").alias("last_position"))
+
+
+_UUID_SQL = f"sha1(unhex('{NAMESPACE.replace('-', '')}') || encode(chunk_id))"
+
+
+@register(f"""select chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as point_id
+    from (select chunk_id, {_UUID_SQL} as h from ({_CHUNK_SQL}))""")
+def point_ids_uuid5(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("chunk_id", tx.uuid5(NAMESPACE, F.col("chunk_id")).alias("point_id"))
+
+
+@register(f"select chunk_id, sha256(encode('hash-64') || '\\x00'::blob || encode(content)) as cache_key from ({_CHUNK_SQL})")
+def cache_keys(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("chunk_id", tx.cache_key(F.lit("hash-64"), F.col("content")).alias("cache_key"))
+
+
+@register("select doc_id::varchar as pmid, length(text)::bigint as n_chars, greatest(ceil((length(text) - 1000) / 800), 0)::bigint + 1 as n_chunks from documents where length(text) > 0")
+def chunk_index(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    index = chunking.chunk_index(chunks).select("pmid", F.size("chunk_ids").cast("long").alias("n_chunks"))
+    ends = chunks.groupBy("pmid").agg(F.max("char_end").cast("long").alias("n_chars"))
+    return index.join(ends, "pmid").select("pmid", "n_chars", "n_chunks")
+
+
+# --- offline embedding, variants, pools ----------------------------------------------------------
+
+
+def _enriched(text):
+    """The text with one question about its first long word."""
+    word = F.regexp_extract(F.lower(text), "[a-z]{8,}", 0)
+    return tx.enriched_text(text, F.when(word == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("What is "), word, F.lit("?")))))
+
+
+def _rewritten(text):
+    """The text's first twelve words."""
+    return F.array_join(F.slice(F.split(text, " "), 1, 12), " ")
+
+
+def _collections(spark, sf_dir) -> dict[bool, DataFrame]:
+    docs = _t(spark, sf_dir, "documents")
+    return {rich: vector_search.hash_embedding(docs, "doc_id", _enriched(F.col("text")) if rich else F.col("text")) for rich in (False, True)}
+
+
+def _questions(spark, sf_dir) -> dict[bool, DataFrame]:
+    rows = _t(spark, sf_dir, "benchmark")
+    return {new: vector_search.hash_embedding(rows, "item_id", _rewritten(F.col("text")) if new else F.col("text")).withColumnRenamed("item_id", "query_id") for new in (False, True)}
+
+
+def _variant_hits(spark, sf_dir) -> DataFrame:
+    items, queries = _collections(spark, sf_dir), _questions(spark, sf_dir)
+    out = None
+    for name, (rich, new) in VARIANTS.items():
+        hits = vector_search.topk_block(queries[new], items[rich], 10).withColumn("variant", F.lit(name))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _embed_sql(name: str, table: str, key: str, text: str) -> str:
+    return f"""
+        {name}_b as (select {key} as id, ('0x' || substr(md5(tok), 1, 4))::int % 64 as b, count(*)::bigint as n
+            from (select {key}, unnest(list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) as tok from {table}) group by 1, 2),
+        {name} as (select id, b, n, sum(n * n) over (partition by id) as norm from {name}_b)"""
+
+
+_RICH_SQL = "case when regexp_extract(lower(text), '[a-z]{8,}') = '' then text else text || chr(10) || 'What is ' || regexp_extract(lower(text), '[a-z]{8,}') || '?' end"
+_NEW_SQL = "array_to_string(string_split(text, ' ')[1:12], ' ')"
+_SPARSE = {(False, "d"): ("plain", "documents", "doc_id", "text"), (True, "d"): ("rich", "documents", "doc_id", _RICH_SQL), (False, "q"): ("asked", "benchmark", "item_id", "text"), (True, "q"): ("rewr", "benchmark", "item_id", _NEW_SQL)}
+
+
+def _retrieved_sql(name: str, items: str, queries: str) -> str:
+    return f"""{name} as (
+            select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) as rank
+            from (select q.id as query_id, d.id as item_id, sum(q.n * d.n)::double / sqrt(max(q.norm)::double * max(d.norm)::double) as score from {queries} q join {items} d on q.b = d.b group by 1, 2)
+            qualify rank <= 10)"""
+
+
+_RETRIEVAL_SQL = "with " + ", ".join(_embed_sql(*x) for x in _SPARSE.values()) + ", " + ", ".join(
+    _retrieved_sql(f"r_{n}", _SPARSE[rich, "d"][0], _SPARSE[new, "q"][0]) for n, (rich, new) in VARIANTS.items()
+) + ", hits as (" + " union all ".join(f"select '{n}' as variant, * from r_{n}" for n in VARIANTS) + ")"
+
+
+@register("with " + _embed_sql("e", "documents", "doc_id", "text") + " select id as item_id, b as bucket, n from e")
+def hash_embedding(spark, sf_dir):
+    vectors = _collections(spark, sf_dir)[False].select("item_id", F.posexplode("vector").alias("bucket", "n"))
+    return vectors.filter("n > 0").select("item_id", "bucket", F.col("n").cast("long").alias("n"))
+
+
+@register(_RETRIEVAL_SQL + " select query_id, item_id, rank, round(score, 6) as score from hits where variant = 'baseline'")
+def hash_retrieval_top10(spark, sf_dir):
+    hits = vector_search.topk_block(_questions(spark, sf_dir)[False], _collections(spark, sf_dir)[False], 10)
+    return hits.select("query_id", "item_id", "rank", _r("score"))
+
+
+@register(_RETRIEVAL_SQL + " select variant, query_id, item_id, rank, round(score, 6) as score from hits")
+def variant_retrieval(spark, sf_dir):
+    return _variant_hits(spark, sf_dir).select("variant", "query_id", "item_id", "rank", _r("score"))
+
+
+def _source_items(spark, sf_dir) -> DataFrame:
+    """A benchmark item's source: the document of its number."""
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id"), F.lit(0).alias("pos"))
+
+
+_POOL_SQL = _RETRIEVAL_SQL + """, firsts as (select query_id, item_id, min(kind) as kind from (select item_id as query_id, item_id, 0 as kind from benchmark union all select query_id, item_id, 1 from hits) group by 1, 2),
+    pools as (select query_id, row_number() over (partition by query_id order by kind, item_id) - 1 as pos, item_id, kind = 0 as from_source from firsts)"""
+
+
+@register(_POOL_SQL + " select query_id, pos, item_id, from_source from pools")
+def variant_pool(spark, sf_dir):
+    return pooling.pool(_source_items(spark, sf_dir), _variant_hits(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@register(_POOL_SQL + " select round(avg(n), 6) as mean_size, max(n) as max_size, count(*) as queries from (select query_id, count(*) as n from pools group by 1)")
+def pool_size_stats(spark, sf_dir):
+    sizes = pooling.pool(_source_items(spark, sf_dir), _variant_hits(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("max_size"), F.count(F.lit(1)).alias("queries"))
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    """Pool rows labelled by two rule judges and, where these differ, a third."""
+    pool = pooling.pool(_source_items(spark, sf_dir), _variant_hits(spark, sf_dir))
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("body"))
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    rows = pool.join(docs, "item_id").join(F.broadcast(asked), "query_id") if asked.count() <= 10_000 else pool.join(docs, "item_id").join(asked, "query_id")
+    a = F.contains(F.col("body"), F.split_part("question", F.lit(" "), F.lit(1)))
+    b = F.contains(F.col("body"), F.split_part("question", F.lit(" "), F.lit(2)))
+    return agreement.with_tiebreak(rows, a, b, F.contains(F.col("body"), F.substring("question", 1, 60)))
+
+
+_JUDGED_SQL = _POOL_SQL + """, judged as (
+        select p.query_id, p.pos, p.item_id, contains(d.text, split_part(q.text, ' ', 1)) as judge_a, contains(d.text, split_part(q.text, ' ', 2)) as judge_b, contains(d.text, substring(q.text, 1, 60)) as judge_c
+        from pools p join documents d on d.doc_id = p.item_id join benchmark q on q.item_id = p.query_id
+    ), labelled as (select *, case when judge_a = judge_b then judge_a else judge_c end as final from judged)"""
+
+
+@register(_JUDGED_SQL + " select query_id, item_id, judge_a, judge_b, final from labelled")
+def judge_disagreements_tiebreak(spark, sf_dir):
+    return _judged(spark, sf_dir).select("query_id", "item_id", "judge_a", "judge_b", "final")
+
+
+@register(_JUDGED_SQL + " select b.item_id as query_id, count(l.item_id) filter (where l.final) as gold_size from benchmark b left join labelled l on l.query_id = b.item_id group by 1")
+def gold_sizes(spark, sf_dir):
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return agreement.gold_sizes(asked, _judged(spark, sf_dir))
+
+
+@register(_JUDGED_SQL + " select query_id, array_to_string(list(item_id order by pos) filter (where final), ',') as relevant_ids from labelled group by 1 having count(*) filter (where final) > 0")
+def gold_lists(spark, sf_dir):
+    lists = agreement.gold_lists(_judged(spark, sf_dir)).filter(F.size("relevant_ids") > 0)
+    return lists.select("query_id", F.array_join(F.col("relevant_ids").cast("array<string>"), ",").alias("relevant_ids"))
+
+
+@register("select d.doc_id from documents d anti join labels l using (doc_id)")
+def missing_chunks_anti(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@register("select d.doc_id from documents d semi join labels l using (doc_id)")
+def semi_scored_ids(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left_semi")
+
+
+# --- agreement, strata, samples -------------------------------------------------------------------
+
+_KAPPA_SQL = """case when count(*) = 0 then 0.0 when avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) >= 1 then 1.0
+        else (avg((quality = toxic)::int) - (avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)))) / nullif(1 - (avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic))), 0) end"""
+_STRATA_SQL = "strata as (select *, case when quality <> toxic then 'disagree' when quality = 1 then 'agree_rel' else 'agree_not' end as stratum from labels)"
+
+
+def _strata(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "labels").withColumn("stratum", agreement.stratum(F.col("quality"), F.col("toxic"), F.col("quality")))
+
+
+@register(f"select count(*) as n, round({_KAPPA_SQL}, 6) as kappa from labels")
+def kappa_labels(spark, sf_dir):
+    return agreement.report(_t(spark, sf_dir, "labels"), "quality", "toxic").select("n", _r("kappa"))
+
+
+@register(f"""with {_STRATA_SQL} select coalesce(stratum, 'all') as stratum, count(*) as n, count(*) filter (where quality = toxic) as n_agree, count(*) filter (where quality <> toxic) as n_disagree,
+        round(avg((quality = toxic)::int), 6) as agreement_rate, round({_KAPPA_SQL}, 6) as kappa from strata group by rollup (stratum)""")
+def agreement_report(spark, sf_dir):
+    rows = agreement.report(_strata(spark, sf_dir), "quality", "toxic", "stratum")
+    return rows.select(F.coalesce("stratum", F.lit("all")).alias("stratum"), "n", "n_agree", "n_disagree", _r("agreement_rate"), _r("kappa"))
+
+
+@register("""select count(*) filter (where quality = 1 and toxic = 1) as tp, count(*) filter (where quality <> 1 and toxic = 1) as fp, count(*) filter (where quality = 1 and toxic <> 1) as fn,
+        count(*) filter (where quality <> 1 and toxic <> 1) as tn, round(avg((quality = 1)::int), 6) as truth_rate, round(avg((toxic = 1)::int), 6) as guess_rate from labels""")
+def confusion_counts(spark, sf_dir):
+    return agreement.confusion(_t(spark, sf_dir, "labels"), "quality", "toxic").select("tp", "fp", "fn", "tn", _r("truth_rate"), _r("guess_rate"))
+
+
+@register(f"with {_STRATA_SQL} select stratum, count(*) as n from strata group by 1")
+def stratum_counts(spark, sf_dir):
+    return _strata(spark, sf_dir).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SAMPLE_SQL = f"""{_STRATA_SQL}, q as (select least(60 // 2, count(*) filter (where stratum = 'disagree')) as d from strata),
+    ranked as (select *, row_number() over (partition by stratum order by md5('13|' || doc_id::varchar), doc_id) as nth from strata),
+    sampled as (select r.* from ranked r, q where nth <= case stratum when 'disagree' then d when 'agree_rel' then (60 - d) - (60 - d) // 2 else (60 - d) // 2 end)"""
+
+
+@register(f"with {_SAMPLE_SQL} select doc_id, stratum from sampled")
+def stratified_sample(spark, sf_dir):
+    return sampling.stratified(_strata(spark, sf_dir), ["doc_id"], 60, 13).select("doc_id", "stratum")
+
+
+@register(f"""with {_SAMPLE_SQL}, acc as (select stratum, avg((quality = 1)::int) as accuracy from sampled group by 1), size as (select stratum, count(*) as n from strata group by 1)
+    select round(sum(n * accuracy) / sum(n), 6) as weighted_accuracy, sum(n)::bigint as population from acc join size using (stratum)""")
+def population_weighted_accuracy(spark, sf_dir):
+    strata = _strata(spark, sf_dir)
+    sample = sampling.stratified(strata, ["doc_id"], 60, 13).withColumn("correct", F.col("quality") == 1)
+    return agreement.weighted_accuracy(sample, strata).select(_r("weighted_accuracy"), "population")
+
+
+@register("""select doc_id, ordinal, ordinal % 3 as choice from (select doc_id, row_number() over (order by md5('42|' || doc_id::varchar), doc_id) - 1 as ordinal from documents where length(text) >= 200) where ordinal < 90""")
+def eligible_round_robin(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").filter(F.length("text") >= 200).select("doc_id")
+    rows = sampling.round_robin(docs, "doc_id", 90, 42, 3)
+    return rows.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("choice").cast("long").alias("choice"))
+
+
+# --- text, corpus statistics, duplicates ---------------------------------------------------------
+
+
+@register("select event_type as variant, round(avg(value), 6) as mean_ms, min(value) as min_ms, max(value) as max_ms from events group by 1")
+def means_by_variant_latency(spark, sf_dir):
+    rows = metrics.latency(_t(spark, sf_dir, "events"), "value", ("event_type",))
+    return rows.select(F.col("event_type").alias("variant"), _r("mean_ms"), "min_ms", "max_ms")
+
+
+@register("""select length(text) / greatest(n_chars, 1) >= 1 as long, count(*) as n, round(avg(n_chars - length(text)), 6) as mean_delta from documents group by 1""")
+def bucketed_delta(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    rows = docs.withColumn("long", F.length("text") / F.greatest("n_chars", F.lit(1)) >= 1).withColumn("delta", F.col("n_chars") - F.length("text"))
+    return rows.groupBy("long").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta"))
+
+
+_QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
+
+
+@register("""select count(n_chars) as n, round(avg(n_chars), 6) as mean, round(stddev_samp(n_chars), 6) as std, min(n_chars) as min, quantile_cont(n_chars, 0.25)::double as q25,
+        quantile_cont(n_chars, 0.5)::double as q50, quantile_cont(n_chars, 0.75)::double as q75, max(n_chars) as max from documents""")
+def describe_n_chars(spark, sf_dir):
+    c = F.col("n_chars")
+    return _t(spark, sf_dir, "documents").agg(
+        F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("min"),
+        *[F.percentile(c, q).alias(n) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))], F.max(c).alias("max"),
+    )
+
+
+@register("select " + ", ".join(f"round(quantile_cont(n_chars, {q}), 6) as p{round(100 * q)}" for q in _QUANTILES) + ", sum(round_even(n_chars / 1000, 0))::bigint as est_chunks from documents")
+def quantiles_n_chars(spark, sf_dir):
+    at = [F.round(F.percentile("n_chars", q), 6).alias(f"p{round(100 * q)}") for q in _QUANTILES]
+    return _t(spark, sf_dir, "documents").agg(*at, F.sum(F.bround(F.col("n_chars") / 1000)).cast("long").alias("est_chunks"))
+
+
+@register("""select count(*) as n, count(distinct source) as sources, count(distinct lang) as langs, count(text) as with_text, round(count(text) / count(*), 6) as text_share, count(*) - count(text) as without_text from documents""")
+def corpus_summary(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("langs"), F.count("text").alias("with_text"),
+        F.round(F.count("text") / F.count(F.lit(1)), 6).alias("text_share"), F.count_if(F.col("text").isNull()).alias("without_text"),
+    )
+
+
+_TITLE_SQL = r"regexp_replace(lower(trim(split_part(text, '.', 1))), '^\d+(\.\d+)*\.?\s*', '')"
+
+
+@register(f"select title, count(*) as n from (select {_TITLE_SQL} as title from documents) group by 1 order by n desc, title limit 30")
+def title_normalise_counts(spark, sf_dir):
+    titles = _t(spark, sf_dir, "documents").select(F.regexp_replace(F.lower(F.trim(F.split_part("text", F.lit("."), F.lit(1)))), r"^\d+(\.\d+)*\.?\s*", "").alias("title"))
+    return titles.groupBy("title").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "title").limit(30)
+
+
+@register(f"""select candidate, count(*) filter (where starts_with(title, candidate)) as n, round(count(*) filter (where starts_with(title, candidate)) / count(*), 6) as share
+    from (select {_TITLE_SQL} as title from documents), (values ('the'), ('of'), ('die'), ('la')) c(candidate) group by 1""")
+def candidate_title_share(spark, sf_dir):
+    title = F.regexp_replace(F.lower(F.trim(F.split_part("text", F.lit("."), F.lit(1)))), r"^\d+(\.\d+)*\.?\s*", "")
+    rows = _t(spark, sf_dir, "documents").select(title.alias("title"), F.explode(F.array(*[F.lit(c) for c in ("the", "of", "die", "la")])).alias("candidate"))
+    hit = F.startswith("title", "candidate")
+    return rows.groupBy("candidate").agg(F.count_if(hit).alias("n"), F.round(F.count_if(hit) / F.count(F.lit(1)), 6).alias("share"))
+
+
+@register("""select (select doc_id from documents order by n_chars desc, doc_id limit 1) as longest, (select doc_id from documents order by n_chars, doc_id limit 1) as shortest""")
+def longest_shortest_doc(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").agg(
+        F.bitwise_not(F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("i")))["i"]).alias("longest"), F.min(F.struct("n_chars", "doc_id"))["doc_id"].alias("shortest")
+    )
+
+
+@register("select lang, source, count(*) as n from documents group by 1, 2")
+def counts_by_category(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("select source as key, doc_id from documents qualify row_number() over (partition by source order by doc_id desc) = 1")
+def dup_last_wins(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy(F.col("source").alias("key")).agg(F.max("doc_id").alias("doc_id"))
+
+
+@register("select source as key, doc_id from documents qualify row_number() over (partition by source order by doc_id) = 1")
+def dup_first_wins(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy(F.col("source").alias("key")).agg(F.min("doc_id").alias("doc_id"))
+
+
+_LINES_SQL = r"""list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(ltrim(trim(x), '0123456789.-) '))), lambda x: x <> '')"""
+
+
+@register(f"select conv_id, turn, array_to_string({_LINES_SQL}[1:3], '|') as questions from conversations")
+def hq_lines_parse(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tx.question_lines(F.col("text"), 3), "|").alias("questions"))
+
+
+@register("""select conv_id, turn, coalesce(trim(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '"'), '') as question from conversations""")
+def first_question_clean(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", tx.first_question(F.col("text")).alias("question"))
+
+
+@register()
+def label_parse(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", answer_labels.relevant_label(F.replace("props", F.lit('"k"'), F.lit('"relevant"'))).alias("relevant"))
+
+
+@register()
+def pages_parse(spark, sf_dir):
+    return html_pages.parse_pages(_t(spark, sf_dir, "pages"))
