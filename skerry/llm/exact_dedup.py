@@ -116,10 +116,10 @@ def _collided(docs: DataFrame, hits: DataFrame, rows: int) -> tuple[DataFrame, D
     """Full comparison on hits: (texts of hits, digests that more than one text has, or None)."""
     texts = workspace.materialize(docs.join(_sized(hits, rows), "digest"), "dedup-hits")
     stays = texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length")))
-    reference = stays.groupBy("digest").agg(F.min("norm").alias("reference"))
-    bad = texts.join(reference, "digest").filter("norm <> reference").select("digest").distinct()
-    bad = workspace.materialize(bad, "dedup-collisions")
-    return texts, (None if bad.isEmpty() else bad)
+    reference = workspace.materialize(stays.groupBy("digest").agg(F.min("norm").alias("reference")), "dedup-reference")
+    # Both sides are plain scans and nothing above needs a digest's rows together, so AQE may split a hot one.
+    bad = workspace.materialize(texts.join(reference, "digest").filter("norm <> reference").select("digest"), "dedup-collisions")
+    return texts, (None if bad.isEmpty() else bad.distinct())
 
 
 def exact_dedup(
