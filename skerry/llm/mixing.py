@@ -116,7 +116,7 @@ class Mix:
 
     def _placed(self, sized: DataFrame, rows: int) -> DataFrame:
         """Word offsets within the source: a prefix sum over hash buckets, then one within each."""
-        buckets = max(8, rows // ROWS_PER_BUCKET)
+        buckets = max(64, rows // ROWS_PER_BUCKET)
         source = F.broadcast(self.sources.withColumnRenamed("source", "known"))  # one row per source
         sized = sized.join(source, F.col("source").eqNullSafe(F.col("known"))).drop("known")
         sized = sized.withColumn("bucket", F.pmod(F.xxhash64("place", F.lit(1)), F.lit(buckets)))
