@@ -32,6 +32,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 ROUNDS = 16
 SLOTS_PER_ROW = 65_536
+SLOTS_PER_TASK = 200_000
+MOST_SLOT_TASKS = 20_000
 ROWS_PER_BUCKET = 20_000
 
 SOURCE_SCHEMA = "source string, source_ix int, source_size long, target double, blocks long"
@@ -136,7 +138,8 @@ class Mix:
         rows = [(j, i, int(firsts[j, i]), int(counts[j, i]), known[i][4]) for j in range(len(counts)) for i in range(len(known)) if counts[j, i]]
         self.draws = spark.createDataFrame(rows, DRAW_SCHEMA)
         parts = self.draws.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {SLOTS_PER_ROW}"))).alias("part"))
-        parts = parts.repartition("shard", "source_ix", "part")
+        # A number of partitions of its own: these few rows become many slots, which AQE can't foresee.
+        parts = parts.repartition(min(MOST_SLOT_TASKS, max(8, sum(quotas) // SLOTS_PER_TASK)), "shard", "source_ix", "part")
         last = F.least(F.col("slots"), (F.col("part") + 1) * SLOTS_PER_ROW) - 1
         slots = parts.select("shard", "source_ix", "blocks", F.explode(F.sequence(F.col("first") + F.col("part") * SLOTS_PER_ROW, F.col("first") + last)).alias("slot"))
         turn = F.expr("slot div blocks")
