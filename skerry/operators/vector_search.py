@@ -30,7 +30,11 @@ def ranked(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) ->
 
 
 def topk_native(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """(query_id, vector), (item_id, vector): query_id, item_id, score, rank.  ``queries`` is a small stated set."""
+    """(query_id, vector), (item_id, vector): query_id, item_id, score, rank.  ``queries`` is a small stated set.
+
+    Rows without a vector neither ask nor are found.
+    """
+    queries, items = queries.filter("vector is not null"), items.filter("vector is not null")
     if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
         return topk_block(queries, items, k, exclude_self)
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("qv"))
@@ -74,6 +78,7 @@ def _best_of(ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool):
 
 def topk_block(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """As :func:`topk_native` with matrix products."""
+    queries, items = queries.filter("vector is not null"), items.filter("vector is not null")
     count = queries.count()
     blocks = max(1, -(-count // QUERY_BLOCK))
     out = None

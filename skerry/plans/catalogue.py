@@ -20,7 +20,7 @@ from skerry.sources import pages as html_pages
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-QUERY_VECTORS = 50  # the search's stated query set: vectors with an identifier below
+EVERY = 100  # the search's stated query set: vectors whose identifier it divides, against all vectors
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 PARTS = {"baseline": (1, 64), "qr_only": (1, 32), "hq_only": (33, 32), "both": (17, 32)}
 """Variants of the vector search: first coordinate and number of coordinates."""
@@ -49,13 +49,13 @@ def _r(name: str):
 
 def _vector_hits(spark: SparkSession, sf_dir: str, first: int = 1, count: int = 64, k: int = 10, method=vector_search.topk_native) -> DataFrame:
     vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.slice("embedding", first, count).alias("vector"))
-    queries = vectors.filter(F.col("item_id") < QUERY_VECTORS).withColumnRenamed("item_id", "query_id")
+    queries = vectors.filter(F.col("item_id") % EVERY == 0).withColumnRenamed("item_id", "query_id")
     return method(queries, vectors, k, exclude_self=True)
 
 
 def _label_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label")
-    left = rows.filter(F.col("vec_id") < QUERY_VECTORS).select(F.col("vec_id").alias("query_id"), "label")
+    left = rows.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
     return left.join(rows.withColumnRenamed("vec_id", "item_id"), "label").filter("query_id <> item_id").select("query_id", "item_id")
 
 
@@ -65,13 +65,13 @@ def _hits_sql(name: str = "hits", first: int = 1, count: int = 64) -> str:
         {name} as (
             select q.vec_id as query_id, d.vec_id as item_id, list_cosine_similarity(q.e, d.e) as score,
                    row_number() over (partition by q.vec_id order by list_cosine_similarity(q.e, d.e) desc, d.vec_id) as rank
-            from {name}_v q join {name}_v d on q.vec_id < {QUERY_VECTORS} and q.vec_id <> d.vec_id
+            from {name}_v q join {name}_v d on q.vec_id % {EVERY} = 0 and q.vec_id <> d.vec_id
             qualify rank <= 10
         )"""
 
 
 _GOLD_SQL = f"""
-        gold as (select q.vec_id as query_id, d.vec_id as item_id from embeddings q join embeddings d using (label) where q.vec_id < {QUERY_VECTORS} and q.vec_id <> d.vec_id),
+        gold as (select q.vec_id as query_id, d.vec_id as item_id from embeddings q join embeddings d using (label) where q.vec_id % {EVERY} = 0 and q.vec_id <> d.vec_id),
         sizes as (select query_id, count(*) as n_gold from gold group by 1)"""
 
 

@@ -153,6 +153,14 @@ def test_topk_methods_agree(spark):
     assert of(vector_search.topk_native) == of(vector_search.topk_block)
 
 
+def test_topk_without_vectors(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "item_id long, vector array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 1.0]), (8, None)], "query_id long, vector array<double>")
+    for method in (vector_search.topk_native, vector_search.topk_block):
+        got = [(r["query_id"], r["item_id"], r["rank"]) for r in method(queries, items, 5).orderBy("rank").collect()]
+        assert got == [(7, 1, 1), (7, 3, 2)] and method(queries.limit(0), items, 5).count() == method(queries, items.limit(0), 5).count() == 0
+
+
 JATS = b"""<set><article><front><journal-meta><journal-title>J</journal-title></journal-meta><article-meta><article-id pub-id-type="pmid">11</article-id>
 <article-id pub-id-type="pmc">PMC5</article-id><title-group><article-title>T <i>x</i></article-title></title-group>
 <contrib-group><contrib contrib-type="author"><name><surname>Doe</surname><given-names>Jo</given-names></name></contrib></contrib-group>
