@@ -13,8 +13,8 @@ per (shard, source).  A hot source is spread over hash buckets for its prefix su
 indexes for the joins, so no task holds a source.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source, ordered last;
-documents with equal identifiers are separate rows; an empty table gives an empty result; further
-columns are ignored.
+documents with equal identifiers are separate rows, each with its own share of the mix; an empty table
+gives an empty result; further columns are ignored by :class:`Mix` and kept by :func:`mixed_documents`.
 """
 
 from __future__ import annotations
@@ -177,15 +177,21 @@ def mixed_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source
     """The mix as rows with the columns of ``docs``: each row's text is a run of words that the mix takes.
 
     Runs that cover a document keep its text as it is.  ``n_chars``, if there, is the text's new length.
-    The texts are joined to the runs by identifier; rows of one identifier must have one text.
+    The texts are joined to the runs by identifier.  Where identifiers repeat or are null, the rows are
+    numbered first, in a written table, and joined by their number, so each row gets its own runs.
     """
+    columns, schema = docs.columns, docs.schema
+    ids = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col(id_col)).alias("ids")).first()
+    if ids["rows"] != ids["ids"]:
+        key = next(n for n in (f"mix_row{'_' * k}" for k in range(len(columns) + 1)) if n not in columns)
+        docs, id_col = workspace.materialize(docs.withColumn(key, F.monotonically_increasing_id()), "mix-numbered"), key
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     sizes = mix.documents.select(F.col("row").alias("of_row"), "size")
     runs = mix.spans().join(sizes, F.col("row") == F.col("of_row")).select(
         F.struct(F.col("from_word"), F.col("words"), (F.col("words") == F.col("size")).alias("whole")).alias("run"), F.col("doc_id").alias("run_id")
     )
     record = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
-    keyed = record.withColumn("doc_key", F.col(f"record.{id_col}").cast("long"))
+    keyed = record.withColumn("doc_key", F.col(f"record.`{id_col}`").cast("long"))
     joined = keyed.join(runs, F.col("doc_key").eqNullSafe(F.col("run_id")))
     words = F.regexp_extract_all(F.col(f"record.{text_col}"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.slice(words, (F.col("run.from_word") + 1).cast("int"), F.col("run.words").cast("int")), "")
@@ -196,7 +202,7 @@ def mixed_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source
         if name == text_col:
             return F.col("mixed_text").alias(name)
         if name == "n_chars":
-            return F.length("mixed_text").cast(docs.schema[name].dataType).alias(name)
+            return F.length("mixed_text").cast(schema[name].dataType).alias(name)
         return F.col(f"record.`{name}`").alias(name)
 
-    return out.select(*[column(c) for c in docs.columns])
+    return out.select(*[column(c) for c in columns])

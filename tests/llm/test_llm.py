@@ -145,6 +145,24 @@ def test_mixed_documents(docs, rows):
     assert {k: v for k, v in taken.items() if v} == dict(words)
 
 
+def test_mixed_documents_of_one_identifier(spark):
+    """Rows that share an identifier, or have none, get their own runs."""
+    rng = random.Random(8)
+    texts = [text_of(rng, 40) for _ in range(6)]
+    data = [(1, texts[0], "a"), (1, texts[0], "a"), (1, texts[1], "a"), (None, texts[2], "a"), (None, texts[3], "b"), (2, texts[4], "b"), (3, None, "b"), (3, texts[5], "a")]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mixed_documents(table, block_words=8).collect()
+    words = Counter()
+    for r in got:
+        assert any(r["text"] in t for i, t, s in data if t and (i, s) == (r["doc_id"], r["source"]))
+        words[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    size = Counter()
+    for _, t, s in data:
+        size[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    goal = dict(zip("ab", mixing.targets([size["a"], size["b"]], [1, 2])))
+    assert all(abs(words[s] - goal[s]) <= 16 for s in "ab")
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = [r["p"] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(9)).alias("p")).collect()]
