@@ -80,8 +80,10 @@ def topk_block(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
     """As :func:`topk_native` with matrix products."""
     queries, items = queries.filter("vector is not null"), items.filter("vector is not null")
     count = queries.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
+    blocks = -(-count // QUERY_BLOCK)
     out = None
+    if not count:
+        return ranked(items.select(F.lit(0).cast("long").alias("query_id"), F.col("item_id").cast("long"), F.lit(0.0).alias("score")).filter(F.lit(False)), k)
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         table = part.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).orderBy("query_id").toArrow()  # a block of queries
