@@ -188,6 +188,17 @@ def test_quality(spark, docs, rows, nothing):
     assert {r["score"] for r in quality.score(table, quality.train(table, labels.limit(0))).collect()} == {0.5}
 
 
+def walked(trees, text):
+    """The score of one text, node by node."""
+    x, raw = quality.statistics([text])[0], trees.base
+    for f, t, v in zip(trees.feature, trees.threshold, trees.value):
+        k = 0
+        while k < len(f):
+            k = 2 * k + 1 + int(x[f[k]] > t[k])
+        raw += v[k - len(f)]
+    return 1 / (1 + math.exp(-raw))
+
+
 def test_trees_flat_equals_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5))
@@ -319,17 +330,21 @@ def test_near_links_keep_components(spark, groups, hot_cell):
     assert all(len(v) == 1 for v in same.values())
 
 
-def test_packing(docs, rows, nothing):
+def pieces_of(rows, sequence):
+    """Pieces of (doc_id, text) rows, by the tokenizer alone."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
     tokenizer.encode_special_tokens = True
+    for doc_id, text, *_ in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        for k in range(0, len(ids), sequence):
+            yield doc_id, k, len(ids[k : k + sequence]), zlib.crc32(ids[k : k + sequence].tobytes()), len(ids)
+
+
+def test_packing(docs, rows, nothing):
     got = packing.pack_documents(docs, TOKENIZER, sequence=256).collect()
-    want = Counter()
-    for r in rows:
-        ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], dtype="<u4")
-        for k in range(0, len(ids), 256):
-            want[r[0], k, len(ids[k : k + 256]), zlib.crc32(ids[k : k + 256].tobytes()), len(ids)] += 1
+    want = Counter(pieces_of(rows, 256))
     assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
     sequences = defaultdict(list)
     for r in got:
@@ -406,3 +421,38 @@ def test_pipeline(spark, tmp_path, rows):
         sequences[r["sequence_id"]] += r["length"]
     assert max(sequences.values()) <= packing.SEQUENCE
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) == '["quality", "exact_dedup", "near_dedup", "mixing", "packing"]'
+
+    # Every stage against brute force on its own input.
+    given = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(str(folder / "documents.parquet")).collect()]
+    table, outs = spark.read.parquet(str(folder / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES:
+        table = stage(spark, table, str(folder))
+        table.write.parquet(str(tmp_path / name))
+        table = spark.read.parquet(str(tmp_path / name))
+        outs.append(table.collect())
+    rated, single, apart, mixed, packed = outs
+    labels = spark.read.parquet(str(folder / "labels.parquet")).filter(~quality.in_fold(F.col("doc_id"), 0))
+    trees = quality.train(spark.read.parquet(str(folder / "documents.parquet")), labels)
+    assert Counter(r["doc_id"] for r in rated) == Counter(i for i, t, _ in given if walked(trees, (t or "").encode()) >= quality.THRESHOLD)
+    assert Counter(r["doc_id"] for r in single) == Counter(k for k, _ in expected_groups([(r["doc_id"], r["text"]) for r in rated]).values())
+    prints = {r["doc_id"]: fingerprint(r["text"]) for r in single}
+    root, least = components_of(prints.values()), {}
+    for i, p in prints.items():
+        least[root[p]] = min(i, least.get(root[p], i))
+    assert sorted(r["doc_id"] for r in apart) == sorted(least.values())
+
+    def n_words(text):
+        return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+    texts, size, took, per = {r["doc_id"]: r["text"] for r in apart}, Counter(), Counter(), Counter()
+    for r in apart:
+        size[r["source"]] += n_words(r["text"])
+    for r in mixed:
+        assert r["text"] in texts[r["doc_id"]]
+        took[r["source"]] += n_words(r["text"])
+        per[r["doc_id"]] += n_words(r["text"])
+    order = sorted(size, key=lambda x: (x is None, (x or "").encode()))
+    goal = dict(zip(order, mixing.targets([size[x] for x in order], [1 + k % 3 for k in range(len(order))])))
+    assert all(abs(took[x] - goal[x]) <= 2 * 256 for x in order) and all(per[i] <= 3 * n_words(t) for i, t in texts.items())
+    assert Counter(pieces_of([(r["doc_id"], r["text"]) for r in mixed], packing.SEQUENCE)) == Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in packed)
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in got) == Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
