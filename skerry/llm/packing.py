@@ -9,9 +9,10 @@ the pieces of their length.
 Ranks come from a prefix sum over hash buckets and a rank within each, so that a length that a third
 of all pieces share is spread over many tasks.
 
-Tokens: white-space separated words of a batch are dictionary-encoded; each new word is cut into
-the tokenizer's pre-tokens and each new pre-token encoded once per worker.  Words with characters
-for which cutting might depend on Unicode versions or normal forms go to the tokenizer as they are.
+Tokens: the bytes of a batch are cut into the tokenizer's pre-tokens with array operations and
+dictionary-encoded; each new pre-token is encoded once per worker.  Words with characters beyond
+Latin-1, for which cutting might depend on Unicode versions or normal forms, go to the tokenizer as
+they are, also once per worker.
 
 Defined results: a null or empty text has one token, the end id; repeated rows are separate
 documents; an empty table gives an empty result; further columns are ignored.
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,90 +38,155 @@ END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PIECES_PER_BUCKET = 20_000
 
-# How the tokenizer cuts words.
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_UNSURE = regex.compile(r"[\x00-\x1f\x7f-\xa0İɐ-\U0010ffff]")
-_CACHE_WORDS = 500_000
+_CACHE_PARTS = 1_000_000
+_SLICE_BYTES = 8 << 20
 
+_BLANK, _LETTER, _NUMBER, _MARK, _OTHER = range(5)
 
-class WordEncoder:
-    """Ids of words, kept for the life of a Python worker."""
+# How the tokenizer's pattern classes the code points up to 255.  Code points that it
+# might treat otherwise (controls, other blanks) and all later ones are _OTHER.
+_KINDS = np.full(256, _OTHER, dtype=np.uint8)
+_KINDS[0x21:0x7F] = _MARK
+_KINDS[0xA1:] = _MARK
+_KINDS[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+_KINDS[[*range(0x30, 0x3A), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _NUMBER
+_CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
+_SEPARATOR = "\N{TROPHY}"
+
+_BYTE_KINDS = np.where(np.arange(256) < 0x80, _KINDS, _OTHER).astype(np.uint8)
+_LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+
+
+def cut_parts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes without blanks, part starts in them, part starts in ``raw``, whether a part is an odd word).
+
+    ``raw`` is UTF-8 that ends with a blank.  Words of Latin-1 characters are lower-cased and cut
+    into the tokenizer's pre-tokens; an odd word, which has other characters, stays one part as it is.
+    """
+    kind, data = _BYTE_KINDS[raw], _LOWER[raw]
+    lead = np.flatnonzero((raw == 0xC2) | (raw == 0xC3))
+    lead = lead[(raw[lead + 1] & 0xC0) == 0x80]
+    follow = raw[lead + 1]
+    kind[lead] = kind[lead + 1] = _KINDS[((raw[lead] & 3) << 6) | (follow & 0x3F)]
+    capital = lead[(raw[lead] == 0xC3) & (follow < 0x9F) & (follow != 0x97)]
+    data[capital + 1] += 0x20
+    solid = kind != _BLANK
+    start = solid.copy()
+    start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    start[lead + 1] = False
+    quote = np.flatnonzero((raw == 0x27) & start)
+    if len(quote):
+        after = [data[np.minimum(quote + k, len(data) - 1)] for k in (1, 2)]
+        for letters in _CONTRACTIONS:
+            found = quote[np.logical_and.reduce([after[k] == c for k, c in enumerate(letters)])]
+            start[found + 1] = False
+            rest = found + 1 + len(letters)
+            start[rest[kind[rest] == _LETTER]] = True
+    within = None
+    if (kind == _OTHER).any():
+        edge = np.flatnonzero(np.diff(solid, prepend=False))
+        first, last = edge[0::2], edge[1::2]
+        odd = np.unique(np.searchsorted(first, np.flatnonzero(kind == _OTHER), side="right") - 1)
+        step = np.zeros(len(raw), dtype=np.int8)
+        step[first[odd]] = 1
+        step[last[odd]] = -1
+        within = np.cumsum(step, dtype=np.int8).astype(bool)
+        start &= ~within
+        start[first[odd]] = True
+        data = np.where(within, raw, data)
+    at = np.flatnonzero(start)
+    return data[solid], np.flatnonzero(start[solid]), at, np.zeros(len(at), dtype=bool) if within is None else within[at]
+
+
+class TextEncoder:
+    """Ids of texts; those of their parts are kept for the life of a Python worker."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.suffix = self.tokenizer.model.end_of_word_suffix
+        suffix = self.tokenizer.model.end_of_word_suffix
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.closes[number] = token.endswith(self.suffix)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of new words into the cache."""
-        if len(self.words) > _CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > _CACHE_WORDS:
-            self.parts.clear()
-        cut: dict[str, list[str]] = {}
-        for word in words:
-            if _UNSURE.search(word):
-                self.words[word] = self._whole(word)
-            else:
-                cut[word] = _PRETOKEN.findall(word.lower())
-        new = list({p for parts in cut.values() for p in parts if p not in self.parts})
-        for k in range(0, len(new), 4096):
-            self._encode_parts(new[k : k + 4096])
-        parts_of = self.parts
-        for word, parts in cut.items():
-            self.words[word] = parts_of[parts[0]] if len(parts) == 1 else b"".join([parts_of[p] for p in parts])
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, dtype="<u4")
+            self.closes[number] = token.endswith(suffix)
+        separator = self._whole(_SEPARATOR)
+        self.separator = separator[0] if len(separator) == 1 else None
+        self.known: dict[bytes, bytes] = {}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _keep(self, parts: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int = 0) -> None:
+        raw, begin = ids.tobytes(), 0
+        for part, end in zip(parts, (4 * ends).tolist()):
+            self.known[part] = raw[begin:end]
+            begin = end + 4 * gap
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Keep the ids of pre-tokens: each has one id that closes a word."""
+        ids = self._whole(b" ".join(parts).decode())
         ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(parts):
-            self.parts.update((p, self._whole(p)) for p in parts)
+        if len(ends) == len(parts):
+            self._keep(parts, ids, ends)
+        else:
+            self._learn_odd(parts)
+
+    def _learn_odd(self, words: list[bytes]) -> None:
+        """Keep the ids of any words: a separator stands between them, unless one of them has its id."""
+        if len(words) == 1:
+            self.known[words[0]] = self._whole(words[0].decode(errors="replace")).tobytes()
             return
-        raw, start = ids.tobytes(), 0
-        for part, end in zip(parts, (4 * ends).tolist()):
-            self.parts[part] = raw[start:end]
-            start = end
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text, with the end id."""
-        split = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[\x20\x09-\x0D]+")
-        coded = pc.dictionary_encode(split.flatten())
-        vocabulary = coded.dictionary.to_pylist()
-        known = self.words
-        if new := [w for w in vocabulary if w not in known]:
-            self._learn(new)
-        known = self.words
-        if missing := [w for w in vocabulary if w not in known]:
-            self._learn(missing)
-        pieces = [known[w] for w in vocabulary]
-        sizes = np.fromiter((len(p) // 4 for p in pieces), dtype=np.int64, count=len(pieces))
-        pool, at = np.frombuffer(b"".join(pieces), dtype="<u4"), np.cumsum(sizes) - sizes
-        codes = np.asarray(coded.indices).astype(np.int64)
+        if self.separator is not None:
+            ids = self._whole(f" {_SEPARATOR} ".join([w.decode(errors="replace") for w in words]))
+            ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
+            if len(ends) == len(words):
+                self._keep(words, ids, ends, gap=1)
+                return
+        self._learn_odd(words[: len(words) // 2])
+        self._learn_odd(words[len(words) // 2 :])
+
+    def _pieces(self, vocabulary: list[bytes], odd: np.ndarray) -> list[bytes]:
+        """Ids of each part of ``vocabulary``."""
+        if len(self.known) > _CACHE_PARTS:
+            self.known.clear()
+        pieces = list(map(self.known.get, vocabulary))
+        for learn, which in ((self._learn, False), (self._learn_odd, True)):
+            new = [k for k, p in enumerate(pieces) if p is None and odd[k] == which] if which is False or odd.any() else []
+            for k in range(0, len(new), 4096):
+                learn([vocabulary[j] for j in new[k : k + 4096]])
+            for k in new:
+                pieces[k] = self.known[vocabulary[k]]
+        return pieces
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts with their end ids, and where each text's ids begin (and the last one's end)."""
+        raw = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+        data, starts, at, is_odd = cut_parts(raw)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = pc.dictionary_encode(parts)
+        codes = np.asarray(coded.indices)
+        odd = np.zeros(len(coded.dictionary), dtype=bool)
+        odd[codes[is_odd]] = True
+        pieces = self._pieces(coded.dictionary.to_pylist(), odd)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        pool, begin = np.frombuffer(b"".join(pieces), dtype="<u4"), np.cumsum(sizes) - sizes
         lengths = sizes[codes]
         ends = np.cumsum(lengths)
-        shift = np.repeat(at[codes] - (ends - lengths), lengths)
-        ids = pool[shift + np.arange(len(shift))] if len(shift) else pool[:0]
-        offsets = np.asarray(split.offsets).astype(np.int64) - split.offsets[0].as_py()
-        bounds = np.concatenate([[0], ends])[offsets]
-        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(bounds[:-1], bounds[1:])]
+        ids = pool[np.repeat(begin[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        bounds = np.concatenate([[0], ends])[np.searchsorted(at, text_ends)]
+        return np.insert(ids, bounds, np.uint32(END_ID)), np.concatenate([[0], bounds + np.arange(1, len(bounds) + 1)])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
 
@@ -130,13 +195,15 @@ def _cut(tokenizer_path: str, sequence: int, with_ids: bool):
         from skerry.llm import _arrow, packing
 
         work = packing.encoder(tokenizer_path)
-        for part, _ in _arrow.text_slices(batches):
+        for part, texts in _arrow.text_slices(batches, limit=_SLICE_BYTES):
             rows: list[tuple] = []
             kept: list[np.ndarray] = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), work.encode(part.column("text"))):
-                for start in range(0, len(ids), sequence):
-                    piece = ids[start : start + sequence]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+            ids, bounds = work.encode(texts)
+            bounds = bounds.tolist()
+            for doc_id, first, last in zip(part.column("doc_id").to_pylist(), bounds[:-1], bounds[1:]):
+                for start in range(first, last, sequence):
+                    piece = ids[start : min(start + sequence, last)]
+                    rows.append((doc_id, start - first, len(piece), zlib.crc32(piece), last - first))
                     if with_ids:
                         kept.append(piece)
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)]

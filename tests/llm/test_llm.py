@@ -359,12 +359,15 @@ def test_packing(docs, rows, nothing):
 
 
 def test_encoder_equals_tokenizer():
-    import pyarrow as pa
-
-    texts = ["It's 12 o'clock'd!!", "ÀÉß straße ſ İ ﬁ", "a b\u0085c", "<|endoftext|> x", "", None, "漢字 and мир", "é é", "don't'll '''s !'s", "\x00a \x1cb", "日本　語"]
-    work = packing.WordEncoder(TOKENIZER)
-    for text, ids in zip(texts, work.encode(pa.array(texts))):
-        assert ids.tolist() == [*work.tokenizer.encode(text or "", add_special_tokens=False).ids, 1], text
+    rng = random.Random(7)
+    texts = ["It's 12 o'clock'd!!", "ÀÉß straße ſ İ ﬁ", "a b\u0085c", "<|endoftext|> x", "", "", "漢字 and мир", "é é", "don't'll '''s !'s", "\x00a \x1cb", "日本　語", "'", "x" * 70_000 + "'s", "a 🏆 b🏆 🏆"]
+    letters = [*"aBstdm'''’12²½ÉßÞþ×÷ÿµª¡-!._  \n\t\x0b\x1c\x7f\x85\xa0\xadİſŽé中あ가🏆Σ٣Ⅷ", "re", "ve", "ll", "é", "<|endoftext|>", "</w>"]
+    texts += ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(4000)]
+    work = packing.TextEncoder(TOKENIZER)
+    ids, bounds = work.encode([t.encode() for t in texts])
+    assert len(bounds) == len(texts) + 1
+    for text, start, end in zip(texts, bounds[:-1], bounds[1:]):
+        assert ids[start:end].tolist() == [*work.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
 def test_patterns():
