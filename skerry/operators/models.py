@@ -1,20 +1,23 @@
 """Model calls as operators: cached, only for misses, model injected.
 
-A model is a function over a batch.  Its results are kept in a Parquet table keyed by a digest of the
+A model is a function over a batch.  Its results are kept in Parquet folders keyed by a digest of the
 model's name and the input; a call joins the cache and runs the model on the rows left over, which
 makes a repeated task harmless.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.functions import labels
 from skerry.functions import text as tx
 
+_DONE = "_DONE"
 COMPLETION = "text string, prompt_tokens int, completion_tokens int"
 
 
@@ -22,10 +25,24 @@ def keyed(rows: DataFrame, model: str, *inputs: str) -> DataFrame:
     return rows.withColumn("cache_key", tx.cache_key(F.lit(model), *[F.col(c) for c in inputs]))
 
 
-def _table(spark, path: str, schema: str) -> DataFrame:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+def _table(spark, cache: str, schema: str) -> DataFrame:
+    """What finished calls have put into the cache.
+
+    Each call has a folder of its own and a scan names the folders it reads: scans of one folder
+    before and after a call would count as equal within a plan, and one would be reused for both.
+    """
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{cache}/*/{_DONE}")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    paths = sorted(f.getPath().getParent().toString() for f in found or [])
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _put(rows: DataFrame, cache: str) -> None:
+    """Add a folder to the cache; it counts once it is whole."""
+    path = f"{cache}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    mark = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_DONE}")
+    mark.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(mark).close()
 
 
 def cached_call(rows: DataFrame, cache: str, result: str, call: Callable[[pd.DataFrame], pd.DataFrame], batch: int = 100) -> DataFrame:
@@ -41,7 +58,7 @@ def cached_call(rows: DataFrame, cache: str, result: str, call: Callable[[pd.Dat
                 yield pd.concat([some["cache_key"], call(some)], axis=1)[names]
 
     misses = rows.join(_table(spark, cache, schema), "cache_key", "left_anti").dropDuplicates(["cache_key"])
-    misses.mapInPandas(run, schema).write.mode("append").parquet(cache)
+    _put(misses.mapInPandas(run, schema), cache)
     return rows.join(_table(spark, cache, schema).dropDuplicates(["cache_key"]), "cache_key")
 
 
@@ -86,3 +103,25 @@ def generate_questions(papers: DataFrame, templates: dict[str, str], cache: str,
     done = complete(papers.withColumn("system", F.lit("")).withColumn("user", user), "system", "user", cache, model, call)
     qa_id = F.concat(F.lit("qa_"), F.when(F.col("ordinal") < 10_000, F.lpad(F.col("ordinal").cast("string"), 4, "0")).otherwise(F.col("ordinal").cast("string")))
     return done.select(qa_id.alias("qa_id"), "pmid", tx.first_question(F.col("text")).alias("question"), F.col("strategy").alias("prompting_strategy"))
+
+
+def judge(rows: DataFrame, template: str, cache: str, model: str, call, name: str) -> DataFrame:
+    """``rows`` (question, content) with the boolean column ``name``: the model's verdict on relevance."""
+    asked = rows.withColumn("system", F.lit("")).withColumn("user", tx.rendered(template, question=F.col("question"), chunk=F.col("content")))
+    done = complete(asked, "system", "user", cache, model, call)
+    return done.select(*rows.columns, labels.relevant_label("text").alias(name))
+
+
+def judge_twice(rows: DataFrame, template: str, cache: str, models: tuple[str, str, str], calls: tuple) -> DataFrame:
+    """judge_a and judge_b of all rows; the third model is called only where these differ.  Each pair is judged once."""
+    done = judge(judge(rows, template, cache, models[0], calls[0], "judge_a"), template, cache, models[1], calls[1], "judge_b")
+    differ = judge(done.filter("judge_a <> judge_b"), template, cache, models[2], calls[2], "final")
+    return done.filter("judge_a = judge_b").withColumn("final", F.col("judge_a")).unionByName(differ)
+
+
+def probe(call: Callable[[list[str]], list[list[float]]]) -> int:
+    """The dimensions of an embedding model, or an error before any work is done."""
+    vectors = call(["probe"])
+    if len(vectors) != 1 or not len(vectors[0]):
+        raise ValueError("the embedding model gave no vector")
+    return len(vectors[0])

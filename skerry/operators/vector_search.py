@@ -49,15 +49,15 @@ def topk_native(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
     return ranked(pairs.select("query_id", "item_id", score.alias("score")), k)
 
 
-def _best_of(ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool):
-    """``ids`` must be ordered: equal scores keep the order of items."""
+def _best_of(ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, kind: pa.DataType):
+    """The best of each batch; equal scores keep the order of items."""
     norms = (vectors * vectors).sum(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            items = np.asarray(batch.column("item_id"))
+            items = batch.column("item_id").to_numpy(zero_copy_only=False)
             lists = batch.column("vector")
             x = np.asarray(lists.flatten()).astype(np.float64).reshape(len(items), -1)
             order = np.argsort(items, kind="stable")
@@ -70,26 +70,33 @@ def _best_of(ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool):
             rows = np.repeat(np.arange(len(ids)), best.shape[1])
             keep = np.isfinite(score[rows, best.ravel()])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows][keep]), pa.array(items[best.ravel()][keep]), pa.array(score[rows, best.ravel()][keep])], names=["query_id", "item_id", "score"]
+                [pa.array(ids[rows][keep], kind), pa.array(items[best.ravel()][keep], batch.column("item_id").type), pa.array(score[rows, best.ravel()][keep])], names=["query_id", "item_id", "score"]
             )
 
     return run
 
 
 def topk_block(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """As :func:`topk_native` with matrix products."""
+    """As :func:`topk_native` with matrix products; identifiers are whole numbers or strings."""
+
+    def key(rows: DataFrame, name: str) -> Column:
+        return F.col(name) if rows.schema[name].dataType.simpleString() == "string" else F.col(name).cast("long").alias(name)
+
     queries, items = queries.filter("vector is not null"), items.filter("vector is not null")
     count = queries.count()
     blocks = -(-count // QUERY_BLOCK)
     out = None
     if not count:
-        return ranked(items.select(F.lit(0).cast("long").alias("query_id"), F.col("item_id").cast("long"), F.lit(0.0).alias("score")).filter(F.lit(False)), k)
+        none = F.lit(None).cast(queries.select(key(queries, "query_id")).schema[0].dataType)
+        return ranked(items.select(none.alias("query_id"), key(items, "item_id"), F.lit(0.0).alias("score")).filter(F.lit(False)), k)
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        table = part.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).orderBy("query_id").toArrow()  # a block of queries
-        ids = np.asarray(table.column(0))
+        table = part.select(key(part, "query_id"), F.col("vector").cast("array<double>")).orderBy("query_id").toArrow()  # a block of queries
+        ids = table.column(0).to_numpy()
         vectors = np.array(table.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        scored = items.select(F.col("item_id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(_best_of(ids, vectors, k, exclude_self), "query_id long, item_id long, score double")
+        rows = items.select(key(items, "item_id"), F.col("vector").cast("array<double>"))
+        kinds = (part.select(key(part, "query_id")).schema[0].dataType.simpleString(), rows.schema[0].dataType.simpleString())
+        scored = rows.mapInArrow(_best_of(ids, vectors, k, exclude_self, table.schema[0].type), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
         out = scored if out is None else out.union(scored)
     return ranked(out, k)
 

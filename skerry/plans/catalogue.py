@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from skerry.functions import labels as answer_labels
 from skerry.functions import text as tx
 from skerry.operators import agreement, chunking, metrics, pooling, sampling, statistics, vector_search
+from skerry.plans import experiment
 from skerry.schemas import VARIANTS
 from skerry.sources import pages as html_pages
 
@@ -357,6 +358,10 @@ def _judged(spark, sf_dir) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("body"))
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     rows = pool.join(docs, "item_id").join(F.broadcast(asked), "query_id") if asked.count() <= 10_000 else pool.join(docs, "item_id").join(asked, "query_id")
+    return _rule_judges(rows)
+
+
+def _rule_judges(rows: DataFrame) -> DataFrame:
     a = F.contains(F.col("body"), F.split_part("question", F.lit(" "), F.lit(1)))
     b = F.contains(F.col("body"), F.split_part("question", F.lit(" "), F.lit(2)))
     return agreement.with_tiebreak(rows, a, b, F.contains(F.col("body"), F.substring("question", 1, 60)))
@@ -385,6 +390,22 @@ def gold_lists(spark, sf_dir):
     return lists.select("query_id", F.array_join(F.col("relevant_ids").cast("array<string>"), ",").alias("relevant_ids"))
 
 
+@register(_JUDGED_SQL + f""", gold as (select query_id, item_id from labelled where final), sizes as (select query_id, count(*) as n_gold from gold group by 1), {", ".join(f"h_{n} as (select * from hits where variant = '{n}')" for n in VARIANTS)}
+        select variant, count(*) as queries, {", ".join(f"round(avg({m}), 6) as {m}" for m in _METRICS)} from ({" union all ".join(f"select '{n}' as variant, * from ({_scores_sql(f'h_{n}')})" for n in VARIANTS)}) group by 1""")
+def experiment_means(spark, sf_dir):
+    """The whole experiment on documents: collections, four variants, pool, judges, means."""
+    docs = _t(spark, sf_dir, "documents").filter("text is not null")
+    chunks = docs.select(F.col("doc_id").alias("item_id"), F.col("text").alias("content"), _enriched(F.col("text")).alias("enriched"))
+    questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), _rewritten(F.col("text")).alias("rewritten"))
+
+    def judge(rows: DataFrame) -> DataFrame:
+        return _rule_judges(rows.withColumnRenamed("content", "body"))
+
+    found = experiment.run(chunks, questions, _source_items(spark, sf_dir), lambda rows: vector_search.hash_embedding(rows, "item_id", F.col("text")), judge)
+    counts = found.per_query.groupBy("variant").agg(F.count(F.lit(1)).alias("queries"))
+    return counts.join(found.means, "variant").select("variant", "queries", *[_r(m) for m in _METRICS])
+
+
 @register("select d.doc_id from documents d anti join labels l using (doc_id)")
 def missing_chunks_anti(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry import schemas
+from skerry.operators import agreement
 
 _RESERVED = ("question", "question_type")
 
@@ -97,6 +98,59 @@ def blind_sheet(sample: DataFrame, questions: DataFrame, chunks: DataFrame, numb
     return rows.select(nr.alias("nr"), "qa_id", "chunk_id", F.col("question").alias("frage"), F.col("chunk_text").alias("textausschnitt"), F.lit("").alias("relevant"), F.lit("").alias("kommentar"))
 
 
+def write_articles(articles: DataFrame, path: str) -> None:
+    """A JSON object per article and line."""
+    articles.write.mode("overwrite").json(path)
+
+
+def read_article_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """pmid, title, sections and characters of abstract and body, from :func:`write_articles`."""
+    rows = spark.read.schema(schemas.ARTICLE).option("mode", "FAILFAST").json(path)
+
+    def chars(name: str):
+        return F.aggregate(F.coalesce(name, F.array()), F.lit(0), lambda n, s: n + F.length(F.coalesce(s["text"], F.lit(""))))
+
+    count = [F.size(F.coalesce(c, F.array())).alias(f"n_{c}_sections") for c in ("abstract", "body")]
+    return rows.select("pmid", "title", "journal", *count, chars("abstract").alias("abstract_chars"), chars("body").alias("body_chars"))
+
+
+def section_histogram(articles: DataFrame) -> DataFrame:
+    """n, articles and share of articles by number of abstract sections."""
+    counts = articles.groupBy(F.size(F.coalesce("abstract", F.array())).alias("n_sections")).agg(F.count(F.lit(1)).alias("articles"))
+    total = counts.agg(F.sum("articles").alias("total"))  # one row
+    return counts.join(F.broadcast(total)).select("n_sections", "articles", F.round(F.col("articles") / F.col("total"), 2).alias("share"))
+
+
+def write_enrichment(chunks: DataFrame, path: str) -> None:
+    """A line {chunk_id: {content, hq_questions}} per chunk."""
+    entry = F.create_map("chunk_id", F.struct("content", "hq_questions"))
+    chunks.select(F.to_json(entry).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_rewrites(rows: DataFrame, path: str) -> None:
+    """A line {qa_id: {original, rewritten}} per question."""
+    entry = F.create_map("qa_id", F.struct(F.col("question").alias("original"), "rewritten"))
+    rows.select(F.to_json(entry).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_gold(labels: DataFrame, report: DataFrame, path: str) -> None:
+    """labels, gold (query_id, relevant_ids) and report, each as JSON lines below ``path``."""
+    labels.select(*[F.col(c).cast("int").alias(c) if t == "boolean" else F.col(c) for c, t in labels.dtypes]).write.mode("overwrite").json(f"{path}/labels")
+    agreement.gold_lists(labels).write.mode("overwrite").json(f"{path}/gold")
+    rounded = [F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in report.dtypes]
+    report.select(*rounded).write.mode("overwrite").json(f"{path}/report")
+
+
+def ordered_ids(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct identifiers, shorter ones first."""
+    return rows.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(F.length(column), column)
+
+
+def write_ids(rows: DataFrame, column: str, path: str) -> None:
+    """An identifier per line, in the order of :func:`ordered_ids`."""
+    ordered_ids(rows, column).write.mode("overwrite").text(path)
+
+
 def write_collection(embedded: DataFrame, path: str, dimensions: int) -> None:
     """Replace a collection; every vector must have the collection's dimensions."""
     checked = embedded.withColumn("embedding", F.when(F.size("embedding") == dimensions, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector hasn't {dimensions} dimensions"))))

@@ -3,9 +3,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from skerry.config import Settings
 from skerry.functions import labels
 from skerry.functions import text as tx
 from skerry.operators import agreement, chunking, metrics, models, pooling, sampling, statistics, vector_search
+from skerry.plans import experiment
 from skerry.sources import articles, pages, tables
 from skerry.streaming import ingest
 
@@ -153,6 +155,14 @@ def test_topk_methods_agree(spark):
     assert of(vector_search.topk_native) == of(vector_search.topk_block)
 
 
+def test_topk_with_string_identifiers(spark):
+    items = spark.createDataFrame([(f"7:{k:04d}", [1.0, float(k % 3)]) for k in range(9)], "item_id string, vector array<double>")
+    queries = spark.createDataFrame([("qa_0001", [1.0, 1.0]), ("qa_0000", [0.0, 1.0]), ("none", None)], "query_id string, vector array<double>")
+    both = [[(r["query_id"], r["rank"], r["item_id"]) for r in f(queries, items, 4).orderBy("query_id", "rank").collect()] for f in (vector_search.topk_native, vector_search.topk_block)]
+    assert both[0] == both[1] and both[0][4:7] == [("qa_0001", 1, "7:0001"), ("qa_0001", 2, "7:0004"), ("qa_0001", 3, "7:0007")]
+    assert vector_search.topk_block(queries.filter("vector is null"), items, 4).schema["query_id"].dataType.simpleString() == "string"
+
+
 def test_topk_without_vectors(spark):
     items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "item_id long, vector array<double>")
     queries = spark.createDataFrame([(7, [1.0, 1.0]), (8, None)], "query_id long, vector array<double>")
@@ -219,6 +229,76 @@ def test_model_cache(spark, tmp_path):
     assert [p.name for p in log.iterdir()] == ["ccc"]
 
 
+def test_two_judges(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def judge(name, rule):
+        def call(system, user):
+            (log / f"{name}-{user}").write_text("")
+            return '{"relevant": %d}' % rule(user), 1, 1
+
+        return call
+
+    rows = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c"), ("q", "d")], "question string, content string")
+    calls = (judge("A", lambda u: u in ("q a", "q b")), judge("B", lambda u: u in ("q a", "q c")), judge("C", lambda u: u == "q c"))
+    got = models.judge_twice(rows, "{question} {chunk}", str(tmp_path / "cache"), ("A", "B", "C"), calls).collect()
+    assert {r["content"]: (r["judge_a"], r["judge_b"], r["final"]) for r in got} == {"a": (True, True, True), "b": (True, False, False), "c": (False, True, True), "d": (False, False, False)}
+    assert sorted(p.name for p in log.iterdir() if p.name[0] == "C") == ["C-q b", "C-q c"]
+    assert models.probe(lambda texts: [[0.0] * 3 for _ in texts]) == 3
+    with pytest.raises(ValueError):
+        models.probe(lambda texts: [[]])
+
+
+def test_experiment(spark):
+    texts = ["red apple pie", "green apple", "blue whale song", "whale watching tour", "stone bridge"]
+    chunks = spark.createDataFrame([(k, t, t + "\nWhat is it?") for k, t in enumerate(texts)], "item_id long, content string, enriched string")
+    asked = spark.createDataFrame([(10, "apple", "green apple"), (11, "whale", None), (12, "nothing", "nothing")], "query_id long, question string, rewritten string")
+    source = spark.createDataFrame([(10, 0, 0), (12, 0, 4)], "query_id long, pos int, item_id long")
+
+    def embed(rows):
+        return vector_search.hash_embedding(rows, "item_id", F.col("text"))
+
+    def judge(rows):
+        return agreement.with_tiebreak(rows, F.contains(F.col("content"), F.col("question")), F.contains(F.col("content"), F.col("question")), F.lit(True))
+
+    with pytest.raises(ValueError):
+        experiment.run(chunks, asked, source, embed, judge, Settings(top_k=1, pool_depth=2))
+    found = experiment.run(chunks, asked, source, embed, judge, Settings(top_k=2, pool_depth=2))
+    best = {(r["variant"], r["query_id"]): r["item_id"] for r in found.hits.filter("rank = 1").collect()}
+    assert best["baseline", 10] == best["qr_only", 10] == best["hq_only", 10] == 1 and best["baseline", 11] in (2, 3)
+    assert found.hits.count() == 4 * 3 * 2
+    labels = {(r["query_id"], r["item_id"]): r["final"] for r in found.labels.collect()}
+    assert labels[10, 0] and labels[10, 1] and not labels[12, 4]
+    assert [r["query_id"] for r in found.excluded.collect()] == [12]
+    means = {r["variant"]: r for r in found.means.collect()}
+    assert set(means) == {"baseline", "qr_only", "hq_only", "both"} and means["baseline"]["mrr"] == 1.0
+    assert found.comparisons.count() == found.robustness.count() == 12
+
+
+def test_experiment_sinks(spark, tmp_path):
+    import json
+
+    from skerry import schemas
+
+    rows = [("10", None, None, "T", None, None, [("A", "xyz"), (None, None)], []), ("9", None, None, None, None, None, None, [("B", "é")]), ("8", None, None, "U", None, None, [("A", ""), ("B", "1")], None)]
+    parsed = spark.createDataFrame(rows, schemas.ARTICLE)
+    tables.write_articles(parsed, str(tmp_path / "articles"))
+    stats = {r["pmid"]: (r["n_abstract_sections"], r["n_body_sections"], r["abstract_chars"], r["body_chars"]) for r in tables.read_article_statistics(spark, str(tmp_path / "articles")).collect()}
+    assert stats == {"10": (2, 0, 3, 0), "9": (0, 1, 0, 1), "8": (2, 0, 1, 0)}
+    assert {r["n_sections"]: (r["articles"], r["share"]) for r in tables.section_histogram(parsed).collect()} == {0: (1, 0.33), 2: (2, 0.67)}
+    tables.write_ids(parsed.union(parsed), "pmid", str(tmp_path / "ids"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "ids")).collect()] == ["8", "9", "10"]
+    chunks = spark.createDataFrame([("9:0000", "c", ["q?"])], "chunk_id string, content string, hq_questions array<string>")
+    tables.write_enrichment(chunks, str(tmp_path / "hq"))
+    assert json.loads(spark.read.text(str(tmp_path / "hq")).first()["value"]) == {"9:0000": {"content": "c", "hq_questions": ["q?"]}}
+    tables.write_rewrites(spark.createDataFrame([("qa_0000", "a", "b")], "qa_id string, question string, rewritten string"), str(tmp_path / "rewrites"))
+    assert json.loads(spark.read.text(str(tmp_path / "rewrites")).first()["value"]) == {"qa_0000": {"original": "a", "rewritten": "b"}}
+    labels_ = spark.createDataFrame([(1, 0, "x", True, False, True), (1, 1, "y", False, False, False)], "query_id long, pos int, item_id string, judge_a boolean, judge_b boolean, final boolean")
+    tables.write_gold(labels_, agreement.report(labels_, "judge_a", "judge_b"), str(tmp_path / "gold"))
+    assert spark.read.json(str(tmp_path / "gold/gold")).first()["relevant_ids"] == ["x"] and {r["final"] for r in spark.read.json(str(tmp_path / "gold/labels")).collect()} == {0, 1}
+
+
 def test_pages():
     assert pages.parse_html("<html><head><title> T </title><style>x</style></head><body><p>a <b>b</b></p><script>no</script><div>c</div></body></html>") == ("T", ["a b", "c"])
 
