@@ -38,8 +38,8 @@ END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PIECES_PER_BUCKET = 20_000
 
-_CACHE_PARTS = 1_000_000
-_SLICE_BYTES = 8 << 20
+_CACHE_PARTS = 400_000
+_SLICE_BYTES = 3 << 20
 
 _BLANK, _LETTER, _NUMBER, _MARK, _OTHER = range(5)
 
@@ -171,11 +171,14 @@ class TextEncoder:
         odd = np.zeros(len(coded.dictionary), dtype=bool)
         odd[codes[is_odd]] = True
         pieces = self._pieces(coded.dictionary.to_pylist(), odd)
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
-        pool, begin = np.frombuffer(b"".join(pieces), dtype="<u4"), np.cumsum(sizes) - sizes
+        number = np.int32 if len(raw) < 1 << 29 else np.int64  # of ids, of which a byte gives one at most
+        sizes = np.fromiter(map(len, pieces), dtype=number, count=len(pieces)) // 4
+        pool, begin = np.frombuffer(b"".join(pieces), dtype="<u4"), np.cumsum(sizes, dtype=number) - sizes
         lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        ids = pool[np.repeat(begin[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(lengths, dtype=number)
+        places = np.repeat(begin[codes] - (ends - lengths), lengths)
+        places += np.arange(len(places), dtype=number)
+        ids = pool[places]
         text_ends = np.cumsum([len(t) + 1 for t in texts])
         bounds = np.concatenate([[0], ends])[np.searchsorted(at, text_ends)]
         return np.insert(ids, bounds, np.uint32(END_ID)), np.concatenate([[0], bounds + np.arange(1, len(bounds) + 1)])
