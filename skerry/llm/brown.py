@@ -3,15 +3,17 @@
 Model: P(word | previous word) = P(class | class of the previous word) * P(word | class), over the
 words of a text and one end token; the text's start stands in the end token's class.
 
-Exchange clustering moves *units* between classes.  The ``own_units`` most frequent words are units
-of their own, the end token is one, and every other word belongs to the unit of its spelling (a hash
-of its last two bytes), so every word, also an unseen one, is assigned to a class by exchange.  The
-table of unit pairs is bounded by the units; its counts cover all training texts.
-
-Word counts are exact and complete: they are a table in the shared folder that grows with the
-vocabulary.  Scoring resolves the words above a count threshold (at most ``head_words``, which bounds
-the broadcast) in the map stage, and joins the rest to the table by a 64-bit key.  The sums of a
-document then meet by its row.
+Classes come about in two steps.  First, exchange clustering moves *units* between classes: the
+``own_units`` most frequent words, the end token, and a unit for each spelling (a hash of the last two
+bytes).  Its table of unit pairs is bounded by the units.  Then every other word of the training texts,
+however rare, is exchanged by itself: its contexts (counts of the classes before and after it under the
+first step) are a table that grows with the vocabulary, and it goes where the likelihood gains most
+while all else is held.  Transitions are counted again under the classes that result.  The spelling's
+class remains that of words without any occurrence in the training texts.
+
+Counts and classes of words are exact and complete: a table in the shared folder.  The words above a
+count threshold (at most ``head_words``, which bounds the broadcast) are resolved in the map stage; every
+token of the rest is joined to the table by a 64-bit key, and meets its neighbours again by row and place.
 
 Smoothing: emissions add 0.5 to each count and to one unseen word per class; transitions are
 interpolated with the class shares.
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry import workspace
@@ -206,18 +208,180 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return label
 
 
+def _count_contexts(units: Units, label: np.ndarray, classes: int):
+    """key, context, me, n: class before a word without a unit of its own (from 0), after it (from ``classes``), itself before it (2 ``classes``); ``me`` is its class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        held = 0
+
+        def combined() -> tuple:
+            key, context, me, n = (np.concatenate(x) for x in zip(*parts))
+            uniq, back = np.unique(key, return_inverse=True)
+            pair, first, at = np.unique(back * 256 + context, return_index=True, return_inverse=True)
+            return uniq[pair >> 8], context[first], me[first], np.bincount(at, weights=n, minlength=len(pair)).astype(np.int64)
+
+        def batch(part: tuple) -> pa.RecordBatch:
+            key, context, me, n = part
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(context.astype(np.int32)), pa.array(me.astype(np.int32)), pa.array(n)], names=["key", "context", "me", "n"])
+
+        for _, texts in _arrow.text_slices(batches):
+            words = Words(texts)
+            keys = word_keys(words)
+            now, _ = _token_units(words, units, keys)
+            at = np.arange(len(keys)) + np.repeat(np.arange(len(texts)), words.counts)
+            same = np.zeros(len(now) + 1, dtype=bool)  # a token that repeats the one before
+            same[at[1:]] = (keys[1:] == keys[:-1]) & (np.diff(at) == 1)
+            unit = label[now]
+            mine = now[at] >= len(units.keys)
+            at, keys = at[mine], keys[mine]
+            before = np.where(same[at], 2 * classes, np.where(at > 0, unit[np.maximum(at - 1, 0)], label[units.end]))
+            after, other = classes + unit[at + 1], ~same[at + 1]
+            parts.append((np.concatenate([keys, keys[other]]), np.concatenate([before, after[other]]), np.concatenate([unit[at], unit[at][other]]), np.ones(len(keys) + int(other.sum()), np.int64)))
+            parts[-1:] = [combined()] if len(parts) == 1 else parts[-1:]
+            held += len(parts[-1][0])
+            if held > 1_000_000:
+                parts = [combined()]
+                held = len(parts[0][0])
+                if held > 600_000:
+                    yield batch(parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield batch(combined())
+
+    return run
+
+
+def best_classes(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, me: np.ndarray) -> np.ndarray:
+    """Where each word by itself goes by exchange, all others held; the arguments are as in :func:`exchange`, a row per word."""
+    n, classes = after.shape
+    every = np.arange(n)
+    rows, columns = np.tile(table.sum(1), (n, 1)), np.tile(table.sum(0), (n, 1))  # of the rest, and of pairs whose other half is the word
+    rows[every, me] -= after.sum(1) + own
+    columns[every, me] -= before.sum(1) + own
+    out_n, in_n = (after.sum(1) + own)[:, None], (before.sum(1) + own)[:, None]
+    gain = -(_xlogx(rows + out_n) - _xlogx(rows) + _xlogx(columns + in_n) - _xlogx(columns))
+    corner = np.tile(np.diag(table), (n, 1))
+    corner[every, me] -= after[every, me] + before[every, me] + own
+    gain += _xlogx(corner + after + before + own[:, None]) - _xlogx(corner + after) - _xlogx(corner + before) + _xlogx(corner)
+    for here, there, cells in ((after, before, table.T), (before, after, table)):
+        w, c = np.nonzero(here)
+        times = here[w, c]
+        cell = cells[c].copy()
+        cell[np.arange(len(w)), me[w]] -= times
+        inside = np.flatnonzero(me[w] == c)
+        cell[inside] -= there[w[inside]]
+        cell[inside, c[inside]] -= own[w[inside]]
+        gained = _xlogx(cell + times[:, None]) - _xlogx(cell)
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, int)
+        if len(w):
+            gain[w[first]] += np.add.reduceat(gained, first, axis=0)
+    to = gain.argmax(1)
+    return np.where(gain[every, to] > gain[every, me] + 1e-9, to, me)
+
+
+def _assign(table: np.ndarray):
+    """key, n, class of the words whose contexts come in order of their keys."""
+    classes = len(table)
+
+    def settled(key, context, me, n) -> pa.RecordBatch:
+        uniq, first, w = np.unique(key, return_index=True, return_inverse=True)
+        wide = np.bincount(w * (2 * classes + 1) + context, weights=n, minlength=len(uniq) * (2 * classes + 1)).reshape(len(uniq), -1)
+        before, after, own = wide[:, :classes].copy(), wide[:, classes : 2 * classes].copy(), wide[:, -1].copy()
+        to = best_classes(table, after, before, own, me[first])
+        return pa.RecordBatch.from_arrays([pa.array(uniq), pa.array((before.sum(1) + own).astype(np.int64)), pa.array(to.astype(np.int32))], names=["key", "n", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            held.append(tuple(np.asarray(batch.column(k)) for k in range(4)))
+            if sum(len(x[0]) for x in held) < 30_000:
+                continue
+            key, context, me, n = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(key, key[-1]))  # the last word may go on
+            if cut:
+                yield settled(key[:cut], context[:cut], me[:cut], n[:cut])
+            held = [(key[cut:], context[cut:], me[cut:], n[cut:])]
+        if held and sum(len(x[0]) for x in held):
+            yield settled(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
 @dataclass
 class Model:
     units: Units
     label: np.ndarray  # class of each unit
-    transition: np.ndarray  # log10 P(class | previous class)
-    room: np.ndarray  # log10 of the emission's denominator of each class
+    transition: np.ndarray | None  # log10 P(class | previous class)
+    room: np.ndarray | None  # log10 of the emission's denominator of each class
     head_keys: np.ndarray
     head_log: np.ndarray  # log10(count + ADD)
+    head_class: np.ndarray
     end_log: float
     tokens: int
     distinct: int
-    counts: DataFrame | None = None
+    counts: DataFrame | None = None  # key, n, class of every word of the training texts
+
+
+def _shared(spark: SparkSession, model: Model):
+    counts, model.counts = model.counts, None
+    shared = spark.sparkContext.broadcast(model)  # HEAD_WORDS keys, logarithms and classes, some 3 MB
+    shared.value  # noqa: B018
+    model.counts = counts
+    return shared
+
+
+def _known_classes(words: Words, model: Model, keys: np.ndarray):
+    """For the words: whether in the head, place in the head, place among tokens; for the tokens: class, -1 outside the head."""
+    head = model.head_keys
+    at = np.minimum(np.searchsorted(head, keys), max(len(head) - 1, 0))
+    known = head[at] == keys if len(head) else np.zeros(len(keys), bool)
+    n = len(words.counts)
+    place = np.arange(len(keys)) + np.repeat(np.arange(n), words.counts)
+    now = np.full(len(keys) + n, model.label[model.units.end], dtype=np.int64)
+    now[place] = np.where(known, model.head_class[at], -1) if len(head) else -1
+    return known, at, place, now
+
+
+def _tail(words: Words, model: Model, keys, known, place, now, before) -> pa.Array:
+    """Per text its words outside the head: place, key, the classes around them (-1 outside the head), the class of their spelling."""
+    where = place[~known]
+    other = model.label[len(model.units.keys) + spellings(words)[~known]]
+    ends = np.concatenate([[0], np.cumsum(~known)])[words.bounds]
+    fields = [where.astype(np.int32), keys[~known], before[where].astype(np.int32), now[where + 1].astype(np.int32), other.astype(np.int32)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(f) for f in fields], names=["at", "key", "left", "right", "other"]))
+
+
+_TAIL = "tail array<struct<at:int,key:long,left:int,right:int,other:int>>"
+
+
+def _count_transitions(shared, classes: int):
+    """Pairs of classes within the head, and the words outside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        total = np.zeros(classes**2, dtype=np.int64)
+        for part, texts in _arrow.text_slices(batches):
+            words = Words(texts)
+            keys = word_keys(words)
+            known, _, place, now = _known_classes(words, model, keys)
+            before = np.concatenate([[model.label[model.units.end]], now[:-1]])
+            both = (now >= 0) & (before >= 0)
+            total += np.bincount(before[both] * classes + now[both], minlength=classes**2)
+            none = pa.array([[]] * len(texts), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("row"), _tail(words, model, keys, known, place, now, before), none], names=["row", "tail", "pairs"])
+        last = pa.array([[]], pa.list_(pa.struct([(f, pa.int64() if f == "key" else pa.int32()) for f in ("at", "key", "left", "right", "other")])))
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), last, pa.array([total.tolist()], pa.list_(pa.int64()))], names=["row", "tail", "pairs"])
+
+    return run
+
+
+def _resolved(part: DataFrame, counts: DataFrame) -> DataFrame:
+    """row, left, right, n, class of each token outside the head; ``left`` is the class before it also where that is another such token's."""
+    tail = part.select("row", F.inline("tail")).join(counts.select("key", "n", "class"), "key", "left")
+    tail = tail.withColumn("class", F.coalesce("class", "other"))
+    before = F.lag("class").over(Window.partitionBy("row").orderBy("at"))
+    return tail.select("row", F.when(F.col("left") >= 0, F.col("left")).otherwise(before).alias("left"), "right", "n", "class")
 
 
 def train(docs: DataFrame, *, id_col="doc_id", text_col="text", classes: int = CLASSES, own_units: int = OWN_UNITS, head_words: int = HEAD_WORDS) -> Model:
@@ -228,10 +392,8 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", classes: int = C
     counts = workspace.materialize(counted.groupBy("key").agg(F.first("spelling").alias("spelling"), F.sum("n").alias("n")), "brown-counts")
     n_docs = docs.count()
     total = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    by_spelling = {r["spelling"]: r["v"] for r in counts.groupBy("spelling").agg(F.count(F.lit(1)).alias("v")).collect()}  # SPELLINGS rows
-    head = _head(counts, head_words)
-    by_count = head[np.lexsort((head[:, 0], -head[:, 2]))]
-    own = by_count[:own_units]
+    head = _head(counts, head_words, "spelling")
+    own = head[np.lexsort((head[:, 0], -head[:, 2]))][:own_units]
     own = own[np.argsort(own[:, 0])]
     units = Units(own[:, 0], np.arange(len(own)))
     pairs = np.zeros(units.size**2, dtype=np.int64)
@@ -241,26 +403,41 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", classes: int = C
     label = exchange(pairs, classes)
     member = np.zeros((units.size, classes))
     member[np.arange(units.size), label] = 1
-    table = member.T @ pairs @ member
+    contexts = texts.mapInArrow(_count_contexts(units, label, classes), "key long, context int, me int, n long")
+    alone = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_assign(member.T @ pairs @ member), "key long, n long, class int")
+    fixed = spark.createDataFrame([(int(k), int(n), int(c)) for (k, _, n), c in zip(own, label)], "key long, n long, class int")  # OWN_UNITS rows
+    words = workspace.materialize(alone.unionByName(fixed), "brown-words")
+    workspace.release(counts)
+    head = _head(words, head_words, "class")
+    head = head[np.argsort(head[:, 0])]
+    model = Model(
+        units, label, None, None, head[:, 0], np.log10(head[:, 2] + ADD), head[:, 1], float(np.log10(n_docs + ADD)),
+        int(total["n"]) + n_docs, int(total["v"]) + (1 if n_docs else 0), words,
+    )
+    rows = texts.withColumn("row", F.monotonically_increasing_id())
+    part = workspace.materialize(rows.mapInArrow(_count_transitions(_shared(spark, model), classes), f"row long, {_TAIL}, pairs array<long>"), "brown-train")
+    table = np.zeros(classes**2)
+    known = part.filter("row < 0").select(F.posexplode("pairs").alias("pair", "n"))
+    rest = _resolved(part.filter("row >= 0"), words)
+    rest = rest.select(F.explode(F.array(F.col("left") * classes + F.col("class"), F.when(F.col("right") >= 0, F.col("class") * classes + F.col("right")))).alias("pair"))
+    rest = rest.filter("pair is not null").select("pair", F.lit(1).cast("long").alias("n"))
+    for r in known.unionByName(rest).groupBy("pair").agg(F.sum("n").alias("n")).collect():  # classes**2 rows at most
+        table[r["pair"]] = r["n"]
+    workspace.release(part)
+    table = table.reshape(classes, classes)
     in_class = table.sum(0)
     share = (in_class + 1) / (in_class.sum() + classes)
-    transition = np.log10((table + share[None, :]) / (table.sum(1, keepdims=True) + 1))
-    distinct = np.zeros(units.size)
-    distinct[: len(own)] = 1
-    for spelling, v in by_spelling.items():
-        distinct[len(own) + spelling] = v
-    np.subtract.at(distinct, len(own) + own[:, 1], 1)
-    distinct[units.end] = 1 if n_docs else 0
-    room = np.log10(in_class + ADD * (member.T @ distinct + 1))
-    order = np.argsort(head[:, 0])
-    return Model(
-        units, label, transition, room, head[order, 0], np.log10(head[order, 2] + ADD), float(np.log10(n_docs + ADD)),
-        int(total["n"]) + n_docs, int(total["v"]) + (1 if n_docs else 0), counts,
-    )
+    model.transition = np.log10((table + share[None, :]) / (table.sum(1, keepdims=True) + 1))
+    distinct = np.zeros(classes)
+    for r in words.groupBy("class").agg(F.count(F.lit(1)).alias("v")).collect():  # one row per class
+        distinct[r["class"]] = r["v"]
+    distinct[label[units.end]] += 1 if n_docs else 0
+    model.room = np.log10(in_class + ADD * (distinct + 1))
+    return model
 
 
-def _head(counts: DataFrame, most: int) -> np.ndarray:
-    """(key, spelling, n) of all words above the least count that leaves at most ``most`` words."""
+def _head(counts: DataFrame, most: int, what: str) -> np.ndarray:
+    """(key, ``what``, n) of all words above the least count that leaves at most ``most`` words."""
     levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(most).collect()
     taken, least = 0, None
     for row in levels:
@@ -269,64 +446,57 @@ def _head(counts: DataFrame, most: int) -> np.ndarray:
         taken, least = taken + row["words"], row["n"]
     if least is None:
         return np.zeros((0, 3), dtype=np.int64)
-    table = counts.filter(F.col("n") >= least).select("key", "spelling", "n").toArrow()
-    return np.stack([np.asarray(table.column(c)) for c in ("key", "spelling", "n")], axis=1)
+    table = counts.filter(F.col("n") >= least).select("key", what, "n").toArrow()
+    return np.stack([np.asarray(table.column(c)) for c in ("key", what, "n")], axis=1)
 
 
-_PARTIAL = "row long, doc_id long, n_tokens long, n_head long, head_log double, class_log double, tail array<struct<key:long,n:int>>"
+_PARTIAL = f"row long, doc_id long, n_tokens long, n_head long, head_log double, class_log double, {_TAIL}"
 
 
 def _score_part(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        units, head, classes = model.units, model.head_keys, len(model.room)
+        classes = len(model.room)
         flat = model.transition.ravel()
         for part, texts in _arrow.text_slices(batches):
             words = Words(texts)
             keys = word_keys(words)
             n = len(texts)
-            now, before = _token_units(words, units, keys)
-            now, before = model.label[now], model.label[before]
+            known, at, place, now = _known_classes(words, model, keys)
+            before = np.concatenate([[model.label[model.units.end]], now[:-1]])
             ends = words.bounds + np.arange(n + 1)
-            class_log = segment_sums(flat[before * classes + now] - model.room[now], ends)
-            at = np.minimum(np.searchsorted(head, keys), max(len(head) - 1, 0))
-            known = head[at] == keys if len(head) else np.zeros(len(keys), bool)
-            logs = np.where(known, model.head_log[at], 0.0) if len(head) else np.zeros(len(keys))
-            head_log = segment_sums(logs, words.bounds) + model.end_log
-            n_head = segment_sums(known.astype(np.int64), words.bounds)
-            doc = np.repeat(np.arange(n), words.counts)[~known]
-            rest = keys[~known]
-            order = np.lexsort((rest, doc))
-            doc, rest = doc[order], rest[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])])) if len(rest) else np.zeros(0, int)
-            times = np.diff(np.concatenate([first, [len(rest)]])).astype(np.int32) if len(first) else np.zeros(0, np.int32)
-            bounds = np.searchsorted(doc[first], np.arange(n + 1)) if len(first) else np.zeros(n + 1, int)
-            tail = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(rest[first]), pa.array(times, pa.int32())], names=["key", "n"]))
+            class_log = np.where(now >= 0, -model.room[now], 0.0)
+            both = (now >= 0) & (before >= 0)
+            class_log[both] += flat[before[both] * classes + now[both]]
+            logs = np.where(known, model.head_log[at], 0.0) if len(model.head_keys) else np.zeros(len(keys))
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), pa.array(words.counts + 1, pa.int64()), pa.array(n_head), pa.array(head_log), pa.array(class_log), tail],
+                [part.column("row"), part.column("doc_id"), pa.array(words.counts + 1, pa.int64()), pa.array(segment_sums(known.astype(np.int64), words.bounds)),
+                 pa.array(segment_sums(logs, words.bounds) + model.end_log), pa.array(segment_sums(class_log, ends)), _tail(words, model, keys, known, place, now, before)],
                 names=["row", "doc_id", "n_tokens", "n_head", "head_log", "class_log", "tail"],
-            )
+            )
 
     return run
 
 
 def score(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row per document."""
-    spark: SparkSession = docs.sparkSession
-    counts, model.counts = model.counts, None
-    shared = spark.sparkContext.broadcast(model)  # HEAD_WORDS keys and logarithms, some 2 MB
-    model.counts = counts
+    shared = _shared(docs.sparkSession, model)
+    classes = len(model.room)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     part = workspace.materialize(rows.mapInArrow(_score_part(shared), _PARTIAL), "brown-part")
-    tail = part.select("row", F.inline("tail")).join(counts.select("key", F.col("n").alias("c")), "key", "left")
-    tail = tail.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("tail_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_tail")
-    )
+    flat, room = F.lit(model.transition.ravel().tolist()), F.lit(model.room.tolist())
+    c = F.col("class")
+    after = F.when(F.col("right") >= 0, F.get(flat, c * classes + F.col("right"))).otherwise(0.0)
+    tail = _resolved(part, model.counts).groupBy("row").agg(
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("tail_log"), F.count("n").alias("n_tail"),
+        F.sum(F.get(flat, F.col("left") * classes + c) + after - F.get(room, c)).alias("tail_class"),
+    )
     words = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
-    room = float(np.log10(model.tokens + ADD * (model.distinct + 1)))
+    unseen = float(np.log10(model.tokens + ADD * (model.distinct + 1)))
     out = part.drop("tail").join(tail, "row", "left").select(
         "doc_id", "n_tokens",
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + F.lit(1 if model.tokens else 0)).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (words - F.col("n_tokens") * F.lit(room)).alias("base_score"), (words + F.col("class_log")).alias("score"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), (words - F.col("n_tokens") * F.lit(unseen)).alias("base_score"),
+        (words + F.col("class_log") + F.coalesce("tail_class", F.lit(0.0))).alias("score"),
     )
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

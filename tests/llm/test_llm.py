@@ -90,6 +90,37 @@ def test_brown(docs, rows, nothing):
     assert all(r["n_known"] == 0 for r in brown.score(docs, brown.train(nothing)).collect())
 
 
+def test_brown_classes_from_use(spark):
+    """Words without units of their own that end alike but are used differently come apart, however rare."""
+    rng = random.Random(9)
+    pick = lambda kind: rng.choice([f"{kind}x", f"{kind}{rng.randint(0, 60)}zz"])
+    texts = [" ".join(w for _ in range(20) for w in ("ga", pick("p"), "gb", pick("q"))) for _ in range(20)]
+    model = brown.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), own_units=4, classes=6, head_words=20)
+    found = {r["key"]: r["class"] for r in model.counts.collect()}
+    of = lambda kind: {found[int(k)] for k in brown.word_keys(brown.Words([" ".join({w for t in texts for w in t.split() if w[0] == kind and w.endswith("zz")}).encode()]))}
+    assert len(of("p")) == len(of("q")) == 1 and of("p") != of("q")
+
+
+def test_brown_single_moves():
+    """A word's best class by itself is the one that brute force finds."""
+    rng = np.random.default_rng(3)
+    classes, units = 4, 12
+    pairs, label = rng.integers(0, 6, (units, units)), rng.integers(0, classes, units)
+
+    def table(labels):
+        member = np.eye(classes)[labels]
+        return member.T @ pairs @ member
+
+    def value(labels):
+        t = table(labels)
+        return brown._xlogx(t).sum() - brown._xlogx(t.sum(0)).sum() - brown._xlogx(t.sum(1)).sum()
+
+    own = np.diag(pairs).astype(float)
+    rest = pairs - np.diag(np.diag(pairs))
+    got = brown.best_classes(table(label), rest @ np.eye(classes)[label], rest.T @ np.eye(classes)[label], own, label)
+    assert got.tolist() == [int(np.argmax([value(np.where(np.arange(units) == w, c, label)) for c in range(classes)])) for w in range(units)]
+
+
 def test_exchange_finds_classes():
     """Words of two kinds that always alternate end up apart."""
     pairs = np.zeros((8, 8), dtype=np.int64)
