@@ -12,9 +12,10 @@ Windows without any shingle of a template of their length can't hold one and are
 with none of the words that every template shingle has at least one of are left before that.  The templates are a parameter, and their
 bands a broadcast table of templates x bands rows; ``MOST_TEMPLATES`` bounds it.
 
-Defined results: a null or empty text, and one with fewer than five words, has no findings; a null
+Defined results: a null or empty text has no findings, nor has one with fewer words than any template or notice; a null
 identifier is kept; repeated rows give repeated findings; an empty table gives an empty result;
-further columns are ignored; a template with fewer than five words is refused.
+further columns are ignored.  Texts with fewer than five words are refused among ``templates`` and
+passed as ``notices``: such a text is one shingle of all its words, found where these follow each other.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.templates import TEMPLATES
+from skerry.llm.templates import NOTICES, TEMPLATES
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -103,11 +104,35 @@ def anchors(templates: dict[str, str]) -> list[str]:
     return sorted(out)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, containment: float = CONTAINMENT, bands: int = BANDS, id_col="doc_id", text_col="text") -> DataFrame:
+def _notices(docs: DataFrame, notices: dict[str, str], id_col: str, text_col: str) -> DataFrame:
+    """The findings of texts with fewer than five words."""
+    words = {name: re.findall(r"[^\W_]+", text.lower()) for name, text in notices.items()}
+    if wrong := [name for name, w in words.items() if not 0 < len(w) < SHINGLE]:
+        raise ValueError(f"notices without words or with {SHINGLE} and more: {wrong}")
+    gap, lower = r"[^\p{L}\p{N}]+", F.lower(F.col(text_col))
+    phrases = "|".join(gap.join(re.escape(x) for x in w) for w in words.values())
+    rows = docs.filter(lower.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{phrases})(?![\p{{L}}\p{{N}}])"))
+    rows = _computed_once(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), words=words_of(F.col("text")))
+
+    def found(name: str, w: list[str]) -> Column:
+        want = F.array(*[F.lit(x) for x in w])
+        starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (len(w) - 1), F.lit(1)))
+        return F.struct(F.lit(name).alias("license"), F.filter(starts, lambda i: F.slice("words", i, len(w)) == want).alias("places"))
+
+    rows = rows.select("doc_id", F.explode(F.array(*[found(*item) for item in words.items()])).alias("f")).select("doc_id", "f.*").filter(F.size("places") > 0)
+    return rows.select("doc_id", "license", F.lit(1.0).alias("containment"), (F.get("places", F.lit(0)) - 1).cast("long").alias("first_word"), F.size("places").cast("long").alias("n_windows"))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, notices: dict[str, str] | None = None, containment: float = CONTAINMENT, bands: int = BANDS, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, license, containment, first_word, n_windows: one row per document row and template found in it.
 
-    ``first_word`` is where the best window starts, counted from 0.
+    ``first_word`` is where the best window starts, counted from 0.  ``notices`` are texts of one to four
+    words; those of this package go with its own templates.
     """
+    if notices is None:
+        notices = NOTICES if templates is TEMPLATES else {}
+    if len(templates) + len(notices) > MOST_TEMPLATES or set(templates) & set(notices):
+        raise ValueError(f"more than {MOST_TEMPLATES} templates and notices, or a name in both")
     table, lengths = _template_table(docs, templates)
     every = sorted({s for length in lengths for s in length.shingles})
     # A document with a template's shingle has one of the anchors: the others needn't be hashed.
@@ -137,4 +162,5 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, containment:
     found = found.select("doc_id", "row", "license", "first", share.alias("containment")).filter(F.col("containment") >= containment)
     best = F.max(F.struct(F.col("containment"), (-F.col("first")).alias("neg")))
     found = found.groupBy("row", "doc_id", "license").agg(best.alias("best"), F.count_distinct("first").alias("n_windows"))
-    return found.select("doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.neg")).cast("long").alias("first_word"), "n_windows")
+    found = found.select("doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.neg")).cast("long").alias("first_word"), "n_windows")
+    return found.unionByName(_notices(docs, notices, id_col, text_col)) if notices else found

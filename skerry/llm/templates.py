@@ -38,3 +38,6 @@ TEMPLATES = {
         "following disclaimer in the documentation and/or other materials provided with the distribution."
     ),
 }
+
+# Notices of fewer than five words.
+NOTICES = {"all-rights-reserved": "All rights reserved."}

@@ -146,6 +146,19 @@ def test_licenses(spark, nothing):
         licenses.scan(nothing, {"short": "all rights reserved"})
 
 
+def test_license_notices(spark, nothing):
+    """Texts of fewer than five words are found word for word, however they are spaced."""
+    texts = ["x (c) ALL  Rights\nreserved! a all rights reserved", "overall rights reserved", "all rights are reserved", "All rights reserved.", "all rights", None, "", "All rights reserved."]
+    data = spark.createDataFrame([(k if k != 7 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"], r["containment"], r["first_word"], r["n_windows"]) for r in licenses.scan(data).collect()}
+    assert got == {(0, "all-rights-reserved", 1.0, 2, 2), (3, "all-rights-reserved", 1.0, 0, 1), (None, "all-rights-reserved", 1.0, 0, 1)}
+    got = licenses.scan(data, notices={"one": "RIGHTS", "two": "rights are"}).collect()
+    assert sorted((r["license"], r["first_word"]) for r in got if r["doc_id"] in (2, 4)) == [("one", 1), ("one", 1), ("two", 1)]
+    for wrong in ({"none": "?"}, {"long": "one two three four five"}, {"mit": "all rights"}):
+        with pytest.raises(ValueError):
+            licenses.scan(nothing, notices=wrong)
+
+
 def test_mixing(docs, rows, nothing):
     mix = mixing.Mix(docs, block_words=8)
     got = mix.taken().collect()
