@@ -12,7 +12,8 @@ template can occur in them; :func:`unescaped` takes it away again.
 Defined results: a null text or role is empty; rows of one conversation are ordered by turn (null
 first), then role, then text, and repeated rows are turns of their own; a null conv_id is a
 conversation; a conversation without assistant turns has no examples and is still rendered; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; further columns are ignored.  A conversation of any length is one
+row while it is formatted, so its text must fit into a task's memory (2 GB at most).
 """
 
 from __future__ import annotations
@@ -56,19 +57,23 @@ def parsed(formatted: Column) -> Column:
 
 
 def examples(render: DataFrame) -> DataFrame:
-    """conv_id, target, loss_start, loss_end, reply: one row per assistant turn.
+    """conv_id, target, loss_start, loss_end, first_byte, end_byte, reply: one row per assistant turn.
 
     The example's text is the first ``loss_end`` code points of ``formatted`` and the end mark; its
-    context is the first ``loss_start`` of them, and only ``reply`` (as it stands there) bears loss.
+    context is the first ``loss_start`` of them, and only what lies between (``reply``, as it stands
+    there) bears loss.  ``first_byte`` and ``end_byte`` are the same mask over the text's UTF-8.
     """
     each = render.select("conv_id", F.posexplode(parsed(F.col("formatted"))).alias("target", "turn"))
-    length = F.length("turn.role").cast("long") + F.length("turn.text") + F.lit(len(TURN) + len(TEXT) + len(END))
+    role, text, marks = F.col("turn.role"), F.col("turn.text"), len(TURN) + len(TEXT) + len(END)
     # One prefix sum over the turns of a conversation, which the rendering has put into one row.
     before = Window.partitionBy("conv_id").orderBy("target").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("start", F.coalesce(F.sum(length).over(before), F.lit(0)))
-    start = F.col("start") + F.length("turn.role") + F.lit(len(TURN) + len(TEXT))
-    each = each.filter(F.col("turn.role") == TRAINED_ROLE)
-    return each.select("conv_id", "target", start.alias("loss_start"), (start + F.length("turn.text")).alias("loss_end"), F.col("turn.text").alias("reply"))
+    for name, size in (("chars", F.length), ("bytes", F.octet_length)):
+        each = each.withColumn(name, F.coalesce(F.sum(size(role).cast("long") + size(text) + marks).over(before), F.lit(0)) + size(role) + len(TURN) + len(TEXT))
+    each = each.filter(role == TRAINED_ROLE)
+    return each.select(
+        "conv_id", "target", F.col("chars").alias("loss_start"), (F.col("chars") + F.length(text)).alias("loss_end"),
+        F.col("bytes").alias("first_byte"), (F.col("bytes") + F.octet_length(text)).alias("end_byte"), text.alias("reply"),
+    )
 
 
 def example_texts(render: DataFrame) -> DataFrame:
@@ -81,20 +86,27 @@ def example_texts(render: DataFrame) -> DataFrame:
     return joined.select("conv_id", "target", F.substring(F.col("formatted"), F.lit(1), F.col("loss_start").cast("int")).alias("context"), "reply")
 
 
-def digests(render: DataFrame) -> DataFrame:
+def digests(render: DataFrame, masks: DataFrame | None = None) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the rendering.
 
-    Loss text comes from the examples: each assistant reply once, in order.
+    The loss text is what ``masks`` (the examples of ``render``, if not given) cut out of
+    ``formatted``, in order; bytes are cut, so a conversation costs its length once.
     """
     turns = parsed(F.col("formatted"))
     plain = F.transform(turns, lambda t: F.concat(unescaped(t["role"]), F.lit("\n"), unescaped(t["text"]), F.lit("\n")))
     whole = render.select(
         "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(F.encode(F.array_join(plain, ""), "UTF-8"), 256).alias("turns_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("formatted").cast("long").alias("formatted_chars"), F.encode("formatted", "UTF-8").alias("raw"),
     )
-    replies = examples(render).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("target", unescaped(F.col("reply")).alias("reply")))).alias("replies"))
-    replies = replies.select(F.col("conv_id").alias("of_id"), F.array_join(F.col("replies.reply"), "").alias("loss"))
-    loss = F.coalesce("loss", F.lit(""))
-    return whole.join(replies, F.col("conv_id").eqNullSafe(F.col("of_id")), "left").select(
-        "conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"), "formatted_chars"
+    spans = F.sort_array(F.collect_list(F.struct("target", "first_byte", "end_byte")))
+    mask = (examples(render) if masks is None else masks).groupBy("conv_id").agg(spans.alias("mask")).withColumnRenamed("conv_id", "of_id")
+
+    def under(span: Column) -> Column:
+        cut = F.substring(F.col("raw"), (span["first_byte"] + 1).cast("int"), (span["end_byte"] - span["first_byte"]).cast("int"))
+        return unescaped(F.decode(cut, "UTF-8"))
+
+    read = whole.join(mask, F.col("conv_id").eqNullSafe(F.col("of_id")), "left")
+    read = read.withColumn("loss", F.array_join(F.transform(F.coalesce("mask", F.array()), under), ""))
+    return read.select(
+        "conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars"
     )
