@@ -42,6 +42,9 @@ SPELLINGS = 512
 CLASSES = 48
 SWEEPS = 8
 HEAD_WORDS = 131_072
+#: A worker gathers contexts of texts of so many bytes at a time, and sends them on beyond so many rows.
+CONTEXT_BYTES = 1 << 20
+CONTEXTS_HELD = 300_000
 ADD = 0.5
 
 _TABLE = np.random.Generator(np.random.PCG64(2024)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -209,23 +212,26 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 
 
 def _count_contexts(units: Units, label: np.ndarray, classes: int):
-    """key, context, me, n: class before a word without a unit of its own (from 0), after it (from ``classes``), itself before it (2 ``classes``); ``me`` is its class."""
+    """key, cell: a word without a unit of its own, and a context of it with its count, in one number.
+
+    The context is the class before the word (from 0), the class after it (from ``classes``), or the
+    word itself before it (2 ``classes``).  See :func:`_cells`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         held = 0
 
         def combined() -> tuple:
-            key, context, me, n = (np.concatenate(x) for x in zip(*parts))
-            uniq, back = np.unique(key, return_inverse=True)
-            pair, first, at = np.unique(back * 256 + context, return_index=True, return_inverse=True)
-            return uniq[pair >> 8], context[first], me[first], np.bincount(at, weights=n, minlength=len(pair)).astype(np.int64)
+            key, place, n = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            return _merged(key, place, n)
 
         def batch(part: tuple) -> pa.RecordBatch:
-            key, context, me, n = part
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(context.astype(np.int32)), pa.array(me.astype(np.int32)), pa.array(n)], names=["key", "context", "me", "n"])
+            key, place, n = part
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64) << 16 | place)], names=["key", "cell"])
 
-        for _, texts in _arrow.text_slices(batches):
+        for _, texts in _arrow.text_slices(batches, limit=CONTEXT_BYTES):
             words = Words(texts)
             keys = word_keys(words)
             now, _ = _token_units(words, units, keys)
@@ -236,22 +242,35 @@ def _count_contexts(units: Units, label: np.ndarray, classes: int):
             mine = now[at] >= len(units.keys)
             at, keys = at[mine], keys[mine]
             before = np.where(same[at], 2 * classes, np.where(at > 0, unit[np.maximum(at - 1, 0)], label[units.end]))
-            after, other = classes + unit[at + 1], ~same[at + 1]
-            parts.append((np.concatenate([keys, keys[other]]), np.concatenate([before, after[other]]), np.concatenate([unit[at], unit[at][other]]), np.ones(len(keys) + int(other.sum()), np.int64)))
-            parts[-1:] = [combined()] if len(parts) == 1 else parts[-1:]
-            held += len(parts[-1][0])
-            if held > 1_000_000:
-                parts = [combined()]
+            other = ~same[at + 1]
+            place = np.concatenate([before, (classes + unit[at + 1])[other]]) << 8 | np.concatenate([unit[at], unit[at][other]])
+            parts.append((np.concatenate([keys, keys[other]]), place.astype(np.uint16), np.ones(len(place), np.int32)))
+            held += len(place)
+            if held > CONTEXTS_HELD:
+                parts[:] = [combined()]
                 held = len(parts[0][0])
-                if held > 600_000:
-                    yield batch(parts[0])
-                    parts, held = [], 0
+                if held > CONTEXTS_HELD // 2:
+                    yield batch(parts.pop())
+                    held = 0
         if parts:
             yield batch(combined())
 
     return run
 
 
+def _merged(key: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal (key, place) as one, with the sum of their counts, in order."""
+    order = np.lexsort((place, key))
+    key, place, n = key[order], place[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])])) if len(key) else np.zeros(0, np.int64)
+    return key[first], place[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _cells(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, class of the word so far, count)."""
+    return cell >> 8 & 255, cell & 255, cell >> 16
+
+
 def best_classes(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, me: np.ndarray) -> np.ndarray:
     """Where each word by itself goes by exchange, all others held; the arguments are as in :func:`exchange`, a row per word."""
     n, classes = after.shape
@@ -284,26 +303,27 @@ def _assign(table: np.ndarray):
     """key, n, class of the words whose contexts come in order of their keys."""
     classes = len(table)
 
-    def settled(key, context, me, n) -> pa.RecordBatch:
+    def settled(key: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+        context, me, n = _cells(cell)
         uniq, first, w = np.unique(key, return_index=True, return_inverse=True)
         wide = np.bincount(w * (2 * classes + 1) + context, weights=n, minlength=len(uniq) * (2 * classes + 1)).reshape(len(uniq), -1)
-        before, after, own = wide[:, :classes].copy(), wide[:, classes : 2 * classes].copy(), wide[:, -1].copy()
+        before, after, own = wide[:, :classes], wide[:, classes : 2 * classes], wide[:, -1]
         to = best_classes(table, after, before, own, me[first])
         return pa.RecordBatch.from_arrays([pa.array(uniq), pa.array((before.sum(1) + own).astype(np.int64)), pa.array(to.astype(np.int32))], names=["key", "n", "class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
-            held.append(tuple(np.asarray(batch.column(k)) for k in range(4)))
-            if sum(len(x[0]) for x in held) < 30_000:
-                continue
-            key, context, me, n = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.searchsorted(key, key[-1]))  # the last word may go on
+            key, cell = (np.concatenate([held[k], np.asarray(batch.column(k))]) for k in range(2))
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last word may go on
             if cut:
-                yield settled(key[:cut], context[:cut], me[:cut], n[:cut])
-            held = [(key[cut:], context[cut:], me[cut:], n[cut:])]
-        if held and sum(len(x[0]) for x in held):
-            yield settled(*(np.concatenate(x) for x in zip(*held)))
+                yield settled(key[:cut], cell[:cut])
+            held = (key[cut:], cell[cut:])
+            if len(held[0]) > CONTEXTS_HELD:  # a word that very many tasks have met
+                key, place, n = _merged(held[0], held[1] & 0xFFFF, held[1] >> 16)
+                held = (key, n << 16 | place)
+        if len(held[0]):
+            yield settled(*held)
 
     return run
 
@@ -403,7 +423,7 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", classes: int = C
     label = exchange(pairs, classes)
     member = np.zeros((units.size, classes))
     member[np.arange(units.size), label] = 1
-    contexts = texts.mapInArrow(_count_contexts(units, label, classes), "key long, context int, me int, n long")
+    contexts = texts.mapInArrow(_count_contexts(units, label, classes), "key long, cell long")
     alone = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_assign(member.T @ pairs @ member), "key long, n long, class int")
     fixed = spark.createDataFrame([(int(k), int(n), int(c)) for (k, _, n), c in zip(own, label)], "key long, n long, class int")  # OWN_UNITS rows
     words = workspace.materialize(alone.unionByName(fixed), "brown-words")
