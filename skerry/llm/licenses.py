@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.llm._columns import computed_once
 from skerry.llm.templates import NOTICES, TEMPLATES
 
 SHINGLE = 5
@@ -49,13 +50,6 @@ def signature(shingles: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda j: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, j))))
 
 
-def _computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with more columns, behind a generator: filters on what follows can't repeat their expressions below it."""
-    kept = df.columns
-    made = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select(*kept, F.explode(F.array(made)).alias("_made")).select(*kept, "_made.*")
-
-
 @dataclass(frozen=True)
 class _Length:
     """The templates of one length."""
@@ -112,7 +106,7 @@ def _notices(docs: DataFrame, notices: dict[str, str], id_col: str, text_col: st
     gap, lower = r"[^\p{L}\p{N}]+", F.lower(F.col(text_col))
     phrases = "|".join(gap.join(re.escape(x) for x in w) for w in words.values())
     rows = docs.filter(lower.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{phrases})(?![\p{{L}}\p{{N}}])"))
-    rows = _computed_once(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), words=words_of(F.col("text")))
+    rows = computed_once(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), words=words_of(F.col("text")))
 
     def found(name: str, w: list[str]) -> Column:
         want = F.array(*[F.lit(x) for x in w])
@@ -140,9 +134,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, notices: dic
     lower = F.lower(F.col(text_col))
     rows = docs.filter(lower.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{word})(?![\p{{L}}\p{{N}}])"))
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = _computed_once(_computed_once(rows, words=words_of(F.col("text"))), all=shingles_of(F.col("words")))
+    rows = computed_once(computed_once(rows, words=words_of(F.col("text"))), all=shingles_of(F.col("words")))
     hit = F.filter(F.transform("all", lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda h: h["s"].isin(every))
-    rows = _computed_once(rows.select("doc_id", "row", "all"), hits=hit)
+    rows = computed_once(rows.select("doc_id", "row", "all"), hits=hit)
 
     def starts(length: _Length) -> Column:
         """Structs of (n, first shingle, window) for the windows that hold a shingle of these templates."""

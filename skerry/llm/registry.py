@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from skerry.llm import brown, chat, exact_dedup, licenses, matroska, mixing, packing, pseudonyms, quality, simhash
 
 TOKENIZER = "word_bpe_49k.json"
+#: The setting that holds the secret of pseudonyms.
+PSEUDONYM_KEY = "spark.skerry.pseudonym.key"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonyms.findings(_documents(spark, sf_dir), "skerry")
+    found = pseudonyms.findings(_documents(spark, sf_dir), spark.conf.get(PSEUDONYM_KEY, "key of a demonstration"))
     kinds = F.array_join(F.array_sort(F.array_distinct("found.kind")), ",")
     return found.select("doc_id", F.size("found").cast("long").alias("n_found"), kinds.alias("kinds"), "text")
 

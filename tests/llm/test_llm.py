@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import json
 import math
@@ -307,6 +308,121 @@ def test_pseudonyms(spark, nothing):
     assert pseudonyms.findings(nothing, "k").count() == 0
 
 
+VALID = {
+    "ssn": lambda v: v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000",
+    "date": lambda v: date_of(v) is not None, "ipv4": lambda v: all(int(x) < 256 for x in v.split(".")),
+    "card": lambda v: luhn(re.sub("[^0-9]", "", v)) and not v.startswith("000000"), "phone": lambda v: True, "email": lambda v: "@" in v,
+}
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(digits))) % 10 == 0
+
+
+def date_of(v):
+    for form in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y"):
+        try:
+            return datetime.datetime.strptime(v, form).date()
+        except ValueError:
+            pass
+
+
+def test_pseudonyms_stay_valid(spark):
+    """Every pseudonym is a valid value of its kind and notation, and different values have different ones."""
+    rng = random.Random(12)
+    days = [datetime.date.fromordinal(rng.choice([rng.randint(1, 693_595), rng.randint(693_596, 766_495), rng.randint(766_496, 3_652_059)])) for _ in range(400)]
+    days += [datetime.date(1, 1, 1), datetime.date(9999, 12, 31), datetime.date(1900, 1, 1), datetime.date(1899, 12, 31), datetime.date(2099, 8, 5), datetime.date(2099, 8, 6), datetime.date(9883, 9, 28)]
+    late = [d for d in days if d.day > 12 and d.year >= 400] + [datetime.date(y, 2, 29) for y in (400, 1600, 1604, 2000, 2024, 9996)]
+    values = {f"{d.year:04d}-{d.month:02d}-{d.day:02d}" for d in days} | {f"{d.day:02d}.{d.month:02d}.{d.year:04d}" for d in days}
+    values |= {f"{d.month:02d}/{d.day:02d}/{d.year:04d}" for d in days} | {f"{d.day:02d}/{d.month:02d}/{d.year:04d}" for d in late}
+    values |= {f"{rng.choice([*range(1, 666), *range(667, 900)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(600)} | {"001-01-0001", "899-99-9999", "667-01-0001", "665-99-9999"}
+    values |= {".".join(str(rng.randint(0, 255)) for _ in range(4)) for _ in range(300)} | {f"192.168.{a:03d}.{b:02d}" for a in range(0, 40) for b in range(10)} | {"0.0.0.0", "255.255.255.255", "192.168.001.010", "192.168.1.10"}
+    cards = ["".join(str(rng.randint(0, 9)) for _ in range(n)) for n in range(12, 19) for _ in range(60)]
+    cards = {c + next(d for d in "0123456789" if luhn(c + d)) for c in cards}
+    values |= cards | {f"{c[:4]} {c[4:10]} {c[10:]}" for c in cards if len(c) in (14, 15)} | {f"{c[:4]}-{c[4:8]}-{c[8:12]}-{c[12:]}" for c in cards if len(c) == 16}
+    table = spark.createDataFrame([(v,) for v in sorted(values)], "v string").repartition(4)
+    got = table.select("v", pseudonyms.kind_of(F.col("v")).alias("kind")).withColumn("p", pseudonyms.pseudonym(F.col("v"), F.col("kind"), "secret"))
+    got = got.withColumn("again", pseudonyms.kind_of(F.col("p"))).collect()
+    assert len(got) == len(values) and all(r["kind"] for r in got)
+    for r in got:
+        assert r["again"] == r["kind"] and VALID[r["kind"]](r["p"]), r
+        assert [c if not c.isdigit() else "0" for c in r["p"]] == [c if not c.isdigit() else "0" for c in r["v"]] or r["kind"] == "ipv4", r
+    assert len({r["p"] for r in got}) == len(got)
+    # Month first and day first can't be mistaken for each other.
+    for r in got:
+        if r["kind"] == "date" and "/" in r["v"]:
+            assert (int(r["v"][:2]) > 12) == (int(r["p"][:2]) > 12), r
+
+
+def test_small_feistel_domains(spark):
+    """All of a domain, in and out: leap days, late days, padded octets."""
+    leap = {f"29/02/{y}" for y in range(2000, 2400) if y % 4 == 0 and y % 100 or y % 400 == 0}
+    late = {f"{d}/{1900 + y}" for d in pseudonyms.LATE_DAYS for y in range(100)}
+    padded = {f"{a:02d}.0{b:02d}.7.{c}" for a in range(10) for b in range(0, 100, 9) for c in (0, 9, 255)}
+    for values, closed in ((leap, True), (late, True), (padded, False)):
+        table = spark.createDataFrame([(v,) for v in sorted(values)], "v string").repartition(4)
+        got = {r["p"] for r in table.select(pseudonyms.pseudonym(F.col("v"), pseudonyms.kind_of(F.col("v")), "k").alias("p")).collect()}
+        assert got == values if closed else len(got) == len(values) and all(re.fullmatch(r"0\d\.0\d\d\.\d+\.\d+", p) for p in got)
+
+
+def test_pseudonyms_of_long_and_repeated_rows(spark):
+    """Long texts, repeated rows, texts with the mark itself; the key isn't in the plan."""
+    long = "word 12 " * 30_000 + "ssn 123-45-6789 " + "x" * 50_000 + " a.b@c.de"
+    marked = "\x01 \x01\x01 123-45-6789 \x01 a.b@c.de\x01"
+    table = spark.createDataFrame([(1, long), (2, long), (2, long), (3, marked), (4, "123-45-6789")], "doc_id long, text string")
+    found = pseudonyms.findings(table, "a secret key")
+    got = [(r["doc_id"], r["text"], tuple(r["found"])) for r in found.collect()]
+    assert "a secret key" not in found._jdf.queryExecution().toString()
+    assert len(got) == 5 and len({g[1:] for g in got if g[0] < 3}) == 1
+    ssn, mail = (dict(got[0][2])[k] for k in ("ssn", "email"))
+    assert dict([g[::2] for g in got if g[0] == 4][0][1]) == {"ssn": ssn}
+    by = {g[0]: g[1] for g in got}
+    assert by[1] == long.replace("123-45-6789", ssn).replace("a.b@c.de", mail) and by[3] == marked.replace("123-45-6789", ssn).replace("a.b@c.de", mail)
+
+
+def brute_findings(text):
+    """(kind, value) of a text by the patterns alone, with Python's regular expressions and calendar."""
+    out = []
+    for m in re.finditer(pseudonyms.PATTERN, text or ""):
+        v = m.group()
+        digits = re.sub("[^0-9]", "", v)
+        if "@" in v:
+            out.append(("email", v))
+        elif re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d([./])\d\d\1\d{4}", v):
+            out += [("date", v)] * (date_of(v) is not None)
+        elif re.fullmatch(r"\d{3}-\d\d-\d{4}", v):
+            out += [("ssn", v)] * VALID["ssn"](v)
+        elif re.fullmatch(pseudonyms.PHONE, v):
+            out.append(("phone", v))
+        elif re.fullmatch(r"[0-9 -]+", v):
+            out += [("card", v)] * (13 <= len(digits) <= 19 and luhn(digits) and not digits.startswith("000000"))
+        else:
+            out += [("ipv4", v)] * VALID["ipv4"](v)
+    return out
+
+
+def test_pseudonyms_against_brute_force(spark):
+    """Findings of random texts are those of the patterns, and only they are replaced."""
+    rng = random.Random(21)
+    parts = ["4539 1488 0343 6467", "4539148803436468", "378282246310005", "3782 822463 10005", "10.1.2.3", "1.2.3.999", "01.002.3.4", "2024-02-30", "31.12.1999", "12/31/1999", "31/12/1999", "13/13/1999",
+             "+1 (212) 555-0187", "212-555-0187", "123-45-6789", "666-45-6789", "a_b%c@d-e.co.uk", "x@y", "12", "word", "7.", "-", "é", ",", "1234-56-78901", "\x01"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "\n", ", ", ""]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in pseudonyms.findings(table, "k").collect()}
+    want = {k: f for k, t in enumerate(texts) if (f := brute_findings(t))}
+    assert {k: [f["kind"] for f in r["found"]] for k, r in got.items()} == {k: [kind for kind, _ in f] for k, f in want.items()}
+    same = {}
+    for k, f in want.items():
+        at = 0
+        for (kind, value), new in zip(f, got[k]["found"]):
+            assert same.setdefault((kind, value.lower()), new["pseudonym"]) == new["pseudonym"]
+        # Between the findings the text is as it was.
+        for piece in re.split("|".join(sorted({re.escape(n["pseudonym"]) for n in got[k]["found"]}, key=len, reverse=True)), got[k]["text"]):
+            found_at = texts[k].find(piece, at)
+            assert found_at >= at or any(n["pseudonym"] in texts[k] for n in got[k]["found"])
+            at = max(found_at, at)
+
+
 def test_feistel_permutes(spark):
     got = [r["p"] for r in spark.range(72).select(pseudonyms.feistel(F.col("id"), F.lit(8).cast("long"), F.lit(9).cast("long"), "k", "t").alias("p")).collect()]
     assert sorted(got) == list(range(72))
