@@ -11,14 +11,14 @@ Plan
    it retains the best identifier, its locator and the number of rows.  Aggregation is partial
    before the shuffle, so a digest with a third of all rows arrives as one row per map task.
 3. A digest seen once is final.  On hits (seen more than once) the full normalised texts are
-   compared with the text of the row that stays; rows that differ despite an equal digest are
-   regrouped by their full text.
+   compared with the text of the row that stays; the rows of a digest that two texts share are
+   regrouped by the texts themselves.
 
 Defined results: a null text counts as empty; empty texts form one group; of equal texts the one
 with the most code points stays, then the smallest doc_id (null last), then the first row; repeated
 rows (even with one doc_id) are separate rows of which one stays; an empty table gives an empty
 result; other columns of the input are ignored by :func:`exact_dedup` and kept by
-:func:`keep_first`.
+:func:`keep_first`; a text of any length is one row.
 """
 
 from __future__ import annotations
@@ -97,8 +97,8 @@ def _with_digest(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = squeezed(F.col(text_col))
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("length"),
-        norm.alias("norm"), digest(norm).alias("digest"),
+        F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("length"), norm.alias("norm"), digest(norm).alias("digest"),
+        F.concat_ws("#", F.input_file_name(), F.col(id_col).cast("string")).alias("locator"), F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -134,18 +134,14 @@ def exact_dedup(
     spark = docs.sparkSession
     rows = _with_digest(docs, id_col, text_col, digest)
     intake = workspace.materialize(
-        rows.select(
-            "doc_id", "length", "digest", sha256_digest(F.col("norm")).alias("text_sha256"),
-            F.concat_ws("#", F.input_file_name(), F.col("doc_id").cast("string")).alias("locator"),
-            F.monotonically_increasing_id().alias("row"),
-        ), "dedup-intake",
+        rows.select("doc_id", "length", F.col("digest").cast("string").alias("digest"), sha256_digest(F.col("norm")).alias("text_sha256"), "locator", "row"), "dedup-intake",
     )
     folder = intake.inputFiles()[0].rsplit("/", 1)[0]
     groups = workspace.materialize(_state(spark, folder, intake.schema, files_per_trigger), "dedup-groups")
     hits, n_hits = _hits(groups)
     bad = None
     if n_hits:
-        texts, bad = _collided(rows, hits, n_hits)
+        texts, bad = _collided(rows.withColumn("digest", F.col("digest").cast("string")), hits, n_hits)
     if bad is not None:
         intake, groups = _regroup(intake, texts, bad, groups)
     out = intake.join(groups, "digest")
@@ -157,37 +153,30 @@ def exact_dedup(
 
 
 def _regroup(intake: DataFrame, texts: DataFrame, bad: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Give each different text of a shared digest a key of its own.
-
-    The key is the digest with the number of the text among the texts of that digest; the texts
-    are matched through their SHA-256, which here only addresses texts that were compared in full.
-    """
-    sha = sha256_digest(F.col("norm"))
-    keys = texts.join(bad, "digest", "left_semi").select("digest", sha.alias("text_sha256")).distinct()
-    keys = keys.withColumn("key", F.concat_ws(":", F.col("digest").cast("string"), F.col("text_sha256")))
-    intake = intake.withColumn("digest", F.col("digest").cast("string"))
-    keys = keys.withColumn("digest", F.col("digest").cast("string"))
-    moved = workspace.materialize(
-        intake.join(keys, ["digest", "text_sha256"], "left").withColumn("digest", F.coalesce("key", "digest")).drop("key"), "dedup-regrouped"
-    )
+    """Give each different text of a shared digest a key of its own: the digest with the least row of the text."""
+    shared = texts.join(bad, "digest", "left_semi")
     best = F.struct(*_rank(F.col("length"), F.col("doc_id"), F.col("row")), F.col("locator"))
-    again = moved.groupBy("digest").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("seen"))
-    return moved, again
+    parts = shared.groupBy("digest", "norm").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("seen"), F.min("row").alias("least"))
+    parts = workspace.materialize(parts.withColumn("key", F.concat_ws(":", "digest", F.col("least").cast("string"))), "dedup-parts")
+    moved = shared.join(parts.select("digest", "norm", "key"), ["digest", "norm"])
+    moved = moved.select("doc_id", "length", F.col("key").alias("digest"), sha256_digest(F.col("norm")).alias("text_sha256"), "locator", "row")
+    intake = intake.join(bad, "digest", "left_anti").unionByName(moved)
+    groups = groups.join(bad, "digest", "left_anti").unionByName(parts.select(F.col("key").alias("digest"), "best", "seen"))
+    return workspace.materialize(intake, "dedup-regrouped"), groups
 
 
 def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, files_per_trigger: int = 4096
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+    digest: Callable[[Column], Column] = sha256_digest, files_per_trigger: int = 4096,
+) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns.
 
     Rows whose digest is single pass through without a shuffle of their text; of the others one
     row per text is picked by an aggregate that is partial before the shuffle.
     """
     spark = docs.sparkSession
-    rows = _with_digest(docs, id_col, text_col, sha256_digest)
-    intake = workspace.materialize(
-        rows.select("doc_id", "length", "digest", F.lit("").alias("locator"), F.monotonically_increasing_id().alias("row")), "dedup-intake"
-    )
+    rows = _with_digest(docs, id_col, text_col, lambda norm: digest(norm).cast("string"))
+    intake = workspace.materialize(rows.select("doc_id", "length", "digest", "locator", "row"), "dedup-intake")
     folder = intake.inputFiles()[0].rsplit("/", 1)[0]
     groups = workspace.materialize(_state(spark, folder, intake.schema, files_per_trigger), "dedup-groups")
     hits, n_hits = _hits(groups)
@@ -197,7 +186,7 @@ def keep_first(
     full = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_col).cast("long").alias("doc_id"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("length"), squeezed(F.col(text_col)).alias("norm"),
-    ).withColumn("digest", sha256_digest(F.col("norm")))
+    ).withColumn("digest", digest(F.col("norm")).cast("string"))
     marked = full.join(_sized(hits.select("digest", F.lit(True).alias("hit")), n_hits), "digest", "left")
     single = marked.filter("hit is null").select("record.*")
     key = ["digest"] if bad is None else ["digest", "norm"]
