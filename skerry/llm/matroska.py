@@ -5,10 +5,15 @@ both kinds of blocks, and the Xiph, EBML and fixed lacings) to one record per fr
 timestamp, key frame, and the byte range of the frame in the file.  :func:`cues` gives the index.
 :func:`mux` writes one track of 8-bit samples as a file, losslessly.
 
+A block's timestamp is that of its first frame.  The others follow at the block's duration divided by
+its frames, else at the track's default duration; without either they share the block's timestamp.
+``timestamp`` counts ticks of the file's timestamp scale, ``time_ns`` nanoseconds.
+
 Defined results: a null text counts as empty; the payload of an empty text is 192 spaces; repeated
 rows give equal values; an empty table gives an empty result; a damaged file raises ``ValueError``
-in :func:`packets` (rows of :func:`packet_table` then carry it in ``error``); further columns are
-ignored.
+in :func:`packets` and :func:`cues` (rows of :func:`packet_table` then carry it in ``error``); a file
+without frames, or without bytes, has no rows in :func:`packet_table`; further columns are ignored; a text
+or file of any length is worked on as a whole, within a task's memory.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from skerry.llm import _arrow
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
-TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
+TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0x23E383
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0xF0
@@ -93,7 +98,8 @@ def mux(payload: bytes, frame: int = FRAME) -> bytes:
     info = _element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000) + _element(MUXING_APP, b"skerry") + _element(WRITING_APP, b"skerry"))
     audio = _element(AUDIO, _element(SAMPLING, np.array(RATE, dtype=">f8").tobytes()) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8))
     tracks = _element(TRACKS, _element(TRACK_ENTRY, b"".join((
-        _uint(TRACK_NUMBER, 1), _uint(TRACK_UID, 1), _uint(TRACK_TYPE, 2), _uint(FLAG_LACING, 1), _element(CODEC_ID, b"A_PCM/INT/LIT"), audio,
+        _uint(TRACK_NUMBER, 1), _uint(TRACK_UID, 1), _uint(TRACK_TYPE, 2), _uint(FLAG_LACING, 1), _uint(DEFAULT_DURATION, 1_000_000_000 * frame // RATE),
+        _element(CODEC_ID, b"A_PCM/INT/LIT"), audio,
     ))))
     at, clusters, points = len(info) + len(tracks), [], []
     for c in range(0, len(frames), FRAMES_PER_BLOCK * BLOCKS_PER_CLUSTER):
@@ -163,6 +169,7 @@ class Packet:
     lacing: int
     start: int
     size: int
+    time_ns: int = 0
 
 
 def _frames(data: bytes, body: int, end: int) -> tuple[int, int, int, list[tuple[int, int]]]:
@@ -212,65 +219,100 @@ def _frames(data: bytes, body: int, end: int) -> tuple[int, int, int, list[tuple
     return track, relative, flags, ranges
 
 
+SCALE = 1_000_000  # nanoseconds of a tick where the file doesn't say
+
+
+def _number(data: bytes, start: int, stop: int) -> int:
+    return int.from_bytes(data[start:stop], "big")
+
+
+def _timing(data: bytes, body: int, end: int) -> tuple[int, dict[int, int]]:
+    """(nanoseconds of a tick, default duration of each track in nanoseconds) of a segment."""
+    scale, durations = SCALE, {}
+    for number, _, first, last in elements(data, body, end):
+        if number == INFO:
+            for child, _, a, b in elements(data, first, last):
+                scale = (_number(data, a, b) or SCALE) if child == TIMESTAMP_SCALE else scale
+        elif number == TRACKS:
+            for child, _, a, b in elements(data, first, last):
+                if child == TRACK_ENTRY:
+                    entry = {k: _number(data, x, y) for k, _, x, y in elements(data, a, b) if k in (TRACK_NUMBER, DEFAULT_DURATION)}
+                    if TRACK_NUMBER not in entry:
+                        raise ValueError(f"the track at byte {a} has no number")
+                    durations[entry[TRACK_NUMBER]] = entry.get(DEFAULT_DURATION, 0)
+    return scale, durations
+
+
 def packets(data: bytes) -> list[Packet]:
     """The frames of all tracks in file order."""
     out: list[Packet] = []
 
-    def block(body: int, end: int, cluster: int, key: bool | None) -> None:
+    def block(body: int, end: int, cluster: int, key: bool | None, total: int | None) -> None:
         track, relative, flags, ranges = _frames(data, body, end)
         key_frame = bool(flags & 0x80) if key is None else key
-        out.extend(Packet(track, cluster + relative, key_frame, flags >> 1 & 3, a, n) for a, n in ranges)
+        each, parts = (total * scale, len(ranges)) if total is not None else (durations.get(track, 0), 1)  # nanoseconds of so many frames
+        start = (cluster + relative) * scale
+        for k, (a, n) in enumerate(ranges):
+            later = k * each // parts
+            out.append(Packet(track, cluster + relative + later // scale, key_frame, flags >> 1 & 3, a, n, start + later))
 
     for top, _, body, end in elements(data, 0, len(data)):
         if top != SEGMENT:
             continue
+        scale, durations = _timing(data, body, end)
         for number, _, first, last in elements(data, body, end):
             if number != CLUSTER:
                 continue
             stamp = 0
             for child, _, a, b in elements(data, first, last):
                 if child == TIMESTAMP:
-                    stamp = int.from_bytes(data[a:b], "big")
+                    stamp = _number(data, a, b)
                 elif child == SIMPLE_BLOCK:
-                    block(a, b, stamp, None)
+                    block(a, b, stamp, None, None)
                 elif child == BLOCK_GROUP:
                     inner = {k: (x, y) for k, _, x, y in elements(data, a, b)}
                     if BLOCK in inner:
-                        block(*inner[BLOCK], stamp, REFERENCE not in inner)
+                        total = _number(data, *inner[BLOCK_DURATION]) if BLOCK_DURATION in inner else None
+                        block(*inner[BLOCK], stamp, REFERENCE not in inner, total)
     return out
 
 
 def cues(data: bytes) -> list[tuple[int, int, int]]:
-    """(time, track, cluster's first byte in the file) of the index."""
+    """(time, track, cluster's first byte in the file) of the index: one for each position of each point."""
     out = []
     for top, _, body, end in elements(data, 0, len(data)):
         if top != SEGMENT:
             continue
         for number, _, first, last in elements(data, body, end):
-            if number == CUES:
-                for _, _, a, b in elements(data, first, last):
-                    point = {k: (x, y) for k, _, x, y in elements(data, a, b)}
-                    time = int.from_bytes(data[slice(*point[CUE_TIME])], "big")
-                    inner = {k: int.from_bytes(data[x:y], "big") for k, _, x, y in elements(data, *point[CUE_POSITIONS])}
-                    out.append((time, inner[CUE_TRACK], body + inner[CUE_CLUSTER]))
+            if number != CUES:
+                continue
+            for child, at, a, b in elements(data, first, last):
+                if child != CUE_POINT:
+                    continue
+                parts = [(k, x, y) for k, _, x, y in elements(data, a, b)]
+                times = [_number(data, x, y) for k, x, y in parts if k == CUE_TIME]
+                positions = [{k: _number(data, x, y) for k, _, x, y in elements(data, *p[1:])} for p in parts if p[0] == CUE_POSITIONS]
+                if not times or not positions or any(CUE_TRACK not in p or CUE_CLUSTER not in p for p in positions):
+                    raise ValueError(f"the cue point at byte {at} lacks its time, track or cluster")
+                out += [(times[0], p[CUE_TRACK], body + p[CUE_CLUSTER]) for p in positions]
     return out
 
 
-PACKET_SCHEMA = "file_id long, packet int, track int, timestamp long, key boolean, lacing int, start long, size long, error string"
+PACKET_SCHEMA = "file_id long, packet int, track int, timestamp long, key boolean, lacing int, start long, size long, time_ns long, error string"
 
 
 def packet_table(files: DataFrame, *, id_col: str = "file_id", data_col: str = "data") -> DataFrame:
     """One row per frame of each file (a binary column); a damaged file gives one row with its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         names = [c.split()[0] for c in PACKET_SCHEMA.split(", ")]
         for part, texts in _arrow.text_slices(batches, "data"):
             for file_id, data in zip(part.column("file_id").to_pylist(), texts):
                 try:
-                    rows = [(file_id, k, p.track, p.timestamp, p.key, p.lacing, p.start, p.size, None) for k, p in enumerate(packets(data))]
+                    rows = [(file_id, k, p.track, p.timestamp, p.key, p.lacing, p.start, p.size, p.time_ns, None) for k, p in enumerate(packets(data))]
                 except ValueError as error:
-                    rows = [(file_id, None, None, None, None, None, None, None, str(error))]
+                    rows = [(file_id, *[None] * 8, str(error))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
