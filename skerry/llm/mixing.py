@@ -8,23 +8,28 @@ pass over the source), and joined to the blocks by index.
 The multinomial of a shard is over what is still owed to each source, so that the shards together
 take exactly the rounded target of blocks and no source is passed through more than three times.
 
-Everything that grows with the corpus is a DataFrame; the driver holds one row per source and one
-per (shard, source).  A hot source is spread over hash buckets for its prefix sums and over block
-indexes for the joins, so no task holds a source.
+Everything that grows with the corpus is a DataFrame; the driver holds one row per source (targets are
+a matter of all sources at once) and, as arrays, one number per (shard, source).  The table of sources is
+broadcast behind a check of its size.  A hot source is spread over hash buckets for its prefix sums and
+over block indexes for the joins, so no task holds a source.  A source with a target takes one block
+at least, however small it is.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source, ordered last;
 documents with equal identifiers are separate rows, each with its own share of the mix; an empty table
-gives an empty result; further columns are ignored by :class:`Mix` and kept by :func:`mixed_documents`.
+gives an empty result; further columns are ignored by :class:`Mix` and kept by :func:`mixed_documents`,
+whatever their names; a text of any length is counted, and cut into words once, as a whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry import workspace
+from skerry.llm._columns import computed_once, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -35,6 +40,8 @@ SLOTS_PER_ROW = 65_536
 SLOTS_PER_TASK = 200_000
 MOST_SLOT_TASKS = 20_000
 ROWS_PER_BUCKET = 20_000
+#: Sources that may be broadcast; names of some 100 bytes make 10 MB.
+BROADCAST_SOURCES = 100_000
 
 SOURCE_SCHEMA = "source string, source_ix int, source_size long, target double, blocks long"
 DRAW_SCHEMA = "shard int, source_ix int, first long, slots long, blocks long"
@@ -119,7 +126,8 @@ class Mix:
     def _placed(self, sized: DataFrame, rows: int) -> DataFrame:
         """Word offsets within the source: a prefix sum over hash buckets, then one within each."""
         buckets = max(64, rows // ROWS_PER_BUCKET)
-        source = F.broadcast(self.sources.withColumnRenamed("source", "known"))  # one row per source
+        source = self.sources.withColumnRenamed("source", "known")
+        source = F.broadcast(source) if len(self._known) <= BROADCAST_SOURCES else source
         sized = sized.join(source, F.col("source").eqNullSafe(F.col("known"))).drop("known")
         sized = sized.withColumn("bucket", F.pmod(F.xxhash64("place", F.lit(1)), F.lit(buckets)))
         by = sized.groupBy("source_ix", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -132,11 +140,14 @@ class Mix:
 
     def _draws(self) -> None:
         spark, known = self.spark, self._known
-        quotas = [round(t * b / s) if s else 0 for _, _, s, t, b in known]
+        quotas = [max(1, round(t * b / s)) if s and t else 0 for _, _, s, t, b in known]
         counts = shard_draws(quotas, self.output_shards, self.seed) if sum(quotas) else np.zeros((0, len(known)), dtype=np.int64)
         firsts = np.cumsum(counts, axis=0) - counts
-        rows = [(j, i, int(firsts[j, i]), int(counts[j, i]), known[i][4]) for j in range(len(counts)) for i in range(len(known)) if counts[j, i]]
-        self.draws = spark.createDataFrame(rows, DRAW_SCHEMA)
+        shard, ix = np.nonzero(counts)
+        of_source = np.array([k[4] for k in known], dtype=np.int64)
+        columns = [shard.astype(np.int32), ix.astype(np.int32), firsts[shard, ix], counts[shard, ix], of_source[ix]]
+        names = [c.split()[0] for c in DRAW_SCHEMA.split(", ")]
+        self.draws = spark.createDataFrame(pa.table(columns, names=names), DRAW_SCHEMA) if len(ix) else spark.createDataFrame([], DRAW_SCHEMA)
         parts = self.draws.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {SLOTS_PER_ROW}"))).alias("part"))
         # A number of partitions of its own: these few rows become many slots, which AQE can't foresee.
         parts = parts.repartition(min(MOST_SLOT_TASKS, max(8, sum(quotas) // SLOTS_PER_TASK)), "shard", "source_ix", "part")
@@ -181,28 +192,33 @@ def mixed_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source
     numbered first, in a written table, and joined by their number, so each row gets its own runs.
     """
     columns, schema = docs.columns, docs.schema
-    ids = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col(id_col)).alias("ids")).first()
+    ids = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col(f"`{id_col}`")).alias("ids")).first()
     if ids["rows"] != ids["ids"]:
-        key = next(n for n in (f"mix_row{'_' * k}" for k in range(len(columns) + 1)) if n not in columns)
+        key = unused(columns, "mix_row")
         docs, id_col = workspace.materialize(docs.withColumn(key, F.monotonically_increasing_id()), "mix-numbered"), key
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    # All runs of a document in one row: at most three for each of its blocks.
+    runs = mix.spans().groupBy("row", "doc_id").agg(F.collect_list(F.struct("from_word", "words")).alias("runs"))
     sizes = mix.documents.select(F.col("row").alias("of_row"), "size")
-    runs = mix.spans().join(sizes, F.col("row") == F.col("of_row")).select(
-        F.struct(F.col("from_word"), F.col("words"), (F.col("words") == F.col("size")).alias("whole")).alias("run"), F.col("doc_id").alias("run_id")
-    )
-    record = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
-    keyed = record.withColumn("doc_key", F.col(f"record.`{id_col}`").cast("long"))
-    joined = keyed.join(runs, F.col("doc_key").eqNullSafe(F.col("run_id")))
-    words = F.regexp_extract_all(F.col(f"record.{text_col}"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.slice(words, (F.col("run.from_word") + 1).cast("int"), F.col("run.words").cast("int")), "")
-    text = F.when(F.col("run.whole"), F.col(f"record.{text_col}")).otherwise(part)
-    out = joined.select(F.col("record"), text.alias("mixed_text"))
+    runs = runs.join(sizes, F.col("row") == F.col("of_row")).select(F.col("doc_id").alias("run_id"), "runs", "size")
+    rest = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col], F.lit(0).alias(unused(columns, "none")))
+    texts = docs.select(rest.alias("rest"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_key"))
+    joined = texts.join(runs, F.col("doc_key").eqNullSafe(F.col("run_id"))).drop("doc_key", "run_id")
+    cut = F.exists("runs", lambda r: r["words"] < F.col("size"))
+    words = F.when(cut, F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
+    joined = computed_once(joined, cut_words=words)
+
+    def text_of(run: Column) -> Column:
+        part = F.array_join(F.slice("cut_words", (run["from_word"] + 1).cast("int"), run["words"].cast("int")), "")
+        return F.when(run["words"] == F.col("size"), F.col("text")).otherwise(part)
+
+    out = joined.select("rest", F.explode(F.transform("runs", text_of)).alias("mixed_text"))
 
     def column(name: str) -> Column:
         if name == text_col:
             return F.col("mixed_text").alias(name)
         if name == "n_chars":
             return F.length("mixed_text").cast(schema[name].dataType).alias(name)
-        return F.col(f"record.`{name}`").alias(name)
+        return F.col(f"rest.`{name}`").alias(name)
 
     return out.select(*[column(c) for c in columns])
