@@ -12,15 +12,16 @@ one choice of ``groups - 4`` groups.  The range join is an equality join on thes
 cell the Manhattan bound is applied first and then the fingerprints compared.
 
 Only distinct fingerprints take part, so exact copies cost nothing.  A cell is never expanded into
-its pairs: large cells are walked breadth first, which gives at most one link for each fingerprint
+its pairs: large cells are walked from link to link, which gives at most one link for each fingerprint
 reached and compares a fingerprint only with those not reached yet.  That keeps the components of
 each cell, and so those of the whole.  Cells of over ``hot_cell`` fingerprints are cut into blocks,
-and each pair of blocks is a cell of its own.
+and each pair of blocks is a cell of its own, so a task's walk is bounded whatever a cell holds.
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and is linked
 like any other; rows with a null identifier take part, component_id is the least identifier that is
 not null (null if there is none); repeated rows are rows of one fingerprint; an empty table gives
-an empty result; further columns are ignored.
+an empty result; further columns are ignored (:func:`keep_representatives` keeps them, whatever their
+names); a text of any length is worked on as a whole.
 """
 
 from __future__ import annotations
@@ -36,13 +37,14 @@ from pyspark.sql import functions as F
 
 from skerry import workspace
 from skerry.llm import _arrow
+from skerry.llm._columns import unused
 from skerry.llm.components import connected_components
 
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
 SEGMENTS = 32
-HOT_CELL = 1 << 20
+HOT_CELL = 1 << 17
 SMALL_CELL = 24
 BROADCAST_ROWS = 262_144
 # The low bit of each two-bit segment, as a signed 64-bit number.
@@ -183,10 +185,9 @@ def near_links(prints: DataFrame, *, distance: int = DISTANCE, groups: int | Non
     masks = grid_masks(groups or groups_for(rows, distance), distance)
     cells = prints.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), embedding(F.col("fp")).bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"))
     if rows > hot_cell:
-        cells = workspace.materialize(cells, "simhash-cells")
-        # At most len(masks) * rows / hot_cell rows.
         hot = cells.groupBy("cell").count().filter(F.col("count") > hot_cell).select("cell", F.ceil(2 * F.col("count") / hot_cell).alias("blocks"))
-        cells = cells.join(F.broadcast(hot), "cell", "left").withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(3)), F.coalesce("blocks", F.lit(1))))
+        hot = workspace.materialize(hot, "simhash-hot")  # at most len(masks) * rows / hot_cell rows
+        cells = cells.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "cell", "left").withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(3)), F.coalesce("blocks", F.lit(1))))
         pair = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least(o, F.col("mine")), F.greatest(o, F.col("mine")))))
         cells = cells.select("fp", F.explode(pair).alias("cell"))
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
@@ -198,12 +199,15 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, groups: int |
     prints = workspace.materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash-prints")
     distinct = workspace.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     links = near_links(distinct.select("fp"), distance=distance, groups=groups, hot_cell=hot_cell)
-    component = connected_components(links)
-    named = distinct.join(component, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    # Most fingerprints are linked to none and keep their own identifier; the others meet by component.
+    component = workspace.materialize(connected_components(links), "simhash-nodes")
+    named = distinct.join(component, F.col("fp") == F.col("node"), "left").select("fp", "rep", "component")
     named = workspace.materialize(named, "simhash-named")
-    # Only components of several fingerprints need their least identifier; a component is no bigger than its links.
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_print = workspace.materialize(named.join(least, "component").select("fp", "component_id"), "simhash-components")
+    linked = named.filter("component is not null")
+    # Written before it is joined: between two scans, adaptive execution may split a component that many share.
+    least = workspace.materialize(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "simhash-least")
+    by_print = linked.join(least, "component").select("fp", "component_id")
+    by_print = workspace.materialize(by_print.union(named.filter("component is null").select("fp", "rep")), "simhash-components")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -212,4 +216,6 @@ def keep_representatives(docs: DataFrame, *, id_col="doc_id", text_col="text", *
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     gone = workspace.materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
     small = gone.count() <= BROADCAST_ROWS  # 8-byte identifiers, some 10 MB at most; beyond that a shuffled join
-    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col).cast("long") == F.col("gone_id"), "left_anti")
+    name = unused(docs.columns, "gone_id")
+    gone = gone.withColumnRenamed("gone_id", name)
+    return docs.join(F.broadcast(gone) if small else gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
