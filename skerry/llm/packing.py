@@ -15,7 +15,8 @@ Latin-1, for which cutting might depend on Unicode versions or normal forms, go
 they are, also once per worker.
 
 Defined results: a null or empty text has one token, the end id; repeated rows are separate
-documents; an empty table gives an empty result; further columns are ignored.
+documents; an empty table gives an empty result; further columns are ignored; a text of any length is
+tokenized as a whole, within a task's memory.
 """
 
 from __future__ import annotations
@@ -286,7 +287,9 @@ def pattern_places(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int,
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """``pieces`` with sequence_id and offset; all other columns stay."""
+    """``pieces`` with sequence_id and offset; all other columns stay (names that begin with ``_`` are this function's)."""
+    if used := [c for c in pieces.columns if c in ("_row", "_bucket", "_within", "_rank")]:
+        raise ValueError(f"columns with names that packing uses: {used}")
     spark = pieces.sparkSession
     place = F.xxhash64("doc_id", "start", "ids_crc32")
     pieces = workspace.materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
