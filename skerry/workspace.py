@@ -1,8 +1,10 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that setting is
-absent (unit tests on one machine) a folder of our own is used instead.  A written table cuts the
-lineage: a lost executor costs the tasks it ran, not the work behind the table.
+absent and all runs in one process (unit tests) a folder of our own is used instead; on a cluster a
+missing setting is an error.  A written table cuts the lineage: a lost executor costs the tasks it
+ran, not the work behind the table.  Tables that a returned plan still reads stay until
+:func:`clear`, which an application calls once it has its results.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     global _LOCAL_ROOT
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if _LOCAL_ROOT is None:
             _LOCAL_ROOT = tempfile.mkdtemp(prefix="skerry-")
         root = _LOCAL_ROOT
@@ -46,7 +50,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release(df: DataFrame) -> None:
     """Delete the files behind a :func:`materialize` result."""
+    root = shared_root(df.sparkSession).split("://")[-1].replace("file:", "")
     folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
     for folder in folders:
-        if "/skerry/" in folder:
+        if f"{root}/" in f"{folder}/":
             remove(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application."""
+    remove(spark, shared_root(spark))

@@ -317,3 +317,21 @@ def test_registered_queries_import():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_workspace(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from skerry import workspace
+
+    table = workspace.materialize(spark.range(5), "t")
+    other = workspace.materialize(spark.range(3), "u")
+    workspace.release(table)
+    assert other.count() == 3
+    with pytest.raises(Exception):
+        table.count()
+    outside = spark.range(2)
+    workspace.release(outside)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(ValueError):
+        workspace.shared_root(cluster)
