@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
 next one's docs.  All but the last return the columns of ``documents``.
+
+Defined results: a null or empty text is judged as an empty one, is equal to all other empty ones, has
+fingerprint 0 and gives no words to the mix; of equal texts the longest, then the smallest doc_id stays,
+of near copies the smallest doc_id; repeated rows are copies; rows without a doc_id are judged like others,
+and stay unless they are copies; a null source is a source; texts of any length go through as a whole;
+further columns are kept up to packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
