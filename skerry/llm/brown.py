@@ -20,7 +20,8 @@ interpolated with the class shares.
 
 Defined results: a null text counts as empty and has one token, the end; repeated rows are scored
 separately; a null identifier is in the training part; without training texts all counts are 0;
-an empty table gives an empty result; further columns are ignored.
+an empty table gives an empty result; further columns are ignored; texts of any length are scored as a
+whole; of classes that gain equally the lowest number counts.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ bands a broadcast table of templates x bands rows; ``MOST_TEMPLATES`` bounds it.
 Defined results: a null or empty text has no findings, nor has one with fewer words than any template or notice; a null
 identifier is kept; repeated rows give repeated findings; an empty table gives an empty result;
 further columns are ignored.  Texts with fewer than five words are refused among ``templates`` and
-passed as ``notices``: such a text is one shingle of all its words, found where these follow each other.
+passed as ``notices``: such a text is one shingle of all its words, found where these follow each other.  A text of any length is scanned as a whole; of windows that hold
+equal shares the first counts.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ parameter) and flattened into arrays, so a batch descends all trees by array ind
 Defined results: a null text counts as empty and is scored like an empty one; repeated rows get
 equal scores; labels that are null or belong to no document are not used, of several labels of a
 document each counts; without labels every score is 0.5; an empty table gives an empty result;
-further columns are ignored.
+further columns are ignored (:func:`keep_good` keeps them); texts of any length are scored as a whole; ties
+of labels' hashes don't arise, since rows are chosen by a threshold on them.
 """
 
 from __future__ import annotations
