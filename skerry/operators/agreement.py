@@ -18,13 +18,45 @@ def stratum(a: Column, b: Column, final: Column) -> Column:
     return F.when(a != b, "disagree").when(final == 1, "agree_rel").otherwise("agree_not")
 
 
-def report(rows: DataFrame, a: str, b: str, group: str | None = None) -> DataFrame:
-    """n, agree, disagree, agreement_rate, kappa; overall, or by ``group`` with an overall row."""
-    measures = [
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(a) == F.col(b)).alias("n_agree"), F.count_if(F.col(a) != F.col(b)).alias("n_disagree"),
-        F.coalesce(F.avg((F.col(a) == F.col(b)).cast("double")), F.lit(0.0)).alias("agreement_rate"), kappa(F.col(a), F.col(b)).alias("kappa"),
+#: Groups of a report: all rows, those on which raters differ or not, and the strata.
+GROUPS = ("overall", "disagreements", "agreements", "disagree", "agree_rel", "agree_not")
+
+
+def report(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """n, agree, disagree, agreement_rate, kappa of two raters; one row."""
+    return rows.agg(*_measures(F.col(a), F.col(b)))
+
+
+def _measures(a: Column, b: Column) -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n"), F.count_if(a == b).alias("n_agree"), F.count_if(a != b).alias("n_disagree"),
+        F.coalesce(F.avg((a == b).cast("double")), F.lit(0.0)).alias("agreement_rate"), kappa(a, b).alias("kappa"),
     ]
-    return rows.agg(*measures) if group is None else rows.rollup(group).agg(*measures)
+
+
+def grouped_report(rows: DataFrame, a: str, b: str, differ: Column, stratum_col: str = "stratum") -> DataFrame:
+    """group_name and :func:`report` for each of GROUPS, which overlap; a group without rows has null rates.
+
+    ``differ`` says on which rows the judges differ, who need not be the raters compared.
+    """
+    names = F.array(F.lit("overall"), F.when(differ, "disagreements").otherwise("agreements"), F.col(stratum_col))
+    found = rows.select(F.explode(names).alias("group_name"), F.col(a).alias("a"), F.col(b).alias("b")).groupBy("group_name").agg(*_measures(F.col("a"), F.col("b")))
+    every = rows.sparkSession.createDataFrame([(g,) for g in GROUPS], "group_name string")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_agree", "n_disagree")]
+    return every.join(found, "group_name", "left").select("group_name", *counts, "agreement_rate", "kappa")
+
+
+def scored_sheet(sheet: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of a filled sheet (qa_id, chunk_id, value) with the judges' labels; rows without labels don't count."""
+    known = labels.select("qa_id", "chunk_id", "judge_a", "judge_b", "final")
+    out = sheet.select("qa_id", "chunk_id", "value").join(known, ["qa_id", "chunk_id"])
+    return out.withColumn("stratum", stratum(F.col("judge_a"), F.col("judge_b"), F.col("final")))
+
+
+def validation(scored: DataFrame) -> DataFrame:
+    """A rater against the final labels, by group: group_name, n, accuracy, kappa."""
+    rows = grouped_report(scored, "value", "final", F.col("judge_a") != F.col("judge_b"))
+    return rows.select("group_name", "n", F.col("agreement_rate").alias("accuracy"), "kappa")
 
 
 def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -55,9 +87,8 @@ def gold_lists(labels: DataFrame) -> DataFrame:
     return labels.groupBy("query_id").agg(F.transform(ordered, lambda x: x["item_id"]).alias("relevant_ids"))
 
 
-def with_tiebreak(rows: DataFrame, a: Column, b: Column, tiebreak) -> DataFrame:
-    """judge_a, judge_b, final: the third judge sees only the rows on which two differ."""
-    judged = rows.withColumn("judge_a", a).withColumn("judge_b", b)
-    differ = judged.filter("judge_a <> judge_b").withColumn("final", tiebreak)
-    same = judged.filter("judge_a = judge_b").withColumn("final", F.col("judge_a"))
-    return same.unionByName(differ)
+def with_tiebreak(rows: DataFrame, a: Column, b: Column, tiebreak: Column) -> DataFrame:
+    """judge_a, judge_b, final: the third judge counts only on rows on which two differ; a null vote is a no."""
+    votes = [F.coalesce(v.cast("boolean"), F.lit(False)) for v in (a, b, tiebreak)]
+    judged = rows.withColumn("judge_a", votes[0]).withColumn("judge_b", votes[1])
+    return judged.withColumn("final", F.when(F.col("judge_a") == F.col("judge_b"), F.col("judge_a")).otherwise(votes[2]))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skerry.functions import text as tx
+
 #: Discounts as literals: logarithms of different libraries differ in the last bit.
 DEPTH = 1000
 
@@ -32,16 +34,39 @@ def per_query(hits: DataFrame, gold: DataFrame, keys: tuple[str, ...] = ("varian
     right = gold.select("query_id", "item_id").distinct().withColumn("relevant", F.lit(True))
     sizes = right.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
     marked = hits.join(right, ["query_id", "item_id"], "left").join(sizes, "query_id", "left" if keep_empty else "inner")
-    relevant, rank = F.col("relevant").isNotNull(), F.col("rank")
+    return of_marked(marked.withColumn("relevant", F.col("relevant").isNotNull()), keys, recall_at, ndcg_at)
+
+
+def of_marked(marked: DataFrame, keys: tuple[str, ...] = ("variant",), recall_at=(5, 10), ndcg_at: int = 10) -> DataFrame:
+    """As :func:`per_query`, of hits that know whether they are ``relevant`` and their query's ``n_gold``."""
+    relevant, rank = F.col("relevant"), F.col("rank")
     n = F.coalesce(F.first("n_gold"), F.lit(0))
     gain = F.sum(F.when(relevant & (rank <= ndcg_at), _discount(F.least(rank, F.lit(ndcg_at)), ndcg_at)).otherwise(0.0))
     recalls = [F.when(n > 0, F.count_if(relevant & (rank <= k)) / n).otherwise(0.0).alias(f"recall_at_{k}") for k in recall_at]
     return marked.groupBy(*keys, "query_id").agg(
-        n.cast("long").alias("n_gold"), *recalls, F.coalesce(F.lit(1.0) / F.min(F.when(relevant, rank)), F.lit(0.0)).alias("mrr"),
+        n.cast("long").alias("n_gold"), F.count(F.lit(1)).alias("n_retrieved"), *recalls, F.coalesce(F.lit(1.0) / F.min(F.when(relevant, rank)), F.lit(0.0)).alias("mrr"),
         F.when(n > 0, gain / _ideal(n, ndcg_at)).otherwise(0.0).alias(f"ndcg_at_{ndcg_at}"),
     )
 
 
+def of_labels(hits: DataFrame, labels: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("variant",)) -> DataFrame:
+    """As :func:`per_query`, where items of a query's own label are relevant, without itself: (item_id, label), (query_id, label).
+
+    Labels are counted instead of listing all items of each query's label.
+    """
+    counts = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_gold"))
+    asked = queries.join(counts, "label").select("query_id", F.col("label").alias("asked_label"), "n_gold").filter("n_gold > 0")
+    marked = hits.join(asked, "query_id").join(labels.select("item_id", "label"), "item_id")
+    return of_marked(marked.withColumn("relevant", F.col("label") == F.col("asked_label")), keys)
+
+
+def common(scores: DataFrame, variants: list[str]) -> DataFrame:
+    """Scores of the queries that all variants have."""
+    mine = scores.filter(F.col("variant").isin(variants))
+    everywhere = mine.groupBy("query_id").agg(F.count_distinct("variant").alias("v")).filter(F.col("v") == len(variants))
+    return mine.join(everywhere.select("query_id"), "query_id", "left_semi")
+
+
 def means(scores: DataFrame, metrics: tuple[str, ...] = ("recall_at_5", "recall_at_10", "mrr", "ndcg_at_10"), keys: tuple[str, ...] = ("variant",)) -> DataFrame:
     return scores.groupBy(*keys).agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics])
 
@@ -76,3 +101,20 @@ def change_counts(rows: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("change") == "better", F.col("delta")).otherwise(0.0)).alias("gained"),
         F.sum(F.when(F.col("change") == "worse", F.col("delta")).otherwise(0.0)).alias("lost"), F.avg("delta").alias("mean_delta"),
     )
+
+
+def with_rewrites(rows: DataFrame, rewrites: DataFrame) -> DataFrame:
+    """Deltas with the question as it was and as it was rewritten, and the ratio of their lengths."""
+    texts = rewrites.select("query_id", "original", "rewritten", tx.length_ratio(F.col("rewritten"), F.col("original")).alias("ratio"))
+    return rows.join(texts, "query_id")
+
+
+def ordered_changes(rows: DataFrame, change: str, most: int | None = None) -> DataFrame:
+    """The queries that got ``worse`` or ``better``, the greatest change first; ``most`` of them, if given."""
+    found = rows.filter(F.col("change") == change).orderBy(F.abs("delta").desc(), "variant", "query_id")
+    return found if most is None else found.limit(most)
+
+
+def by_expansion(rows: DataFrame, limit: float = 1.8) -> DataFrame:
+    """expanded (whether a rewrite is so many times as long), n, mean_delta."""
+    return rows.groupBy((F.col("ratio") >= limit).alias("expanded")).agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean_delta"))

@@ -7,8 +7,11 @@ makes a repeated task harmless.
 
 from __future__ import annotations
 
+import random
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,11 +74,13 @@ def embed(rows: DataFrame, text: str, cache: str, model: str, call: Callable[[li
     return cached_call(keyed(rows, model, text), cache, "embedding array<double>", vectors).drop("cache_key")
 
 
-def complete(rows: DataFrame, system: str, user: str, cache: str, model: str, call: Callable[[str, str], tuple[str, int, int]]) -> DataFrame:
+def complete(rows: DataFrame, system: str, user: str, cache: str, model: str, call: Callable[[str, str], tuple[str, int, int]], threads: int = 1) -> DataFrame:
     """``rows`` with text, prompt_tokens, completion_tokens, total_tokens of the model's answer."""
 
+    each = threaded(lambda pair: call(*pair), threads)
+
     def answers(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([call(s, u) for s, u in zip(part[system], part[user])], columns=["text", "prompt_tokens", "completion_tokens"])
+        return pd.DataFrame(each(list(zip(part[system], part[user]))), columns=["text", "prompt_tokens", "completion_tokens"])
 
     out = cached_call(keyed(rows, model, system, user), cache, COMPLETION, answers).drop("cache_key")
     return out.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
@@ -115,8 +120,49 @@ def judge(rows: DataFrame, template: str, cache: str, model: str, call, name: st
 def judge_twice(rows: DataFrame, template: str, cache: str, models: tuple[str, str, str], calls: tuple) -> DataFrame:
     """judge_a and judge_b of all rows; the third model is called only where these differ.  Each pair is judged once."""
     done = judge(judge(rows, template, cache, models[0], calls[0], "judge_a"), template, cache, models[1], calls[1], "judge_b")
-    differ = judge(done.filter("judge_a <> judge_b"), template, cache, models[2], calls[2], "final")
-    return done.filter("judge_a = judge_b").withColumn("final", F.col("judge_a")).unionByName(differ)
+    same = F.col("judge_a").eqNullSafe(F.col("judge_b"))
+    differ = judge(done.filter(~same), template, cache, models[2], calls[2], "final")
+    return done.filter(same).withColumn("final", F.col("judge_a")).unionByName(differ)
+
+
+def inspected(chunks: DataFrame, position: int, template: str, cache: str, model: str, call, k: int = 4) -> DataFrame:
+    """What enrichment does to the chunk at a place in the order of identifiers: prompt, answer, questions and enriched text, one row."""
+    picked = chunks.orderBy("chunk_id").offset(position).limit(1)
+    asked = picked.drop("hq_questions").withColumn("system", F.lit("")).withColumn("prompt", tx.rendered(template, content=F.col("content"), n=F.lit(str(k))))
+    done = complete(asked, "system", "prompt", cache, model, call).withColumn("questions", tx.question_lines(F.col("text"), k))
+    return done.select("chunk_id", "content", "prompt", F.col("text").alias("answer"), "total_tokens", "questions", tx.enriched_text(F.col("content"), F.col("questions")).alias("enriched"))
+
+
+def retried(call: Callable, attempts: int = 4, first: float = 1.0, most: float = 20.0, errors: tuple = (OSError,), sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """``call``, tried again after errors that may pass; waits double up to ``most`` seconds and vary by up to a second."""
+
+    def run(*arguments, **named):
+        for attempt in range(attempts):
+            try:
+                return call(*arguments, **named)
+            except errors:
+                if attempt == attempts - 1:
+                    raise
+                sleep(min(most, first * 2**attempt) + random.random())
+
+    return run
+
+
+def threaded(call: Callable, threads: int) -> Callable:
+    """A call over a list from a call over one element, by several threads within a task; the order stays."""
+
+    def run(values: list) -> list:
+        with ThreadPoolExecutor(threads) as pool:
+            return list(pool.map(call, values))
+
+    return run
+
+
+def chat_options(model: str, temperature: float, most_tokens: int, reasoning: tuple[str, ...]) -> dict:
+    """Named arguments of a chat request; models whose names begin so take no temperature and count reasoning as output."""
+    if model.startswith(reasoning):
+        return {"model": model, "max_completion_tokens": most_tokens}
+    return {"model": model, "temperature": temperature, "max_tokens": most_tokens}
 
 
 def probe(call: Callable[[list[str]], list[list[float]]]) -> int:

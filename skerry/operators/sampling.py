@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skerry import workspace
+
 
 def place(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
@@ -40,20 +42,32 @@ def stratified(rows: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit[F.col("stratum")]).drop("nth")
 
 
-def capped(rows: list[dict], targets: dict[str, int], most: int) -> list[dict]:
-    """A greedy sample of label rows in their order: strata in turn, at most ``most`` of a question over all.
+def shuffled(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """A sample with its place in a hash order; samples are bounded, so one partition numbers them."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(place(seed, *[F.col(k) for k in key]), *key)))
+
+
+def capped(rows: DataFrame, key: list[str], n: int, seed: int, most: int, question: str = "qa_id") -> DataFrame:
+    """A sample of (…, stratum) of ``n`` rows: half disagreements, the rest shared, nothing passed on.
 
-    Each choice depends on those before it, so this runs on the driver over a validation set's rows.
+    At most ``most`` rows of a question are taken over all strata.  A row of a stratum is open if fewer
+    rows of its question precede it there than earlier strata have left; the first open ones are taken.
+    Rows that a step takes are bounded by ``n`` and written, so the next one counts them once.
     """
-    used: dict[str, int] = {}
-    out = []
-    for stratum, target in targets.items():
-        taken = 0
-        for row in rows:
-            if taken == target:
-                break
-            if row["stratum"] == stratum and used.get(row["qa_id"], 0) < most:
-                used[row["qa_id"]] = used.get(row["qa_id"], 0) + 1
-                out.append(row)
-                taken += 1
+    rest = n - n // 2
+    order = [place(seed, *[F.col(k) for k in key]), *key]
+    out = None
+    for stratum, target in (("disagree", n // 2), ("agree_rel", rest - rest // 2), ("agree_not", rest // 2)):
+        mine = rows.filter(F.col("stratum") == stratum).withColumn("nth", F.row_number().over(Window.partitionBy(question).orderBy(*order)))
+        mine = mine.filter(F.col("nth") <= most)
+        if out is not None:
+            used = out.groupBy(F.col(question).alias("used_question")).agg(F.count(F.lit(1)).alias("used"))
+            mine = mine.join(F.broadcast(used), F.col(question).eqNullSafe(F.col("used_question")), "left").filter(F.col("nth") <= most - F.coalesce("used", F.lit(0)))
+        took = workspace.materialize(mine.orderBy(*order).limit(target).select(*rows.columns), "capped")
+        out = took if out is None else out.unionByName(took)
     return out
+
+
+def questions_in(sample_rows: DataFrame, question: str = "qa_id") -> DataFrame:
+    """How many questions a sample has rows of."""
+    return sample_rows.agg(F.count_distinct(question).alias("questions"), F.count(F.lit(1)).alias("rows"))

@@ -60,22 +60,27 @@ def _student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([student_two_sided(a, n) if a == a else 1.0 for a, n in zip(t, df)])
 
 
-def wilcoxon_parts(pairs: DataFrame) -> DataFrame:
-    """keys, n, mean_a, mean_b, statistic, z: the signed-rank test without zeros, tie-corrected.
+def wilcoxon_parts(pairs: DataFrame, digits: int | None = None) -> DataFrame:
+    """keys, pairs, n, mean_a, mean_b, statistic, z: the signed-rank test without zeros, tie-corrected.
 
-    Fewer than two pairs, or no difference at all, give statistic 0 and no z.
+    Fewer than two pairs, or no difference at all, give statistic 0 and no z.  With ``digits``
+    differences are rounded first, where scores are sums that came in any order.
+
+    Pairs are summed up by the size of their difference, partially before the shuffle; only the
+    distinct sizes of a comparison are put in order.
     """
-    d = pairs.withColumn("d", F.col("x") - F.col("y"))
-    size = F.abs(F.col("d"))
-    ties = Window.partitionBy(*KEYS, "zero", "size")
-    order = Window.partitionBy(*KEYS, "zero").orderBy("size")
-    d = d.withColumn("size", size).withColumn("zero", size == 0)
-    d = d.withColumn("t", F.count(F.lit(1)).over(ties)).withColumn("r", F.rank().over(order) + (F.col("t") - 1) / 2)
-    used = ~F.col("zero")
-    out = d.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(used).alias("n"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"),
-        F.sum(F.when(used & (F.col("d") > 0), F.col("r")).otherwise(0.0)).alias("plus"), F.sum(F.when(used & (F.col("d") < 0), F.col("r")).otherwise(0.0)).alias("minus"),
-        F.sum(F.when(used, F.col("t") * F.col("t") - 1).otherwise(0)).alias("tied"),
+    difference = F.col("x") - F.col("y")
+    d = pairs.withColumn("d", difference if digits is None else F.round(difference, digits))
+    sizes = d.groupBy(*KEYS, F.abs("d").alias("size")).agg(
+        F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.sum("x").alias("x"), F.sum("y").alias("y")
+    )
+    used = F.col("size") > 0
+    below = F.coalesce(F.sum(F.when(used, F.col("t"))).over(Window.partitionBy(*KEYS).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank, t = below + (F.col("t") + 1) / 2, F.col("t")
+    ranked = sizes.withColumn("rank", rank)
+    out = ranked.groupBy(*KEYS).agg(
+        F.sum("t").alias("pairs"), F.coalesce(F.sum(F.when(used, t)), F.lit(0)).alias("n"), (F.sum("x") / F.sum("t")).alias("mean_a"), (F.sum("y") / F.sum("t")).alias("mean_b"),
+        F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * F.col("down")).alias("minus"), F.sum(F.when(used, t * (t * t - 1)).otherwise(0)).alias("tied"),
     )
     n = F.col("n").cast("double")
     sigma = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("tied") / 2) / 24)
@@ -103,20 +108,19 @@ def ttest(pairs: DataFrame) -> DataFrame:
     return ttest_parts(pairs).withColumn("p_value", _student_p(t, F.coalesce("df", F.lit(1.0))))
 
 
-def aligned(scores: DataFrame, variants: list[str], metrics: tuple[str, ...]) -> DataFrame:
-    """Scores of the queries that all variants have, long: variant, metric, query_id, value."""
-    everywhere = scores.filter(F.col("variant").isin(variants)).groupBy("query_id").agg(F.count_distinct("variant").alias("v")).filter(F.col("v") == len(variants))
-    rows = scores.join(everywhere.select("query_id"), "query_id", "left_semi")
-    return rows.unpivot(["variant", "query_id"], list(metrics), "metric", "value")
-
-
 def variant_pairs(scores: DataFrame, variants: list[str], metrics: tuple[str, ...] = ("recall_at_10", "ndcg_at_10")) -> DataFrame:
-    """(a, b, metric, query_id, x, y) for each unordered pair of variants, in their order."""
-    order = F.create_map(*[F.lit(x) for i, v in enumerate(variants) for x in (v, i)])
-    rows = aligned(scores, variants, metrics).withColumn("place", order[F.col("variant")])
-    left = rows.select("metric", "query_id", F.col("variant").alias("a"), F.col("value").alias("x"), F.col("place").alias("pa"))
-    right = rows.select("metric", "query_id", F.col("variant").alias("b"), F.col("value").alias("y"), F.col("place").alias("pb"))
-    return left.join(right, ["metric", "query_id"]).filter("pa < pb").select("a", "b", "metric", "query_id", "x", "y")
+    """(a, b, metric, query_id, x, y) for each unordered pair of variants, in their order, of the queries that all variants have.
+
+    The scores of a query are put into one row, from which the pairs come: one shuffle, no join.
+    """
+    of = {v: F.col("variant") == v for v in variants}
+    cells = [F.max(F.when(of[v], F.col(m))).alias(f"{m}_{i}") for i, v in enumerate(variants) for m in metrics]
+    wide = scores.filter(F.col("variant").isin(variants)).groupBy("query_id").agg(F.count_distinct("variant").alias("present"), *cells).filter(F.col("present") == len(variants))
+    pairs = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(m).alias("metric"), F.col(f"{m}_{i}").alias("x"), F.col(f"{m}_{j}").alias("y"))
+        for i, a in enumerate(variants) for j, b in enumerate(variants) if i < j for m in metrics
+    ]
+    return wide.select("query_id", F.explode(F.array(*pairs)).alias("p")).select("p.a", "p.b", "p.metric", "query_id", "p.x", "p.y")
 
 
 def bonferroni(tests: DataFrame, comparisons: int, alpha: float = 0.05) -> DataFrame:
@@ -134,3 +138,8 @@ def robustness(pairs: DataFrame, comparisons: int, alpha: float = 0.05) -> DataF
     w = bonferroni(wilcoxon(pairs), comparisons, alpha).select(*KEYS, F.col("p_value").alias("p_wilcoxon"), F.col("significant").alias("by_wilcoxon"))
     t = bonferroni(ttest(pairs), comparisons, alpha).select(*KEYS, F.col("p_value").alias("p_ttest"), F.col("significant").alias("by_ttest"))
     return w.join(t, list(KEYS)).withColumn("flipped", F.col("by_wilcoxon") != F.col("by_ttest"))
+
+
+def flips(verdicts: DataFrame) -> DataFrame:
+    """comparisons, flipped: how many verdicts of :func:`robustness` differ."""
+    return verdicts.agg(F.count(F.lit(1)).alias("comparisons"), F.count_if("flipped").alias("flipped"))

@@ -98,9 +98,26 @@ def split_bundle(raw: bytes) -> list[tuple[str, str]]:
 def read_articles(spark: SparkSession, folder: str) -> DataFrame:
     """path, error and the article's columns for each ``*.xml`` file; a malformed one has its error and no article."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder).select("path", "content")
+    if files.select("path").isEmpty():
+        raise ValueError(f"no *.xml file in {folder}")
     return parse_files(files)
 
 
+def bundle_articles(files: DataFrame) -> DataFrame:
+    """(path, content: binary) to path, at, pmcid, content, error: the articles of bundles; a malformed bundle is one row with its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    rows = [(path, k, number, markup.encode(), None) for k, (number, markup) in enumerate(split_bundle(bytes(content)))]
+                except ET.ParseError as error:
+                    rows = [(path, 0, None, None, str(error))]
+                yield pd.DataFrame(rows, columns=["path", "at", "pmcid", "content", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, at int, pmcid string, content binary, error string")
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """(path, content: binary) to path, error, article columns."""
 
@@ -130,7 +147,8 @@ def corpus(parsed: DataFrame) -> DataFrame:
 def papers(parsed: DataFrame) -> DataFrame:
     """Metadata of the articles that have a pmid and a title."""
     good = parsed.filter(F.col("pmid").isNotNull() & (F.coalesce("title", F.lit("")) != ""))
-    return good.select("pmid", "doi", "title", "journal", "authors")
+    missing = [F.array().cast("array<string>").alias("mesh_terms"), F.lit(None).cast("date").alias("published_at"), F.lit(None).cast("string").alias("full_text")]
+    return good.select("pmid", "doi", "title", "journal", "authors", *missing)
 
 
 def parse_citations(raw: bytes) -> list[dict]:
@@ -148,20 +166,29 @@ def parse_citations(raw: bytes) -> list[dict]:
 
 
 def read_citations(files: DataFrame) -> DataFrame:
-    """(content: binary) to pmid, mesh_terms, published_at."""
+    """(content: binary, and path, if there) to pmid, mesh_terms, published_at, path, at (the place in the file)."""
+    names = ["path", "at", "pmid", "mesh_terms", "year", "month", "day", "free"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([r for c in batch["content"] for r in parse_citations(bytes(c))], columns=["pmid", "mesh_terms", "year", "month", "day", "free"])
+            rows = [{"path": p, "at": k, **r} for p, c in zip(batch["path"], batch["content"]) for k, r in enumerate(parse_citations(bytes(c)))]
+            yield pd.DataFrame(rows, columns=names)
 
-    rows = files.select("content").mapInPandas(run, f"pmid string, mesh_terms array<string>, {_RAW_DATE}")
-    return rows.select("pmid", "mesh_terms", tx.partial_date(F.col("year"), F.col("month"), F.col("day"), F.col("free")).alias("published_at"))
+    path = F.col("path") if "path" in files.columns else F.lit("").alias("path")
+    rows = files.select(path, "content").mapInPandas(run, f"path string, at int, pmid string, mesh_terms array<string>, {_RAW_DATE}")
+    return rows.select("pmid", "mesh_terms", tx.partial_date(F.col("year"), F.col("month"), F.col("day"), F.col("free")).alias("published_at"), "path", "at")
 
 
 def enriched(papers_: DataFrame, citations: DataFrame) -> DataFrame:
-    """Papers with mesh terms and date; citations of unknown papers are left out (see :func:`unknown_citations`)."""
-    return papers_.join(citations, "pmid", "left").withColumn("mesh_terms", F.coalesce("mesh_terms", F.array().cast("array<string>")))
+    """Papers with mesh terms and date: of several citations the last counts, by path and place.
+
+    Citations of unknown papers are left out (see :func:`unknown_citations`).
+    """
+    last = citations.groupBy("pmid").agg(F.max_by(F.struct("mesh_terms", "published_at"), F.struct("path", "at")).alias("c"))
+    terms = F.coalesce("c.mesh_terms", F.array().cast("array<string>"))
+    known = papers_.drop("mesh_terms", "published_at").join(last, "pmid", "left")
+    return known.withColumn("mesh_terms", terms).withColumn("published_at", F.col("c.published_at")).drop("c")
 
 
 def unknown_citations(papers_: DataFrame, citations: DataFrame) -> DataFrame:
-    return citations.select("pmid").join(papers_, "pmid", "left_anti")
+    return citations.select("pmid").distinct().join(papers_, "pmid", "left_anti")

@@ -31,9 +31,16 @@ def read_labels_csv(spark: SparkSession, path: str, column: str) -> DataFrame:
     return rows.filter(value.isin("0", "1")).select("qa_id", "chunk_id", value.cast("int").alias("value"))
 
 
-def read_ranked_json(spark: SparkSession, path: str) -> DataFrame:
-    """{query: {variant: [item…]}} as query_id, variant, rank, item_id."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
+def read_ranked_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """{query: {variant: [item…]}} as query_id, variant, rank, item_id.
+
+    A file is one such object, however it is laid out, or several that each begin a line; ``lines``
+    promises an object per line, as :func:`write_ranked_json` writes them, so that files can be split.
+    """
+    found = spark.read.text(path, wholetext=not lines)
+    if not lines:
+        found = found.select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
+    whole = found.select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
     rows = whole.select(F.explode("m").alias("query_id", "by")).select("query_id", F.explode("by").alias("variant", "ids"))
     return rows.select("query_id", "variant", F.posexplode("ids").alias("p", "item_id")).select("query_id", "variant", (F.col("p") + 1).alias("rank"), "item_id")
 
@@ -80,7 +87,8 @@ def first_queries(articles: DataFrame, queries: DataFrame, n: int) -> tuple[Data
 
 
 def write_questions(rows: DataFrame, path: str) -> None:
-    rows.sortWithinPartitions("qa_id").write.mode("overwrite").json(path)
+    """A JSON line per question; the files one after another are in the order of qa_id."""
+    rows.orderBy("qa_id").write.mode("overwrite").json(path)
 
 
 def write_results(rows: DataFrame, path: str, tag: str) -> None:
@@ -98,6 +106,27 @@ def blind_sheet(sample: DataFrame, questions: DataFrame, chunks: DataFrame, numb
     return rows.select(nr.alias("nr"), "qa_id", "chunk_id", F.col("question").alias("frage"), F.col("chunk_text").alias("textausschnitt"), F.lit("").alias("relevant"), F.lit("").alias("kommentar"))
 
 
+def write_sheet(sheet: DataFrame, path: str, mark: bool = False) -> None:
+    """A sheet as one CSV file with a header, in the order of its first column; with ``mark`` it begins with a byte-order mark."""
+    first = sheet.columns[0]
+    rows = sheet.orderBy(first).coalesce(1)  # a person opens one file
+    rows = rows.withColumnRenamed(first, f"\ufeff{first}") if mark else rows
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_run(spark: SparkSession, path: str, **settings) -> None:
+    """The settings of a run as one JSON line."""
+    spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_run(spark: SparkSession, path: str) -> dict:
+    """The settings of :func:`write_run`; empty if there are none."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found):
+        return {}
+    return json.loads(spark.read.text(path).first()["value"])
+
+
 def write_articles(articles: DataFrame, path: str) -> None:
     """A JSON object per article and line."""
     articles.write.mode("overwrite").json(path)
@@ -118,7 +147,7 @@ def section_histogram(articles: DataFrame) -> DataFrame:
     """n, articles and share of articles by number of abstract sections."""
     counts = articles.groupBy(F.size(F.coalesce("abstract", F.array())).alias("n_sections")).agg(F.count(F.lit(1)).alias("articles"))
     total = counts.agg(F.sum("articles").alias("total"))  # one row
-    return counts.join(F.broadcast(total)).select("n_sections", "articles", F.round(F.col("articles") / F.col("total"), 2).alias("share"))
+    return counts.join(F.broadcast(total)).select("n_sections", "articles", F.bround(F.col("articles") / F.col("total"), 2).alias("share"))
 
 
 def write_enrichment(chunks: DataFrame, path: str) -> None:
@@ -137,7 +166,7 @@ def write_gold(labels: DataFrame, report: DataFrame, path: str) -> None:
     """labels, gold (query_id, relevant_ids) and report, each as JSON lines below ``path``."""
     labels.select(*[F.col(c).cast("int").alias(c) if t == "boolean" else F.col(c) for c, t in labels.dtypes]).write.mode("overwrite").json(f"{path}/labels")
     agreement.gold_lists(labels).write.mode("overwrite").json(f"{path}/gold")
-    rounded = [F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in report.dtypes]
+    rounded = [F.bround(c, 4).alias(c) if t == "double" else F.col(c) for c, t in report.dtypes]
     report.select(*rounded).write.mode("overwrite").json(f"{path}/report")
 
 
@@ -151,17 +180,49 @@ def write_ids(rows: DataFrame, column: str, path: str) -> None:
     ordered_ids(rows, column).write.mode("overwrite").text(path)
 
 
-def write_collection(embedded: DataFrame, path: str, dimensions: int) -> None:
-    """Replace a collection; every vector must have the collection's dimensions."""
-    checked = embedded.withColumn("embedding", F.when(F.size("embedding") == dimensions, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector hasn't {dimensions} dimensions"))))
-    checked.write.mode("overwrite").parquet(path)
-
-
 def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with their keys."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+class Collection:
+    """Vectors below a folder.  Each write is a new version, which counts once it is whole; readers keep theirs."""
+
+    def __init__(self, spark: SparkSession, path: str, dimensions: int, key: str = "chunk_id"):
+        self.spark, self.path, self.dimensions, self.key = spark, path.rstrip("/"), dimensions, key
+
+    def _versions(self) -> list[int]:
+        pattern = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version-*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(int(f.getPath().getParent().getName().split("-")[1]) for f in found or [])
+
+    def _remove(self, path: str) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def rows(self) -> DataFrame | None:
+        """The last version, or None where nothing was written."""
+        versions = self._versions()
+        return self.spark.read.parquet(f"{self.path}/version-{versions[-1]}") if versions else None
+
+    def write(self, embedded: DataFrame) -> None:
+        """Replace all rows; every vector must have the collection's dimensions."""
+        wrong = F.raise_error(F.lit(f"a vector hasn't {self.dimensions} dimensions"))
+        checked = embedded.withColumn("embedding", F.when(F.size("embedding") == self.dimensions, F.col("embedding")).otherwise(wrong))
+        versions = self._versions()
+        checked.write.mode("overwrite").parquet(f"{self.path}/version-{versions[-1] + 1 if versions else 0}")
+        for old in versions[:-1]:  # the one before may still be read
+            self._remove(f"{self.path}/version-{old}")
+
+    def upsert(self, embedded: DataFrame) -> None:
+        """Put rows in place of those with their keys, and add the others."""
+        old = self.rows()
+        self.write(embedded if old is None else upserted(old, embedded, self.key))
+
+    def reset(self) -> None:
+        self._remove(self.path)
+
+
 @lru_cache(maxsize=64)
 def prompt(path: str) -> str:
     return Path(path).read_text(encoding="utf-8").strip()

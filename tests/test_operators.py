@@ -78,6 +78,7 @@ def test_partial_date(spark, parts, date):
 @pytest.mark.parametrize("answer, value", [
     ('{"relevant": 1, "why": "x"}', True), ('{"relevant": 0}', False), ("relevant: 1", True), ("cannot tell", False), ('{"relevant": 0} {"relevant": 1}', True),
     ('{"relevant": true}', True), ('{"relevant": "1"}', True), ('{"relevant": 0.5}', False), ('{"relevant": null}', False), ("1", True), (None, False),
+    ("Relevant: 1", True), ("RELEVANT 1", True), ('{"score": 1} relevant: 1', False), ('{"score": 1}', False), ('{"relevant": Infinity}', False), ('{"relevant": NaN}', False), ('{"relevant": [1]}', True), ("}{ 1", False), ("\n1", True),
 ])
 def test_labels(answer, value):
     assert labels.relevant(answer) is value
@@ -95,6 +96,15 @@ def test_kappa(spark):
     def of(rows):
         return agreement.report(spark.createDataFrame(rows, "a int, b int"), "a", "b").first()["kappa"]
 
+    sheet = spark.createDataFrame([("q", "c1", 1), ("q", "c2", 0), ("r", "c1", 1), ("r", "gone", 1)], "qa_id string, chunk_id string, value int")
+    labels_ = spark.createDataFrame([("q", "c1", 1, 1, 1), ("q", "c2", 1, 1, 1), ("r", "c1", 0, 0, 0), ("r", "c9", 1, 0, 1)], "qa_id string, chunk_id string, judge_a int, judge_b int, final int")
+    found = {r["group_name"]: (r["n"], r["accuracy"], r["kappa"]) for r in agreement.validation(agreement.scored_sheet(sheet, labels_)).collect()}
+    third = pytest.approx(1 / 3)
+    assert found["overall"] == found["agreements"] and found["overall"][:2] == (3, third) and found["disagreements"] == found["disagree"] == (0, None, None)
+    assert found["agree_rel"][:2] == (2, 0.5) and found["agree_not"][:2] == (1, 0.0) and set(found) == set(agreement.GROUPS)
+    votes = agreement.with_tiebreak(spark.createDataFrame([(1, True, None), (2, None, None), (3, True, False)], "k int, a boolean, b boolean"), F.col("a"), F.col("b"), F.col("k") == 3)
+    assert {r["k"]: r["final"] for r in votes.collect()} == {1: False, 2: False, 3: True}
+
     assert of([(1, 1), (0, 0)]) == 1 and of([(1, 1), (1, 1)]) == 1 and of([]) == 0
 
 
@@ -141,8 +151,26 @@ def test_samples(spark):
     strata = spark.createDataFrame([(i, "disagree" if i < 2 else "agree_rel" if i < 20 else "agree_not") for i in range(40)], "k int, stratum string")
     counts = {r["stratum"]: r["count"] for r in sampling.stratified(strata, ["k"], 11, 3).groupBy("stratum").count().collect()}
     assert counts == {"disagree": 2, "agree_rel": 5, "agree_not": 4}
-    table = [{"qa_id": "q", "stratum": "s"}] * 3 + [{"qa_id": "r", "stratum": "s"}]
-    assert [r["qa_id"] for r in sampling.capped(table, {"s": 3}, 2)] == ["q", "q", "r"]
+
+
+def test_capped_sample(spark):
+    """As the greedy walk through the strata in hash order."""
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    data = [(i, f"q{rng.choice([0, 0, 0, 1, 2, 3, 4])}", rng.choice(["disagree", "agree_rel", "agree_not"])) for i in range(120)]
+    for n, most in ((20, 3), (31, 9), (200, 2), (1, 1), (0, 5)):
+        used, want = {}, []
+        for stratum, target in (("disagree", n // 2), ("agree_rel", (n - n // 2 + 1) // 2), ("agree_not", (n - n // 2) // 2)):
+            open_rows = sorted((hashlib.md5(f"6|{i}".encode()).hexdigest(), i, q) for i, q, s in data if s == stratum)
+            for _, i, q in open_rows:
+                if target and used.get(q, 0) < most:
+                    used[q], target = used.get(q, 0) + 1, target - 1
+                    want.append(i)
+        got = sampling.capped(spark.createDataFrame(data, "k int, qa_id string, stratum string"), ["k"], n, 6, most)
+        assert sorted(r["k"] for r in got.collect()) == sorted(want)
+        assert sampling.questions_in(got).first().asDict() == {"questions": len({data[i][1] for i in want}), "rows": len(want)}
 
 
 def test_topk_methods_agree(spark):
