@@ -2,7 +2,7 @@
 
 ``native`` keeps everything in the JVM; ``block`` multiplies Arrow batches of vectors with the query
 matrix and sends only each batch's best on.  Queries are broadcast in blocks of at most
-``QUERY_BLOCK``; more queries are more passes.  Ties go to the smaller item.
+``QUERY_BLOCK``; more queries are more passes over the items, one after another.  Ties go to the smaller item.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skerry import workspace
+
 QUERY_BLOCK = 4096
 DIMENSIONS = 64
 
@@ -77,28 +79,39 @@ def _best_of(ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, k
 
 
 def topk_block(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """As :func:`topk_native` with matrix products; identifiers are whole numbers or strings."""
+    """As :func:`topk_native` with matrix products; identifiers are whole numbers or strings, and keep their types.
+
+    One block of queries is on the driver at a time: with more than one, the best of each are written
+    before the next block is asked.
+    """
+    kinds = {name: rows.schema[name].dataType.simpleString() for rows, name in ((queries, "query_id"), (items, "item_id"))}
+    if wrong := {n: t for n, t in kinds.items() if t not in ("string", "tinyint", "smallint", "int", "bigint")}:
+        raise ValueError(f"identifiers must be whole numbers or strings: {wrong}")
+
+    def key(name: str) -> Column:
+        return F.col(name) if kinds[name] == "string" else F.col(name).cast("long").alias(name)
 
-    def key(rows: DataFrame, name: str) -> Column:
-        return F.col(name) if rows.schema[name].dataType.simpleString() == "string" else F.col(name).cast("long").alias(name)
+    def typed(found: DataFrame) -> DataFrame:
+        return found.select(F.col("query_id").cast(kinds["query_id"]), F.col("item_id").cast(kinds["item_id"]), "score", "rank")
 
     queries, items = queries.filter("vector is not null"), items.filter("vector is not null")
-    count = queries.count()
-    blocks = -(-count // QUERY_BLOCK)
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    rows = items.select(key("item_id"), F.col("vector").cast("array<double>"))
+    if not blocks:
+        return typed(ranked(rows.select(F.lit(None).alias("query_id"), "item_id", F.lit(0.0).alias("score")).filter(F.lit(False)), k))
     out = None
-    if not count:
-        none = F.lit(None).cast(queries.select(key(queries, "query_id")).schema[0].dataType)
-        return ranked(items.select(none.alias("query_id"), key(items, "item_id"), F.lit(0.0).alias("score")).filter(F.lit(False)), k)
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        table = part.select(key(part, "query_id"), F.col("vector").cast("array<double>")).orderBy("query_id").toArrow()  # a block of queries
+        table = part.select(key("query_id"), F.col("vector").cast("array<double>")).orderBy("query_id").toArrow()  # a block of queries
         ids = table.column(0).to_numpy()
         vectors = np.array(table.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        rows = items.select(key(items, "item_id"), F.col("vector").cast("array<double>"))
-        kinds = (part.select(key(part, "query_id")).schema[0].dataType.simpleString(), rows.schema[0].dataType.simpleString())
-        scored = rows.mapInArrow(_best_of(ids, vectors, k, exclude_self, table.schema[0].type), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
-        out = scored if out is None else out.union(scored)
-    return ranked(out, k)
+        names = [rows.schema["item_id"].dataType.simpleString(), "string" if kinds["query_id"] == "string" else "bigint"]
+        scored = rows.mapInArrow(_best_of(ids, vectors, k, exclude_self, table.schema[0].type), f"query_id {names[1]}, item_id {names[0]}, score double")
+        best = typed(ranked(scored, k))
+        if blocks > 1:
+            best = workspace.materialize(best, "top-k")
+        out = best if out is None else out.union(best)
+    return out
 
 
 def tokens(text: Column) -> Column:

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skerry import workspace
 from skerry.functions import labels as answer_labels
 from skerry.functions import text as tx
-from skerry.operators import agreement, chunking, metrics, pooling, sampling, statistics, vector_search
+from skerry.operators import agreement, chunking, corpus, metrics, pooling, sampling, statistics, vector_search
 from skerry.plans import experiment
 from skerry.schemas import VARIANTS
 from skerry.sources import pages as html_pages
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 EVERY = 100  # the search's stated query set: vectors whose identifier it divides, against all vectors
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+MOST_WORDS, LEAST_COSINE = 0.35, 0.25  # from where the rule judges call a text relevant
 PARTS = {"baseline": (1, 64), "qr_only": (1, 32), "hq_only": (33, 32), "both": (17, 32)}
 """Variants of the vector search: first coordinate and number of coordinates."""
 
@@ -54,10 +56,11 @@ def _vector_hits(spark: SparkSession, sf_dir: str, first: int = 1, count: int =
     return method(queries, vectors, k, exclude_self=True)
 
 
-def _label_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label")
-    left = rows.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
-    return left.join(rows.withColumnRenamed("vec_id", "item_id"), "label").filter("query_id <> item_id").select("query_id", "item_id")
+def _label_scores(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    """Scores of hits among vectors, where the query's label is what it should find."""
+    labels = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "label")
+    asked = labels.filter(F.col("item_id") % EVERY == 0).withColumnRenamed("item_id", "query_id")
+    return metrics.of_labels(hits, labels, asked)
 
 
 def _hits_sql(name: str = "hits", first: int = 1, count: int = 64) -> str:
@@ -103,8 +106,7 @@ def topk_cosine_block(spark, sf_dir):
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    hits = _vector_hits(spark, sf_dir).withColumn("variant", F.lit("baseline"))
-    return metrics.per_query(hits, _label_gold(spark, sf_dir), keep_empty=False)
+    return _label_scores(spark, sf_dir, _vector_hits(spark, sf_dir).withColumn("variant", F.lit("baseline")))
 
 
 _ROUNDED = "round(recall_at_5, 6) as recall_at_5, round(recall_at_10, 6) as recall_at_10, round(mrr, 6) as mrr, round(ndcg_at_10, 6) as ndcg_at_10"
@@ -131,11 +133,12 @@ def collapse_to_articles(spark, sf_dir):
 
 
 def _variant_scores(spark, sf_dir) -> DataFrame:
+    """Scores of four searches, written: tests read them several times."""
     out = None
     for name, (first, count) in PARTS.items():
         hits = _vector_hits(spark, sf_dir, first, count).withColumn("variant", F.lit(name))
         out = hits if out is None else out.unionByName(hits)
-    return metrics.per_query(out, _label_gold(spark, sf_dir), keep_empty=False)
+    return workspace.materialize(_label_scores(spark, sf_dir, out), "variant-scores")
 
 
 _VARIANT_SQL = "with " + ", ".join(_hits_sql(f"of_{n}", *p) for n, p in PARTS.items()) + f", {_GOLD_SQL}, scores as (" + " union all ".join(
@@ -167,11 +170,8 @@ def variant_means(spark, sf_dir):
            round((least(plus, minus) - n * (n + 1) / 4) / nullif(sqrt((n * (n + 1) * (2 * n + 1) - tied / 2) / 24), 0), 6) as z
     from w""")
 def wilcoxon_t_z(spark, sf_dir):
-    pairs = statistics.variant_pairs(_variant_scores(spark, sf_dir), list(PARTS))
     # Sums of discounts come in any order: equal differences are made equal before they are ranked.
-    pairs = pairs.withColumn("x", F.round(F.col("x") - F.col("y"), 9)).withColumnRenamed("y", "y0").withColumn("y", F.lit(0.0))
-    means = statistics.variant_pairs(_variant_scores(spark, sf_dir), list(PARTS)).groupBy("a", "b", "metric").agg(F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"))
-    parts = statistics.wilcoxon_parts(pairs).drop("mean_a", "mean_b").join(means, ["a", "b", "metric"])
+    parts = statistics.wilcoxon_parts(statistics.variant_pairs(_variant_scores(spark, sf_dir), list(PARTS)), digits=9)
     return parts.select("a", "b", "metric", "pairs", "n", _r("mean_a"), _r("mean_b"), "statistic", _r("z"))
 
 
@@ -268,27 +268,27 @@ def _enriched(text):
 
 
 def _rewritten(text):
-    """The text's first twelve words."""
-    return F.array_join(F.slice(F.split(text, " "), 1, 12), " ")
+    """The whole text, each word of three letters and more followed by itself without its last one."""
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.when(F.length(w) >= 3, F.concat(w, F.lit(" "), F.left(w, F.length(w) - 1))).otherwise(w)), " ")
+
 
+def _embed(rows: DataFrame) -> DataFrame:
+    return vector_search.hash_embedding(rows, "item_id", F.col("text"))
 
-def _collections(spark, sf_dir) -> dict[bool, DataFrame]:
-    docs = _t(spark, sf_dir, "documents")
-    return {rich: vector_search.hash_embedding(docs, "doc_id", _enriched(F.col("text")) if rich else F.col("text")) for rich in (False, True)}
 
+def _asked(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), _rewritten(F.col("text")).alias("rewritten"))
 
-def _questions(spark, sf_dir) -> dict[bool, DataFrame]:
-    rows = _t(spark, sf_dir, "benchmark")
-    return {new: vector_search.hash_embedding(rows, "item_id", _rewritten(F.col("text")) if new else F.col("text")).withColumnRenamed("item_id", "query_id") for new in (False, True)}
+
+def _content(spark, sf_dir) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), text.alias("content"), _enriched(text).alias("enriched"))
 
 
 def _variant_hits(spark, sf_dir) -> DataFrame:
-    items, queries = _collections(spark, sf_dir), _questions(spark, sf_dir)
-    out = None
-    for name, (rich, new) in VARIANTS.items():
-        hits = vector_search.topk_block(queries[new], items[rich], 10).withColumn("variant", F.lit(name))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    """Four variants by two searches: a collection is embedded once and asked both kinds of questions together."""
+    stores = experiment.collections(_content(spark, sf_dir), _embed)
+    return workspace.materialize(experiment.retrieve(_asked(spark, sf_dir), stores, _embed), "variant-hits")
 
 
 def _embed_sql(name: str, table: str, key: str, text: str) -> str:
@@ -299,7 +299,7 @@ def _embed_sql(name: str, table: str, key: str, text: str) -> str:
 
 
 _RICH_SQL = "case when regexp_extract(lower(text), '[a-z]{8,}') = '' then text else text || chr(10) || 'What is ' || regexp_extract(lower(text), '[a-z]{8,}') || '?' end"
-_NEW_SQL = "array_to_string(string_split(text, ' ')[1:12], ' ')"
+_NEW_SQL = "array_to_string(list_transform(string_split(text, ' '), lambda w: case when length(w) >= 3 then w || ' ' || left(w, length(w) - 1) else w end), ' ')"
 _SPARSE = {(False, "d"): ("plain", "documents", "doc_id", "text"), (True, "d"): ("rich", "documents", "doc_id", _RICH_SQL), (False, "q"): ("asked", "benchmark", "item_id", "text"), (True, "q"): ("rewr", "benchmark", "item_id", _NEW_SQL)}
 
 
@@ -317,13 +317,15 @@ _RETRIEVAL_SQL = "with " + ", ".join(_embed_sql(*x) for x in _SPARSE.values()) +
 
 @register("with " + _embed_sql("e", "documents", "doc_id", "text") + " select id as item_id, b as bucket, n from e")
 def hash_embedding(spark, sf_dir):
-    vectors = _collections(spark, sf_dir)[False].select("item_id", F.posexplode("vector").alias("bucket", "n"))
+    vectors = _embed(_content(spark, sf_dir).select("item_id", F.col("content").alias("text"))).select("item_id", F.posexplode("vector").alias("bucket", "n"))
     return vectors.filter("n > 0").select("item_id", "bucket", F.col("n").cast("long").alias("n"))
 
 
 @register(_RETRIEVAL_SQL + " select query_id, item_id, rank, round(score, 6) as score from hits where variant = 'baseline'")
 def hash_retrieval_top10(spark, sf_dir):
-    hits = vector_search.topk_block(_questions(spark, sf_dir)[False], _collections(spark, sf_dir)[False], 10)
+    items = _embed(_content(spark, sf_dir).select("item_id", F.col("content").alias("text")))
+    asked = _embed(_asked(spark, sf_dir).select(F.col("query_id").alias("item_id"), F.col("question").alias("text"))).withColumnRenamed("item_id", "query_id")
+    hits = vector_search.topk_block(workspace.materialize(asked, "asked"), items, 10)
     return hits.select("query_id", "item_id", "rank", _r("score"))
 
 
@@ -354,22 +356,28 @@ def pool_size_stats(spark, sf_dir):
 
 def _judged(spark, sf_dir) -> DataFrame:
     """Pool rows labelled by two rule judges and, where these differ, a third."""
-    pool = pooling.pool(_source_items(spark, sf_dir), _variant_hits(spark, sf_dir))
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("body"))
-    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    rows = pool.join(docs, "item_id").join(F.broadcast(asked), "query_id") if asked.count() <= 10_000 else pool.join(docs, "item_id").join(asked, "query_id")
-    return _rule_judges(rows)
+    pool = workspace.materialize(pooling.pool(_source_items(spark, sf_dir), _variant_hits(spark, sf_dir)), "pool")
+    docs = _content(spark, sf_dir).select("item_id", F.col("content").alias("body"))
+    return _rule_judges(pool.join(docs, "item_id").join(_asked(spark, sf_dir).select("query_id", "question"), "query_id"))
 
 
 def _rule_judges(rows: DataFrame) -> DataFrame:
-    a = F.contains(F.col("body"), F.split_part("question", F.lit(" "), F.lit(1)))
-    b = F.contains(F.col("body"), F.split_part("question", F.lit(" "), F.lit(2)))
-    return agreement.with_tiebreak(rows, a, b, F.contains(F.col("body"), F.substring("question", 1, 60)))
-
-
-_JUDGED_SQL = _POOL_SQL + """, judged as (
-        select p.query_id, p.pos, p.item_id, contains(d.text, split_part(q.text, ' ', 1)) as judge_a, contains(d.text, split_part(q.text, ' ', 2)) as judge_b, contains(d.text, substring(q.text, 1, 60)) as judge_c
+    """Over whole texts: the share of the question's words that the body has; the cosine of both sets of words; the question as it stands."""
+    rows = rows.withColumn("asked_words", F.array_distinct(vector_search.tokens(F.col("question")))).withColumn("body_words", F.array_distinct(vector_search.tokens(F.col("body"))))
+    rows = rows.withColumn("both", F.size(F.array_intersect("asked_words", "body_words")))
+    asked, body = F.size("asked_words"), F.size("body_words")
+    a = F.col("both") / F.nullif(asked, F.lit(0)) >= MOST_WORDS
+    b = F.col("both") / F.nullif(F.sqrt(asked.cast("double") * body), F.lit(0.0)) >= LEAST_COSINE
+    return agreement.with_tiebreak(rows, a, b, F.contains(F.col("body"), F.col("question"))).drop("asked_words", "body_words", "both")
+
+
+_WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''))"
+_JUDGED_SQL = _POOL_SQL + f""", words as (
+        select p.query_id, p.pos, p.item_id, d.text as body, q.text as question, {_WORDS_SQL.format("q.text")} as qw, {_WORDS_SQL.format("d.text")} as dw
         from pools p join documents d on d.doc_id = p.item_id join benchmark q on q.item_id = p.query_id
+    ), judged as (
+        select query_id, pos, item_id, coalesce(len(list_intersect(qw, dw)) / nullif(len(qw), 0) >= {MOST_WORDS}, false) as judge_a,
+               coalesce(len(list_intersect(qw, dw)) / nullif(sqrt(len(qw)::double * len(dw)), 0) >= {LEAST_COSINE}, false) as judge_b, contains(body, question) as judge_c from words
     ), labelled as (select *, case when judge_a = judge_b then judge_a else judge_c end as final from judged)"""
 
 
@@ -394,14 +402,10 @@ def gold_lists(spark, sf_dir):
         select variant, count(*) as queries, {", ".join(f"round(avg({m}), 6) as {m}" for m in _METRICS)} from ({" union all ".join(f"select '{n}' as variant, * from ({_scores_sql(f'h_{n}')})" for n in VARIANTS)}) group by 1""")
 def experiment_means(spark, sf_dir):
     """The whole experiment on documents: collections, four variants, pool, judges, means."""
-    docs = _t(spark, sf_dir, "documents").filter("text is not null")
-    chunks = docs.select(F.col("doc_id").alias("item_id"), F.col("text").alias("content"), _enriched(F.col("text")).alias("enriched"))
-    questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), _rewritten(F.col("text")).alias("rewritten"))
-
     def judge(rows: DataFrame) -> DataFrame:
         return _rule_judges(rows.withColumnRenamed("content", "body"))
 
-    found = experiment.run(chunks, questions, _source_items(spark, sf_dir), lambda rows: vector_search.hash_embedding(rows, "item_id", F.col("text")), judge)
+    found = experiment.run(_content(spark, sf_dir), _asked(spark, sf_dir), _source_items(spark, sf_dir), _embed, judge)
     counts = found.per_query.groupBy("variant").agg(F.count(F.lit(1)).alias("queries"))
     return counts.join(found.means, "variant").select("variant", "queries", *[_r(m) for m in _METRICS])
 
@@ -432,11 +436,14 @@ def kappa_labels(spark, sf_dir):
     return agreement.report(_t(spark, sf_dir, "labels"), "quality", "toxic").select("n", _r("kappa"))
 
 
-@register(f"""with {_STRATA_SQL} select coalesce(stratum, 'all') as stratum, count(*) as n, count(*) filter (where quality = toxic) as n_agree, count(*) filter (where quality <> toxic) as n_disagree,
-        round(avg((quality = toxic)::int), 6) as agreement_rate, round({_KAPPA_SQL}, 6) as kappa from strata group by rollup (stratum)""")
+@register(f"""with {_STRATA_SQL}, g as (select *, unnest(['overall', case when quality <> toxic then 'disagreements' else 'agreements' end, stratum]) as group_name from strata),
+        found as (select group_name, count(*) as n, count(*) filter (where quality = toxic) as n_agree, count(*) filter (where quality <> toxic) as n_disagree,
+                         round(avg((quality = toxic)::int), 6) as agreement_rate, round({_KAPPA_SQL}, 6) as kappa from g group by 1)
+        select group_name, coalesce(n, 0) as n, coalesce(n_agree, 0) as n_agree, coalesce(n_disagree, 0) as n_disagree, agreement_rate, kappa
+        from (select unnest({list(agreement.GROUPS)}) as group_name) left join found using (group_name)""")
 def agreement_report(spark, sf_dir):
-    rows = agreement.report(_strata(spark, sf_dir), "quality", "toxic", "stratum")
-    return rows.select(F.coalesce("stratum", F.lit("all")).alias("stratum"), "n", "n_agree", "n_disagree", _r("agreement_rate"), _r("kappa"))
+    rows = agreement.grouped_report(_strata(spark, sf_dir), "quality", "toxic", F.col("quality") != F.col("toxic"))
+    return rows.select("group_name", "n", "n_agree", "n_disagree", _r("agreement_rate"), _r("kappa"))
 
 
 @register("""select count(*) filter (where quality = 1 and toxic = 1) as tp, count(*) filter (where quality <> 1 and toxic = 1) as fp, count(*) filter (where quality = 1 and toxic <> 1) as fn,
@@ -470,11 +477,56 @@ def population_weighted_accuracy(spark, sf_dir):
 
 @register("""select doc_id, ordinal, ordinal % 3 as choice from (select doc_id, row_number() over (order by md5('42|' || doc_id::varchar), doc_id) - 1 as ordinal from documents where length(text) >= 200) where ordinal < 90""")
 def eligible_round_robin(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").filter(F.length("text") >= 200).select("doc_id")
+    docs = corpus.eligible(_t(spark, sf_dir, "documents"), "text", 200).select("doc_id")
     rows = sampling.round_robin(docs, "doc_id", 90, 42, 3)
     return rows.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("choice").cast("long").alias("choice"))
 
 
+_CAPPED = (40, 5, 3)  # rows, seed, most of a question
+
+
+def _capped_sql() -> str:
+    n, seed, most = _CAPPED
+    rest = n - n // 2
+    out = f"with {_STRATA_SQL}, placed as (select doc_id, doc_id % 25 as question, stratum, md5('{seed}|' || doc_id::varchar) as place from strata)"
+    for k, (stratum, target) in enumerate((("disagree", n // 2), ("agree_rel", rest - rest // 2), ("agree_not", rest // 2))):
+        before = " union all ".join(["select -1 as question where false", *[f"select question from took_{j}" for j in range(k)]])
+        out += f""", used_{k} as (select question, count(*) as used from ({before}) group by 1), took_{k} as (
+            select doc_id, question, stratum from (select p.*, row_number() over (partition by question order by place, doc_id) as nth from placed p where stratum = '{stratum}') left join used_{k} using (question)
+            where nth <= {most} - coalesce(used, 0) order by place, doc_id limit {target})"""
+    return out + ", capped as (" + " union all ".join(f"select * from took_{k}" for k in range(3)) + ")"
+
+
+def _capped(spark, sf_dir) -> DataFrame:
+    n, seed, most = _CAPPED
+    rows = _strata(spark, sf_dir).select("doc_id", (F.col("doc_id") % 25).alias("question"), "stratum")
+    return sampling.capped(rows, ["doc_id"], n, seed, most, "question")
+
+
+@register(_capped_sql() + " select doc_id, question, stratum from capped")
+def capped_sample(spark, sf_dir):
+    return _capped(spark, sf_dir)
+
+
+@register(_capped_sql() + " select count(distinct question) as questions, count(*) as rows from capped")
+def questions_in_sample(spark, sf_dir):
+    return sampling.questions_in(_capped(spark, sf_dir), "question")
+
+
+@register("select doc_id, row_number() over (order by md5('9|' || doc_id::varchar), doc_id) as place from (select doc_id from documents order by md5('11|' || doc_id::varchar), doc_id limit 70)")
+def shuffled_subsample(spark, sf_dir):
+    rows = sampling.sample(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 70, 11)
+    return sampling.shuffled(rows, ["doc_id"], 9).withColumn("place", F.col("place").cast("long"))
+
+
+@register("""select event_id, coalesce(a, false) as judge_a, coalesce(b, false) as judge_b, case when coalesce(a, false) = coalesce(b, false) then coalesce(a, false) else coalesce(c, false) end as final
+    from (select event_id, case when event_id % 7 > 0 then value > 50 end as a, case when event_id % 5 > 0 then user_id % 2 = 0 end as b, case when event_id % 3 > 0 then event_type = 'view' end as c from events)""")
+def votes_with_nulls(spark, sf_dir):
+    n = F.col("event_id")
+    a, b, c = F.when(n % 7 > 0, F.col("value") > 50), F.when(n % 5 > 0, F.col("user_id") % 2 == 0), F.when(n % 3 > 0, F.col("event_type") == "view")
+    return agreement.with_tiebreak(_t(spark, sf_dir, "events"), a, b, c).select("event_id", "judge_a", "judge_b", "final")
+
+
 # --- text, corpus statistics, duplicates ---------------------------------------------------------
 
 
@@ -484,11 +536,38 @@ def means_by_variant_latency(spark, sf_dir):
     return rows.select(F.col("event_type").alias("variant"), _r("mean_ms"), "min_ms", "max_ms")
 
 
-@register("""select length(text) / greatest(n_chars, 1) >= 1 as long, count(*) as n, round(avg(n_chars - length(text)), 6) as mean_delta from documents group by 1""")
+_DELTA_SQL = _JUDGED_SQL + f""", gold as (select query_id, item_id from labelled where final), sizes as (select query_id, count(*) as n_gold from gold group by 1),
+        h_base as (select * from hits where variant = 'baseline'), h_new as (select * from hits where variant = 'qr_only'),
+        deltas as (select n.query_id, n.recall_at_10 - b.recall_at_10 as delta, length({_NEW_SQL.replace("text", "q.text")}) / greatest(length(q.text), 1) as ratio, q.text as original
+            from ({_scores_sql("h_new")}) n join ({_scores_sql("h_base")}) b on b.query_id = n.query_id join benchmark q on q.item_id = n.query_id)"""
+EXPANDED = 1.8  # rewrites that are so many times as long as the question count as expanded
+
+
+def _rewrite_deltas(spark, sf_dir) -> DataFrame:
+    """What rewriting does to the recall of each question."""
+    hits = _variant_hits(spark, sf_dir)
+    pool = workspace.materialize(pooling.pool(_source_items(spark, sf_dir), hits), "pool")
+    docs = _content(spark, sf_dir).select("item_id", F.col("content").alias("body"))
+    gold = _rule_judges(pool.join(docs, "item_id").join(_asked(spark, sf_dir).select("query_id", "question"), "query_id")).filter("final")
+    scores = metrics.per_query(hits.filter(F.col("variant").isin("baseline", "qr_only")), workspace.materialize(gold.select("query_id", "item_id"), "gold"), keep_empty=False)
+    deltas = metrics.deltas(workspace.materialize(scores, "scores"), "recall_at_10", "baseline")
+    return metrics.with_rewrites(deltas, _asked(spark, sf_dir).withColumnRenamed("question", "original"))
+
+
+@register(f"{_DELTA_SQL} select ratio >= {EXPANDED} as expanded, count(*) as n, round(avg(delta), 6) as mean_delta from deltas group by 1")
 def bucketed_delta(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    rows = docs.withColumn("long", F.length("text") / F.greatest("n_chars", F.lit(1)) >= 1).withColumn("delta", F.col("n_chars") - F.length("text"))
-    return rows.groupBy("long").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta"))
+    return metrics.by_expansion(_rewrite_deltas(spark, sf_dir), EXPANDED).select("expanded", "n", _r("mean_delta"))
+
+
+@register(f"{_DELTA_SQL} select query_id, round(delta, 6) as delta, original, round(ratio, 6) as ratio from deltas where delta < -1e-9")
+def lost_queries(spark, sf_dir):
+    return metrics.ordered_changes(_rewrite_deltas(spark, sf_dir), "worse").select("query_id", _r("delta"), "original", _r("ratio"))
+
+
+@register(f"{_DELTA_SQL} select query_id, round(delta, 6) as delta, original from deltas where delta > 1e-9 order by round(delta, 6) desc, query_id limit 8")
+def most_gained_queries(spark, sf_dir):
+    rounded = _rewrite_deltas(spark, sf_dir).withColumn("delta", F.round("delta", 6))
+    return metrics.ordered_changes(rounded, "better", 8).select("query_id", "delta", "original")
 
 
 _QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
@@ -497,65 +576,57 @@ _QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 @register("""select count(n_chars) as n, round(avg(n_chars), 6) as mean, round(stddev_samp(n_chars), 6) as std, min(n_chars) as min, quantile_cont(n_chars, 0.25)::double as q25,
         quantile_cont(n_chars, 0.5)::double as q50, quantile_cont(n_chars, 0.75)::double as q75, max(n_chars) as max from documents""")
 def describe_n_chars(spark, sf_dir):
-    c = F.col("n_chars")
-    return _t(spark, sf_dir, "documents").agg(
-        F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("min"),
-        *[F.percentile(c, q).alias(n) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))], F.max(c).alias("max"),
-    )
+    return corpus.described(_t(spark, sf_dir, "documents"), "n_chars").withColumn("mean", _r("mean")).withColumn("std", _r("std"))
 
 
 @register("select " + ", ".join(f"round(quantile_cont(n_chars, {q}), 6) as p{round(100 * q)}" for q in _QUANTILES) + ", sum(round_even(n_chars / 1000, 0))::bigint as est_chunks from documents")
 def quantiles_n_chars(spark, sf_dir):
-    at = [F.round(F.percentile("n_chars", q), 6).alias(f"p{round(100 * q)}") for q in _QUANTILES]
-    return _t(spark, sf_dir, "documents").agg(*at, F.sum(F.bround(F.col("n_chars") / 1000)).cast("long").alias("est_chunks"))
+    found = corpus.quantiles(_t(spark, sf_dir, "documents"), "n_chars", _QUANTILES)
+    return found.select(*[_r(c) for c in found.columns if c != "est_chunks"], "est_chunks")
 
 
 @register("""select count(*) as n, count(distinct source) as sources, count(distinct lang) as langs, count(text) as with_text, round(count(text) / count(*), 6) as text_share, count(*) - count(text) as without_text from documents""")
 def corpus_summary(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("langs"), F.count("text").alias("with_text"),
-        F.round(F.count("text") / F.count(F.lit(1)), 6).alias("text_share"), F.count_if(F.col("text").isNull()).alias("without_text"),
-    )
+    return corpus.summary(_t(spark, sf_dir, "documents"), ["source", "lang"], "text").withColumn("text_share", _r("text_share"))
+
 
+_SPACE_SQL = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TITLE_SQL = rf"regexp_replace(lower(regexp_replace(split_part(text, '.', 1), '^{_SPACE_SQL}+|{_SPACE_SQL}+$', '', 'g')), '^\d+(\.\d+)*\.?\s*', '')"
 
-_TITLE_SQL = r"regexp_replace(lower(trim(split_part(text, '.', 1))), '^\d+(\.\d+)*\.?\s*', '')"
+
+def _title():
+    return F.split_part("text", F.lit("."), F.lit(1))
 
 
 @register(f"select title, count(*) as n from (select {_TITLE_SQL} as title from documents) group by 1 order by n desc, title limit 30")
 def title_normalise_counts(spark, sf_dir):
-    titles = _t(spark, sf_dir, "documents").select(F.regexp_replace(F.lower(F.trim(F.split_part("text", F.lit("."), F.lit(1)))), r"^\d+(\.\d+)*\.?\s*", "").alias("title"))
-    return titles.groupBy("title").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "title").limit(30)
+    return corpus.title_counts(_t(spark, sf_dir, "documents"), _title(), 30)
 
 
 @register(f"""select candidate, count(*) filter (where starts_with(title, candidate)) as n, round(count(*) filter (where starts_with(title, candidate)) / count(*), 6) as share
     from (select {_TITLE_SQL} as title from documents), (values ('the'), ('of'), ('die'), ('la')) c(candidate) group by 1""")
 def candidate_title_share(spark, sf_dir):
-    title = F.regexp_replace(F.lower(F.trim(F.split_part("text", F.lit("."), F.lit(1)))), r"^\d+(\.\d+)*\.?\s*", "")
-    rows = _t(spark, sf_dir, "documents").select(title.alias("title"), F.explode(F.array(*[F.lit(c) for c in ("the", "of", "die", "la")])).alias("candidate"))
-    hit = F.startswith("title", "candidate")
-    return rows.groupBy("candidate").agg(F.count_if(hit).alias("n"), F.round(F.count_if(hit) / F.count(F.lit(1)), 6).alias("share"))
+    return corpus.candidate_share(_t(spark, sf_dir, "documents"), _title(), ["the", "of", "die", "la"]).withColumn("share", _r("share"))
 
 
 @register("""select (select doc_id from documents order by n_chars desc, doc_id limit 1) as longest, (select doc_id from documents order by n_chars, doc_id limit 1) as shortest""")
 def longest_shortest_doc(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").agg(
-        F.bitwise_not(F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("i")))["i"]).alias("longest"), F.min(F.struct("n_chars", "doc_id"))["doc_id"].alias("shortest")
-    )
+    return corpus.extremes(_t(spark, sf_dir, "documents"), "doc_id", "n_chars")
 
 
 @register("select lang, source, count(*) as n from documents group by 1, 2")
 def counts_by_category(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return corpus.counts(_t(spark, sf_dir, "documents"), "lang", "source")
 
 
 @register("select source as key, doc_id from documents qualify row_number() over (partition by source order by doc_id desc) = 1")
 def dup_last_wins(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy(F.col("source").alias("key")).agg(F.max("doc_id").alias("doc_id"))
+    return corpus.one_per_key(_t(spark, sf_dir, "documents").select("doc_id", "source"), F.col("source"), "doc_id", True).select("key", "row.doc_id")
 
 
 @register("select source as key, doc_id from documents qualify row_number() over (partition by source order by doc_id) = 1")
 def dup_first_wins(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy(F.col("source").alias("key")).agg(F.min("doc_id").alias("doc_id"))
+    return corpus.one_per_key(_t(spark, sf_dir, "documents").select("doc_id", "source"), F.col("source"), "doc_id", False).select("key", "row.doc_id")
 
 
 _LINES_SQL = r"""list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(ltrim(trim(x), '0123456789.-) '))), lambda x: x <> '')"""
@@ -571,9 +642,17 @@ def first_question_clean(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", tx.first_question(F.col("text")).alias("question"))
 
 
-@register()
+@register(r"""select event_id, case event_id % 6 when 0 then regexp_extract(props, '-?\d+')::int <> 0 when 1 then regexp_extract(props, '-?\d+')::int <> 0 when 2 then starts_with(regexp_extract(props, '\d+'), '1')
+        when 3 then false when 4 then starts_with(regexp_extract(props, '\d+'), '1') else false end as relevant from events""")
 def label_parse(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", answer_labels.relevant_label(F.replace("props", F.lit('"k"'), F.lit('"relevant"'))).alias("relevant"))
+    """Answers in six forms: an object, one in prose, a word in capitals and a number, an object without the field, a number, nothing."""
+    number = F.regexp_extract("props", r"-?\d+", 0)
+    of = F.col("event_id") % 6
+    answer = (
+        F.when(of == 0, F.concat(F.lit('{"relevant": '), number, F.lit(', "why": "x"}'))).when(of == 1, F.concat(F.lit('Sure:\n{"relevant": "'), number, F.lit('"} I hope')))
+        .when(of == 2, F.concat(F.lit("RELEVANT: "), number)).when(of == 3, F.lit('{"score": 1} relevant: 1')).when(of == 4, F.concat(F.lit("  "), number))
+    )
+    return _t(spark, sf_dir, "events").select("event_id", answer_labels.relevant_label(answer).alias("relevant"))
 
 
 @register()

@@ -67,7 +67,7 @@ def retrieve(questions: DataFrame, stores: dict[bool, DataFrame], embed: Embedde
 
 
 def evaluate(hits: DataFrame, labels: DataFrame, questions: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """per_query, means, comparisons, robustness and excluded (questions without gold or without hits)."""
+    """per_query, means (over the questions that all variants have), comparisons, robustness and excluded (questions without gold or hits)."""
     gold = labels.filter("final").select("query_id", "item_id")
     kept = metrics.scorable(questions.select("query_id"), gold, hits)
     scores = workspace.materialize(metrics.per_query(hits.join(kept, "query_id", "left_semi"), gold, keep_empty=False), "scores")
@@ -76,7 +76,7 @@ def evaluate(hits: DataFrame, labels: DataFrame, questions: DataFrame, settings:
     tests = len(variants) * (len(variants) - 1)
     return {
         "per_query": scores,
-        "means": metrics.means(scores),
+        "means": metrics.means(metrics.common(scores, variants)),
         "comparisons": statistics.ablation(scores, variants, settings.alpha),
         "robustness": statistics.robustness(pairs, tests, settings.alpha),
         "excluded": questions.select("query_id").join(kept, "query_id", "left_anti"),
