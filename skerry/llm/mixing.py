@@ -23,7 +23,6 @@ whatever their names; a text of any length is counted, and cut into words once,
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -145,9 +144,9 @@ class Mix:
         firsts = np.cumsum(counts, axis=0) - counts
         shard, ix = np.nonzero(counts)
         of_source = np.array([k[4] for k in known], dtype=np.int64)
-        columns = [shard.astype(np.int32), ix.astype(np.int32), firsts[shard, ix], counts[shard, ix], of_source[ix]]
-        names = [c.split()[0] for c in DRAW_SCHEMA.split(", ")]
-        self.draws = spark.createDataFrame(pa.table(columns, names=names), DRAW_SCHEMA) if len(ix) else spark.createDataFrame([], DRAW_SCHEMA)
+        # As plain rows: with a table of known size the slots that come of it would count as small, and be broadcast.
+        rows = zip(*[c.tolist() for c in (shard, ix, firsts[shard, ix], counts[shard, ix], of_source[ix])])
+        self.draws = spark.createDataFrame(list(rows), DRAW_SCHEMA)
         parts = self.draws.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {SLOTS_PER_ROW}"))).alias("part"))
         # A number of partitions of its own: these few rows become many slots, which AQE can't foresee.
         parts = parts.repartition(min(MOST_SLOT_TASKS, max(8, sum(quotas) // SLOTS_PER_TASK)), "shard", "source_ix", "part")
