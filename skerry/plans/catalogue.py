@@ -263,8 +263,9 @@ def chunk_index(spark, sf_dir):
 
 def _enriched(text):
     """The text with one question about its first long word."""
-    word = F.regexp_extract(F.lower(text), "[a-z]{8,}", 0)
-    return tx.enriched_text(text, F.when(word == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("What is "), word, F.lit("?")))))
+    word = F.array(F.regexp_extract(F.lower(text), "[a-z]{8,}", 0))
+    questions = F.transform(F.filter(word, lambda w: w != ""), lambda w: F.concat(F.lit("What is "), w, F.lit("?")))
+    return F.get(F.transform(F.array(questions), lambda q: tx.enriched_text(text, q)), F.lit(0))
 
 
 def _rewritten(text):

@@ -8,8 +8,10 @@ original and rewritten questions together.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,14 @@ class Outcome:
 
 
 def collections(chunks: DataFrame, embed: Embedder) -> dict[bool, DataFrame]:
-    """Plain and enriched collection of (item_id, content, enriched)."""
+    """Plain and enriched collection of (item_id, content, enriched), written at the same time: neither waits for the other's last tasks."""
     texts = {False: "content", True: "enriched"}
-    return {rich: workspace.materialize(embed(chunks.select("item_id", F.col(text).alias("text"))), f"collection-{text}") for rich, text in texts.items()}
+
+    def written(text: str) -> DataFrame:
+        return workspace.materialize(embed(chunks.select("item_id", F.col(text).alias("text"))), f"collection-{text}")
+
+    with ThreadPoolExecutor(len(texts)) as pool:
+        return dict(zip(texts, pool.map(inheritable_thread_target(chunks.sparkSession)(written), texts.values())))
 
 
 def retrieve(questions: DataFrame, stores: dict[bool, DataFrame], embed: Embedder, k: int = 10) -> DataFrame:

@@ -1,4 +1,6 @@
+import hashlib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -363,3 +365,28 @@ def test_workspace(spark, monkeypatch):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
     with pytest.raises(ValueError):
         workspace.shared_root(cluster)
+
+
+def test_hash_embedding_counts_tokens_of_whole_texts(spark):
+    texts = {1: "Über den Fluß, über 42 Brücken!", 2: "", 3: None, 4: "a b " * 30_000, 5: "!?", 6: "x"}
+    rows = spark.createDataFrame([*texts.items(), (6, "x")], "id int, body string")
+    found = sorted(tuple(r) for r in vector_search.hash_embedding(rows, "id", F.col("body")).collect())
+    want = []
+    for key, text in [*texts.items(), (6, "x")]:
+        counts = [0.0] * 64
+        for token in re.findall(r"[^\W_]+", (text or "").lower()):
+            counts[int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % 64] += 1
+        want.append((key, counts))
+    assert found == sorted(want)
+    assert vector_search.hash_embedding(rows.filter("false"), "id", F.col("body")).collect() == []
+
+
+def test_block_search_has_the_same_hits_over_several_blocks(spark, monkeypatch):
+    vectors = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    items = spark.createDataFrame([*vectors, (60, None)], "item_id long, vector array<double>")
+    asked = items.withColumnRenamed("item_id", "query_id")
+    one = sorted(map(tuple, vector_search.topk_block(asked, items, 4, exclude_self=True).collect()))
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 13)
+    several = sorted(map(tuple, vector_search.topk_block(asked, items, 4, exclude_self=True).collect()))
+    assert len(one) == 240 and [r[:2] for r in one] == [r[:2] for r in several]
+    assert vector_search.topk_block(asked.filter("false"), items, 4).collect() == []
