@@ -32,11 +32,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 class Words:
     """The words of some texts: one buffer (a newline after each text), word bounds, words per text."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, separators: np.ndarray = _BLANK):
         joined = b"\n".join([*texts, b""])
         self.raw = joined.lower() if lower else joined  # of bytes: A-Z only
         self.data = np.frombuffer(self.raw, dtype=np.uint8)
-        blank = _BLANK[self.data]
+        blank = separators[self.data]
         word = ~blank
         first, last = word.copy(), word.copy()
         first[1:] &= blank[:-1]
