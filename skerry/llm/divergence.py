@@ -10,7 +10,7 @@ Plan
 1. A byte-level tokenizer finds the terms' bounds by a lookup table over concatenated UTF-8 buffers.  Each
    slice of bytes is hashed by XXH64; slices of one hash are compared with the first of them byte by byte,
    and told apart by their bytes where they differ.  A task adds counts up and sends them on beyond
-   ``HELD`` rows: (lang, source, term, count, documents).
+   ``HELD``: (lang, source, term, count, documents).
 2. Sums by term give the kept terms, each with its counts by source: a row of a sparse matrix.  They are
    written, and group and language totals are sums over them.
 3. Rows are dealt to blocks of about ``BLOCK_ENTRIES`` counts of a language.  A block is a CSR matrix
@@ -45,7 +45,7 @@ from skerry.llm._arrow import Words
 LEAST_DOCS = 10
 TOP_TERMS = 10
 SCALE = 10**9
-HELD = 200_000  # rows of counts that a task holds
+HELD = 1_500_000  # counts that a task holds, of 24 bytes each beside the terms themselves
 BLOCK_ENTRIES = 65_536
 #: Rows of a table with a row per language that may be broadcast.
 BROADCAST_LANGS = 65_536
@@ -55,10 +55,20 @@ SEPARATORS = np.ones(256, dtype=bool)
 SEPARATORS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
+#: For slices of 0 to 8 bytes, the part of eight bytes from the start on that is theirs (in little-endian order).
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
 def grouped(words: Words) -> tuple[np.ndarray, list[bytes]]:
-    """For each slice of bytes the number of its term, and the terms: equal numbers for equal bytes only."""
-    raw, hashed = words.raw, xxhash.xxh64_intdigest
-    keys = np.fromiter((hashed(raw[a:b]) for a, b in zip(words.starts.tolist(), words.ends.tolist())), dtype=np.uint64, count=len(words.starts))
+    """For each slice of bytes the number of its term, and the terms: equal numbers for equal bytes only.
+
+    A slice of up to eight bytes is its own key; longer ones are hashed.
+    """
+    raw, hashed, lengths = words.raw, xxhash.xxh64_intdigest, words.ends - words.starts
+    eight = np.ndarray((len(raw),), dtype="<u8", buffer=raw + bytes(8), strides=(1,))
+    keys = eight[words.starts] & _FIRST_BYTES[np.minimum(lengths, 8)]
+    long = np.flatnonzero(lengths > 8)
+    keys[long] = np.fromiter((hashed(raw[a:b]) for a, b in zip(words.starts[long].tolist(), words.ends[long].tolist())), dtype=np.uint64, count=len(long))
     _, first, of = np.unique(keys, return_index=True, return_inverse=True)
     return verified(words, first, of)
 
@@ -69,7 +79,7 @@ def verified(words: Words, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarra
     terms = [raw[words.starts[k] : words.ends[k]] for k in first]
     model = first[of]
     wrong = lengths != lengths[model]
-    same = np.flatnonzero(~wrong)
+    same = np.flatnonzero(~wrong & (lengths > 8))
     if len(same):
         n = lengths[same]
         begin = np.cumsum(n) - n
@@ -90,44 +100,68 @@ def verified(words: Words, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarra
 _COUNTS = "lang string, source string, term string, n long, docs long"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task by (lang, source, term); the empty term counts a group's documents."""
-    held: dict[tuple, list[int]] = {}
+_TERM_BITS = 40
+
+
+class _Counts:
+    """Counts of a task: (group << _TERM_BITS | term), occurrences, documents."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.terms: dict[bytes, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def sent() -> pa.RecordBatch:
-        keys, sums = list(zip(*held)), list(zip(*held.values()))
-        out = [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.binary()).cast(pa.string()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64())]
-        held.clear()
-        return pa.RecordBatch.from_arrays(out, names=["lang", "source", "term", "n", "docs"])
+    def group(self, name: tuple[str, str]) -> int:
+        return self.groups.setdefault(name, len(self.groups))
 
+    def term(self, term: bytes) -> int:
+        return self.terms.setdefault(term, len(self.terms))
+
+    def add(self, key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        self.parts.append((key, n, docs))
+
+    def held(self) -> int:
+        return max(sum(len(p[0]) for p in self.parts), len(self.terms))
+
+    def combine(self) -> None:
+        key, n, docs = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.parts = [(key[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first))]
+
+    def rows(self, size: int = 65_536) -> Iterator[pa.RecordBatch]:
+        key, n, docs = self.parts[0]
+        langs, sources = (pa.array(x, pa.string()) for x in zip(*self.groups))
+        terms = pa.array(list(self.terms), pa.binary()).cast(pa.string())
+        for k in range(0, len(key), size):
+            group, term = key[k : k + size] >> _TERM_BITS, key[k : k + size] & ((1 << _TERM_BITS) - 1)
+            columns = [langs.take(pa.array(group)), sources.take(pa.array(group)), terms.take(pa.array(term)), pa.array(n[k : k + size]), pa.array(docs[k : k + size])]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task by (lang, source, term); the empty term counts a group's documents."""
+    counts = _Counts()
     for part, texts in _arrow.text_slices(batches):
         words = Words(texts, separators=SEPARATORS)
-        names = list(zip(part.column("lang").to_pylist(), part.column("source").to_pylist()))
-        groups = sorted(set(names))
-        number = {g: k for k, g in enumerate(groups)}
-        group = np.array([number[x] for x in names], dtype=np.int64)
-        for g, n in zip(*np.unique(group, return_counts=True)):
-            held.setdefault((*groups[g], b""), [0, 0])[1] += int(n)
+        group = np.array([counts.group(x) for x in zip(part.column("lang").to_pylist(), part.column("source").to_pylist())], dtype=np.int64)
+        present, docs = np.unique(group, return_counts=True)
+        counts.add(present << _TERM_BITS | counts.term(b""), np.zeros(len(present), dtype=np.int64), docs)
         of, terms = grouped(words)
-        if not len(of):
-            continue
-        doc = np.repeat(np.arange(len(texts)), words.counts)
-        in_doc, times = np.unique(doc * len(terms) + of, return_counts=True)  # a document's term, once
-        cell = group[in_doc // len(terms)] * len(terms) + in_doc % len(terms)
-        cells, back = np.unique(cell, return_inverse=True)
-        n, docs = np.bincount(back, weights=times).astype(np.int64), np.bincount(back)
-        for c, a, d in zip(cells.tolist(), n.tolist(), docs.tolist()):
-            g, t = divmod(c, len(terms))
-            key = (*groups[g], terms[t])
-            if (sums := held.get(key)) is None:
-                held[key] = [a, d]
-            else:
-                sums[0] += a
-                sums[1] += d
-        if len(held) > HELD:
-            yield sent()
-    if held:
-        yield sent()
+        if len(of):
+            number = np.array([counts.term(t) for t in terms], dtype=np.int64)
+            doc = np.repeat(np.arange(len(texts)), words.counts)
+            in_doc, times = np.unique(doc * len(terms) + of, return_counts=True)  # a document's term, once
+            counts.add(group[in_doc // len(terms)] << _TERM_BITS | number[in_doc % len(terms)], times, np.ones(len(times), dtype=np.int64))
+        if counts.held() > HELD:
+            counts.combine()
+            if counts.held() > HELD // 2:
+                yield from counts.rows()
+                counts = _Counts()
+    if counts.parts:
+        counts.combine()
+        yield from counts.rows()
 
 
 def shares(count: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
@@ -220,7 +254,8 @@ def _block(most: int):
 def audit(docs: DataFrame, *, text_col="text", lang_col="lang", source_col="source", least_docs: int = LEAST_DOCS, top_terms: int = TOP_TERMS, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """lang, source, part (pair, term), item, value, rank; ranks count from 1 in each group and part."""
     named = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
-    counted = docs.select(*named).mapInArrow(_count, _COUNTS).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have added up what they could; dealt by term, both sums need one shuffle.
+    counted = docs.select(*named).mapInArrow(_count, _COUNTS).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_term = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("counts"))
     kept = workspace.materialize(by_term.filter((F.col("docs") >= least_docs) | (F.col("term") == "")).select("lang", "term", "counts"), "audit-terms")
     groups = kept.filter("term = ''").select("lang", F.explode("counts.source").alias("source"))
