@@ -14,6 +14,9 @@ class remains that of words without any occurrence in the training texts.
 Counts and classes of words are exact and complete: a table in the shared folder.  The words above a
 count threshold (at most ``head_words``, which bounds the broadcast) are resolved in the map stage; every
 token of the rest is joined to the table by a 64-bit key, and meets its neighbours again by row and place.
+While words are counted a second key of each is compared wherever first keys are equal; if two words share a
+key, all are counted anew under other keys.  So training words are one only if 128 bits of two hashes agree;
+a word without any training occurrence has the count of another only if 64 bits do.
 
 Smoothing: emissions add 0.5 to each count and to one unseen word per class; transitions are
 interpolated with the class shares.
@@ -28,9 +31,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +46,7 @@ from skerry.llm._arrow import Words, segment_sums
 OWN_UNITS = 1_000
 SPELLINGS = 512
 CLASSES = 48
+MOST_CLASSES = 127  # a context and a class are packed into eight bits each
 SWEEPS = 8
 HEAD_WORDS = 131_072
 #: A worker gathers contexts of texts of so many bytes at a time, and sends them on beyond so many rows.
@@ -48,11 +54,19 @@ CONTEXT_BYTES = 1 << 20
 CONTEXTS_HELD = 300_000
 ADD = 0.5
 
-_TABLE = np.random.Generator(np.random.PCG64(2024)).integers(1, 2**63, 256, dtype=np.uint64)
+#: Words of more bytes are hashed by XXH64: a polynomial modulo 2**64 can't tell apart some pairs of words from 1,024 letters on.
+LONG_WORD = 64
+#: Keys of words are tried with so many tables, until no two training words share one.
+TRIES = 8
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
 
+@lru_cache(2 * TRIES)
+def _table(salt: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(2024 + salt)).integers(1, 2**63, 256, dtype=np.uint64)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of them."""
     if not _POWERS or len(_POWERS["up"]) < n:
@@ -64,17 +78,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_keys(words: Words) -> np.ndarray:
+def word_keys(words: Words, salt: int = 0) -> np.ndarray:
     """A 64-bit key for each word, as a signed number."""
     n = len(words.data)
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[words.data] * up[:n], out=total[1:])
+    np.cumsum(_table(salt)[words.data] * up[:n], out=total[1:])
     key = (total[words.ends] - total[words.starts]) * down[words.starts]
     key ^= key >> np.uint64(31)
     key *= np.uint64(0xD6E8FEB86659FD93)
     key ^= key >> np.uint64(32)
-    return (key + (words.ends - words.starts).astype(np.uint64)).view(np.int64)
+    lengths = words.ends - words.starts
+    key += lengths.astype(np.uint64)
+    long = np.flatnonzero(lengths > LONG_WORD)
+    if len(long):
+        key[long] = [xxhash.xxh64_intdigest(words.raw[words.starts[k] : words.ends[k]], salt) for k in long]
+    return key.view(np.int64)
 
 
 def spellings(words: Words) -> np.ndarray:
@@ -84,30 +103,48 @@ def spellings(words: Words) -> np.ndarray:
     return ((last * 257 + before) * 40503 >> 7) % SPELLINGS
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, spelling, n: partial counts of a partition, combined as far as memory allows."""
-    parts: list[tuple] = []
-    held = 0
-
-    def combined() -> tuple:
-        keys, spell, n = (np.concatenate(x) for x in zip(*parts))
-        uniq, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        return uniq, spell[first], np.bincount(back, weights=n, minlength=len(uniq)).astype(np.int64)
-
-    for _, texts in _arrow.text_slices(batches):
-        words = Words(texts)
-        keys = word_keys(words)
-        uniq, first, n = np.unique(keys, return_index=True, return_counts=True)
-        parts.append((uniq, spellings(words)[first] if len(first) else first, n))
-        held += len(uniq)
-        if held > 1_500_000:
-            parts = [combined()]
-            held = len(parts[0][0])
-            if held > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names=["key", "spelling", "n"])
-                parts, held = [], 0
-    if parts:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in combined()], names=["key", "spelling", "n"])
+def _count_words(salt: int):
+    """key, proof, spelling, n: partial counts of a partition, combined as far as memory allows.
+
+    ``proof`` is a second key, by another table: words are one where both are equal.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        held = 0
+
+        def one_each(key, proof, spell, n) -> tuple:
+            order = np.lexsort((proof, key))
+            key, proof = key[order], proof[order]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (proof[1:] != proof[:-1])])) if len(key) else order
+            return key[first], proof[first], spell[order][first], np.add.reduceat(n[order], first) if len(first) else n
+
+        def combined() -> tuple:
+            return one_each(*(np.concatenate(x) for x in zip(*parts)))
+
+        def batch(part: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["key", "proof", "spelling", "n"])
+
+        for _, texts in _arrow.text_slices(batches):
+            words = Words(texts)
+            keys = word_keys(words, salt)
+            uniq, first, of, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+            proof = word_keys(words, salt + TRIES)
+            if (proof != proof[first][of]).any():
+                parts.append(one_each(keys, proof, spellings(words), np.ones(len(keys), dtype=np.int64)))
+            else:
+                parts.append((uniq, proof[first], spellings(words)[first] if len(first) else first, n))
+            held += len(parts[-1][0])
+            if held > 1_500_000:
+                parts = [combined()]
+                held = len(parts[0][0])
+                if held > 1_000_000:
+                    yield batch(parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield batch(combined())
+
+    return run
 
 
 @dataclass
@@ -116,6 +153,7 @@ class Units:
 
     keys: np.ndarray  # sorted keys of the words with units of their own
     ids: np.ndarray
+    salt: int = 0  # of all keys
 
     @property
     def end(self) -> int:
@@ -149,7 +187,7 @@ def _count_pairs(units: Units):
         total = np.zeros(units.size**2, dtype=np.int64)
         for _, texts in _arrow.text_slices(batches):
             words = Words(texts)
-            now, before = _token_units(words, units, word_keys(words))
+            now, before = _token_units(words, units, word_keys(words, units.salt))
             pair, n = np.unique(before * units.size + now, return_counts=True)
             total[pair] += n
         pair = np.flatnonzero(total)
@@ -234,7 +272,7 @@ def _count_contexts(units: Units, label: np.ndarray, classes: int):
 
         for _, texts in _arrow.text_slices(batches, limit=CONTEXT_BYTES):
             words = Words(texts)
-            keys = word_keys(words)
+            keys = word_keys(words, units.salt)
             now, _ = _token_units(words, units, keys)
             at = np.arange(len(keys)) + np.repeat(np.arange(len(texts)), words.counts)
             same = np.zeros(len(now) + 1, dtype=bool)  # a token that repeats the one before
@@ -384,7 +422,7 @@ def _count_transitions(shared, classes: int):
         total = np.zeros(classes**2, dtype=np.int64)
         for part, texts in _arrow.text_slices(batches):
             words = Words(texts)
-            keys = word_keys(words)
+            keys = word_keys(words, model.units.salt)
             known, _, place, now = _known_classes(words, model, keys)
             before = np.concatenate([[model.label[model.units.end]], now[:-1]])
             both = (now >= 0) & (before >= 0)
@@ -405,18 +443,31 @@ def _resolved(part: DataFrame, counts: DataFrame) -> DataFrame:
     return tail.select("row", F.when(F.col("left") >= 0, F.col("left")).otherwise(before).alias("left"), "right", "n", "class")
 
 
+def _counted(texts: DataFrame) -> tuple[DataFrame, int]:
+    """(key, spelling, n of every word, the salt of the keys): keys under which no two words meet."""
+    for salt in range(TRIES):
+        counted = texts.mapInArrow(_count_words(salt), "key long, proof long, spelling long, n long")
+        sums = [F.first("spelling").alias("spelling"), F.sum("n").alias("n"), (F.min("proof") != F.max("proof")).alias("shared")]
+        counts = workspace.materialize(counted.groupBy("key").agg(*sums), "brown-counts")
+        if counts.filter("shared").isEmpty():
+            return counts.drop("shared"), salt
+        workspace.release(counts)
+    raise ValueError(f"words share keys in {TRIES} tables")
+
+
 def train(docs: DataFrame, *, id_col="doc_id", text_col="text", classes: int = CLASSES, own_units: int = OWN_UNITS, head_words: int = HEAD_WORDS) -> Model:
     """Learn the model from all rows of ``docs``."""
+    if not 1 <= classes <= MOST_CLASSES:
+        raise ValueError(f"there can be 1 to {MOST_CLASSES} classes")
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
-    counted = texts.mapInArrow(_count_words, "key long, spelling long, n long")
-    counts = workspace.materialize(counted.groupBy("key").agg(F.first("spelling").alias("spelling"), F.sum("n").alias("n")), "brown-counts")
+    counts, salt = _counted(texts)
     n_docs = docs.count()
     total = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     head = _head(counts, head_words, "spelling")
     own = head[np.lexsort((head[:, 0], -head[:, 2]))][:own_units]
     own = own[np.argsort(own[:, 0])]
-    units = Units(own[:, 0], np.arange(len(own)))
+    units = Units(own[:, 0], np.arange(len(own)), salt)
     pairs = np.zeros(units.size**2, dtype=np.int64)
     found = texts.mapInArrow(_count_pairs(units), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # units**2 rows at most
     pairs[np.asarray(found.column("pair"))] = np.asarray(found.column("n"))
@@ -481,7 +532,7 @@ def _score_part(shared):
         flat = model.transition.ravel()
         for part, texts in _arrow.text_slices(batches):
             words = Words(texts)
-            keys = word_keys(words)
+            keys = word_keys(words, model.units.salt)
             n = len(texts)
             known, at, place, now = _known_classes(words, model, keys)
             before = np.concatenate([[model.label[model.units.end]], now[:-1]])

@@ -364,3 +364,57 @@ def test_a_wrong_mask_shows(spark, column, by):
     wrong = {r["conv_id"]: r["loss_sha256"] for r in chat.digests(render, shifted).collect()}
     assert all(right[k] != wrong[k] for k in (1, 2))
     assert "Window" in chat.digests(render)._jdf.queryExecution().toString()
+
+
+def doubled(length):
+    """A word of a and b and its complement, which polynomials modulo a power of two don't tell apart from 1,024 letters on."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("length", [64, 512, 1024, 2048, 8192])
+def test_brown_long_words_are_told_apart(spark, length):
+    a, b = doubled(length)
+    table = spark.createDataFrame([(0, a), (1, b), (2, f"{a} {a}")], "doc_id long, text string")
+    model = brown.train(table)
+    assert (model.distinct, model.tokens) == (3, 7)
+    got = {r["doc_id"]: r["base_score"] for r in brown.score(table, model).collect()}
+
+    def log(n):
+        return math.log10((n + 0.5) / (7 + 0.5 * 4))
+
+    assert got == pytest.approx({0: log(3) + log(3), 1: log(1) + log(3), 2: 2 * log(3) + log(3)})
+
+
+def test_brown_counts_anew_where_words_share_a_key(spark, monkeypatch):
+    import pyarrow as pa
+
+    counting = brown._count_words
+
+    def weak(salt):
+        def run(batches):
+            for batch in counting(salt)(batches):
+                key = pa.array(np.asarray(batch.column("key")) % (2 if salt < 3 else 2**62))
+                yield batch.set_column(0, "key", key)
+
+        return run
+
+    monkeypatch.setattr(brown, "_count_words", weak)
+    counts, salt = brown._counted(spark.createDataFrame([("a b c d e a",), ("f a",)], "text string"))
+    assert salt == 3 and sorted(r["n"] for r in counts.collect()) == [1, 1, 1, 1, 1, 3]
+
+
+def test_brown_keys_of_a_slice_are_compared(monkeypatch):
+    import pyarrow as pa
+
+    table = brown._table
+    monkeypatch.setattr(brown, "_table", lambda salt: np.ones(256, dtype=np.uint64) if salt == 0 else table(salt))
+    out = pa.Table.from_batches(brown._count_words(0)(iter([pa.RecordBatch.from_pydict({"text": ["ab cd ab", "xyz", "ab"]})]))).to_pydict()
+    assert len(set(out["key"])) == 2 and len(set(zip(out["key"], out["proof"]))) == 3 and sorted(out["n"]) == [1, 1, 3]
+
+
+def test_brown_classes_are_bounded(spark):
+    with pytest.raises(ValueError, match="127"):
+        brown.train(spark.createDataFrame([("a",)], "text string"), classes=128)
