@@ -285,16 +285,39 @@ def id_list(spark, sf_dir):
     return spark.read.text(path)
 
 
-@register("select vec_id, case when vec_id % 2 = 0 then label + 100 else label end as label from embeddings where vec_id % 3 > 0 or vec_id % 2 = 0")
-def collection_upsert(spark, sf_dir):
-    """A collection is written, reset, written without some rows, then rows are put in and in place of others."""
+def _collection(spark, sf_dir) -> tuple[tables.Collection, DataFrame]:
+    """A collection that has rows put in twice, some of them in one upsert, others deleted, and buckets compacted in between."""
     store = tables.Collection(spark, workspace.new_path(spark, "collection"), 64, "vec_id")
     rows = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     store.write(rows)
     store.reset()
     store.write(rows.filter("vec_id % 3 > 0"))
-    store.upsert(rows.filter("vec_id % 2 = 0").withColumn("label", F.col("label") + 100))
-    return store.rows().select("vec_id", "label")
+    twice = F.explode(F.array(F.lit(100), F.lit(200), F.lit(300)))  # of a key's three rows the last counts
+    even = rows.filter("vec_id % 2 = 0").select("vec_id", "embedding", "label", twice.alias("more")).select("vec_id", "embedding", (F.col("label") + F.col("more")).alias("label"), "more")
+    store.upsert(even, order=F.col("more"))
+    return store, rows
+
+
+_UPSERT_SQL = "select vec_id, case when vec_id % 2 = 0 then label + 300 else label end as label from embeddings where vec_id % 3 > 0 or vec_id % 2 = 0"
+
+
+@register(_UPSERT_SQL)
+def collection_upsert(spark, sf_dir):
+    return _collection(spark, sf_dir)[0].rows().select("vec_id", "label")
+
+
+@register(f"""with upserted as ({_UPSERT_SQL})
+        select 'snapshot' as version, vec_id, label from upserted union all
+        select 'last', vec_id, label from upserted where vec_id % 5 > 0 and vec_id % 7 > 0 union all select 'last', vec_id, label + 1000 from embeddings where vec_id % 7 = 0""")
+def collection_versions(spark, sf_dir):
+    """After a snapshot rows are deleted, buckets compacted and rows put in; the snapshot stays as it was."""
+    store, rows = _collection(spark, sf_dir)
+    snapshot = store.rows()
+    store.delete(rows.filter("vec_id % 5 = 0").select("vec_id"))
+    store.compact(share=0.0)
+    store.upsert(rows.filter("vec_id % 7 = 0").withColumn("label", F.col("label") + 1000))
+    one, other = (v.select(F.lit(name).alias("version"), "vec_id", "label") for name, v in (("snapshot", snapshot), ("last", store.rows())))
+    return one.unionByName(other)
 
 
 # --- model calls and fetches ------------------------------------------------------------------------

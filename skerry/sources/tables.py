@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from skerry import schemas
 from skerry.operators import agreement
+from skerry.sources import files
+from skerry.sources.store import Collection  # noqa: F401
 
 _RESERVED = ("question", "question_type")
 
@@ -121,8 +123,7 @@ def write_run(spark: SparkSession, path: str, **settings) -> None:
 
 def read_run(spark: SparkSession, path: str) -> dict:
     """The settings of :func:`write_run`; empty if there are none."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found):
+    if not files.exists(spark, path):
         return {}
     return json.loads(spark.read.text(path).first()["value"])
 
@@ -180,49 +181,6 @@ def write_ids(rows: DataFrame, column: str, path: str) -> None:
     ordered_ids(rows, column).write.mode("overwrite").text(path)
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with their keys."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
-
-
-class Collection:
-    """Vectors below a folder.  Each write is a new version, which counts once it is whole; readers keep theirs."""
-
-    def __init__(self, spark: SparkSession, path: str, dimensions: int, key: str = "chunk_id"):
-        self.spark, self.path, self.dimensions, self.key = spark, path.rstrip("/"), dimensions, key
-
-    def _versions(self) -> list[int]:
-        pattern = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version-*/_SUCCESS")
-        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-        return sorted(int(f.getPath().getParent().getName().split("-")[1]) for f in found or [])
-
-    def _remove(self, path: str) -> None:
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-    def rows(self) -> DataFrame | None:
-        """The last version, or None where nothing was written."""
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/version-{versions[-1]}") if versions else None
-
-    def write(self, embedded: DataFrame) -> None:
-        """Replace all rows; every vector must have the collection's dimensions."""
-        wrong = F.raise_error(F.lit(f"a vector hasn't {self.dimensions} dimensions"))
-        checked = embedded.withColumn("embedding", F.when(F.size("embedding") == self.dimensions, F.col("embedding")).otherwise(wrong))
-        versions = self._versions()
-        checked.write.mode("overwrite").parquet(f"{self.path}/version-{versions[-1] + 1 if versions else 0}")
-        for old in versions[:-1]:  # the one before may still be read
-            self._remove(f"{self.path}/version-{old}")
-
-    def upsert(self, embedded: DataFrame) -> None:
-        """Put rows in place of those with their keys, and add the others."""
-        old = self.rows()
-        self.write(embedded if old is None else upserted(old, embedded, self.key))
-
-    def reset(self) -> None:
-        self._remove(self.path)
-
-
 @lru_cache(maxsize=64)
 def prompt(path: str) -> str:
     return Path(path).read_text(encoding="utf-8").strip()
@@ -230,24 +188,3 @@ def prompt(path: str) -> str:
 
 def query_string(domain: str) -> str:
     return f"{domain}[MeSH] AND open access[filter] AND english[lang]"
-
-
-def fetch_missing(wanted: DataFrame, cached: DataFrame, fetch: Callable[[list[str]], dict[str, bytes]], batch: int = 200) -> DataFrame:
-    """(pmcid) to pmcid, content: cached ones first, the rest by ``fetch`` in batches within tasks.
-
-    ``fetch`` brings its own throttle and retries and must give the same answer when a task runs again.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            ids = part["pmcid"].tolist()
-            for k in range(0, len(ids), batch):
-                got = fetch(ids[k : k + batch])
-                yield pd.DataFrame(list(got.items()), columns=["pmcid", "content"])
-
-    missing = wanted.join(cached.select("pmcid"), "pmcid", "left_anti").select("pmcid")
-    have = cached.join(wanted, "pmcid", "left_semi").select("pmcid", "content")
-    return have.union(missing.mapInPandas(run, "pmcid string, content binary"))
-
-
-SCHEMAS = {"qa": schemas.QA_PAIR, "labels": schemas.JUDGE_LABEL}
