@@ -192,8 +192,8 @@ def test_search_as_a_data_source(spark, monkeypatch):
         spark.dataSource.register(literature.Search)
         rows = spark.read.format("literature_search").options(endpoint=f"http://127.0.0.1:{server.server_port}", query="n", most=20, key="k").load()
         assert [(r["position"], r["pmcid"]) for r in rows.orderBy("position").collect()] == [(k, f"n{k}") for k in range(20)]
-        pages = literature._SearchReader({"most": "25000"}).partitions()
-        assert [(p.start, p.size) for p in pages] == [(0, 10_000), (10_000, 10_000), (20_000, 5_000)]
+        lanes = literature._SearchReader({"most": "35000"}).partitions()
+        assert [p.pages for p in lanes] == [[(0, 10_000), (30_000, 5_000)], [(10_000, 10_000)], [(20_000, 10_000)]]
     finally:
         server.shutdown()
 
