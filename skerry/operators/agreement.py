@@ -39,11 +39,13 @@ def grouped_report(rows: DataFrame, a: str, b: str, differ: Column, stratum_col:
 
     ``differ`` says on which rows the judges differ, who need not be the raters compared.
     """
-    names = F.array(F.lit("overall"), F.when(differ, "disagreements").otherwise("agreements"), F.col(stratum_col))
-    found = rows.select(F.explode(names).alias("group_name"), F.col(a).alias("a"), F.col(b).alias("b")).groupBy("group_name").agg(*_measures(F.col("a"), F.col("b")))
-    every = rows.sparkSession.createDataFrame([(g,) for g in GROUPS], "group_name string")
+    named = rows.select(F.col(a).alias("a"), F.col(b).alias("b"), F.when(differ, "disagreements").otherwise("agreements").alias("side"), F.col(stratum_col).alias("stratum"))
+    sets = named.groupingSets([[], [F.col("side")], [F.col("stratum")]], F.col("side"), F.col("stratum"))
+    found = sets.agg(F.grouping_id("side", "stratum").alias("level"), *_measures(F.col("a"), F.col("b")))
+    name = F.when(F.col("level") == 3, F.lit("overall")).when(F.col("level") == 1, F.col("side")).otherwise(F.col("stratum"))
+    every = rows.sparkSession.range(1).select(F.explode(F.lit(list(GROUPS))).alias("group_name"))
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_agree", "n_disagree")]
-    return every.join(found, "group_name", "left").select("group_name", *counts, "agreement_rate", "kappa")
+    return every.join(found.withColumn("group_name", name), "group_name", "left").select("group_name", *counts, "agreement_rate", "kappa")
 
 
 def scored_sheet(sheet: DataFrame, labels: DataFrame) -> DataFrame:

@@ -35,11 +35,16 @@ def quotas(n: int, available: int) -> dict[str, int]:
 
 
 def stratified(rows: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
-    """A sample of (…, stratum) by :func:`quotas`."""
+    """A sample of (…, stratum) by :func:`quotas`.
+
+    The largest quota is a literal limit on each stratum's order, so every task sends on at most so many
+    rows of a stratum; the stratum's own quota is taken of what arrives.
+    """
     share = quotas(n, rows.filter("stratum = 'disagree'").limit(n).count())
     limit = F.create_map(*[F.lit(x) for item in share.items() for x in item])
     order = Window.partitionBy("stratum").orderBy(place(seed, *[F.col(k) for k in key]), *key)
-    return rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit[F.col("stratum")]).drop("nth")
+    few = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max(share.values()))
+    return few.filter(F.col("nth") <= limit[F.col("stratum")]).drop("nth")
 
 
 def shuffled(rows: DataFrame, key: list[str], seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ ranked exactly; only the distribution functions, one value per comparison, run i
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,13 +56,38 @@ def _normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: normal_two_sided(v) if v == v else 1.0)
 
 
+#: Up to so many pairs without ties or zeros the signed-rank distribution is counted out.
+EXACT_PAIRS = 50
+
+
+@lru_cache(EXACT_PAIRS + 1)
+def signed_rank_counts(n: int) -> tuple[int, ...]:
+    """For each sum, the sets of ranks 1 to ``n`` that have it."""
+    ways = [1]
+    for rank in range(1, n + 1):
+        ways = [(ways[s] if s < len(ways) else 0) + (ways[s - rank] if s >= rank else 0) for s in range(len(ways) + rank)]
+    return tuple(ways)
+
+
+def signed_rank_two_sided(n: int, statistic: float) -> float:
+    """The chance of the smaller rank sum being at most ``statistic``, on either side."""
+    return min(1.0, 2 * sum(signed_rank_counts(n)[: int(statistic) + 1]) / 2**n)
+
+
+@pandas_udf(DoubleType())
+def _exact_p(n: pd.Series, statistic: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_two_sided(int(k), t) if k > 0 else 1.0 for k, t in zip(n, statistic)])
+
+
 @pandas_udf(DoubleType())
 def _student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([student_two_sided(a, n) if a == a else 1.0 for a, n in zip(t, df)])
 
 
 def wilcoxon_parts(pairs: DataFrame, digits: int | None = None) -> DataFrame:
-    """keys, pairs, n, mean_a, mean_b, statistic, z: the signed-rank test without zeros, tie-corrected.
+    """keys, pairs, n, mean_a, mean_b, statistic, z, exact: the signed-rank test without zeros, tie-corrected.
+
+    ``exact`` is whether the distribution itself applies: few pairs, none of them equal, no two differences of one size.
 
     Fewer than two pairs, or no difference at all, give statistic 0 and no z.  With ``digits``
     differences are rounded first, where scores are sums that came in any order.
@@ -87,11 +113,15 @@ def wilcoxon_parts(pairs: DataFrame, digits: int | None = None) -> DataFrame:
     good = (F.col("pairs") >= 2) & (F.col("n") > 0)
     low = F.least("plus", "minus")
     z = F.when(good & (sigma > 0), (low - n * (n + 1) / 4) / F.nullif(sigma, F.lit(0.0)))
-    return out.select(*KEYS, "pairs", "n", "mean_a", "mean_b", F.when(good, low).otherwise(0.0).alias("statistic"), z.alias("z"))
+    exact = good & (F.col("pairs") <= EXACT_PAIRS) & (F.col("n") == F.col("pairs")) & (F.col("tied") == 0)
+    return out.select(*KEYS, "pairs", "n", "mean_a", "mean_b", F.when(good, low).otherwise(0.0).alias("statistic"), z.alias("z"), exact.alias("exact"))
 
 
-def wilcoxon(pairs: DataFrame) -> DataFrame:
-    return wilcoxon_parts(pairs).withColumn("p_value", _normal_p("z"))
+def wilcoxon(pairs: DataFrame, digits: int | None = None) -> DataFrame:
+    """:func:`wilcoxon_parts` with ``p_value``: counted out where ``exact``, else by the normal approximation."""
+    parts = wilcoxon_parts(pairs, digits)
+    exact = _exact_p(F.when(F.col("exact"), F.col("n")).otherwise(0), F.col("statistic"))
+    return parts.withColumn("p_value", F.when(F.col("exact"), exact).otherwise(_normal_p("z"))).drop("exact")
 
 
 def ttest_parts(pairs: DataFrame) -> DataFrame:
@@ -99,7 +129,8 @@ def ttest_parts(pairs: DataFrame) -> DataFrame:
     d = F.col("x") - F.col("y")
     out = pairs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"), F.max(F.abs(d)).alias("most"))
     good = (F.col("n") >= 2) & (F.col("most") > 0)
-    t = F.col("m") / F.nullif(F.col("s") / F.sqrt("n"), F.lit(0.0))
+    error = F.col("s") / F.sqrt("n")
+    t = F.when(error > 0, F.col("m") / F.nullif(error, F.lit(0.0))).otherwise(F.signum("m") * F.lit(math.inf))  # differences that are all the same
     return out.select(*KEYS, "n", "mean_a", "mean_b", F.when(good, t).otherwise(0.0).alias("statistic"), F.when(good, F.col("n") - 1).cast("double").alias("df"))
 
 
@@ -127,15 +158,15 @@ def bonferroni(tests: DataFrame, comparisons: int, alpha: float = 0.05) -> DataF
     return tests.withColumn("significant", F.col("p_value") < F.lit(alpha / comparisons))
 
 
-def ablation(scores: DataFrame, variants: list[str], alpha: float = 0.05) -> DataFrame:
+def ablation(scores: DataFrame, variants: list[str], alpha: float = 0.05, digits: int | None = None) -> DataFrame:
     """All pairs and primary metrics with their test and Bonferroni verdict."""
     n = len(variants) * (len(variants) - 1)  # pairs times two metrics
-    return bonferroni(wilcoxon(variant_pairs(scores, variants)), n, alpha)
+    return bonferroni(wilcoxon(variant_pairs(scores, variants), digits), n, alpha)
 
 
-def robustness(pairs: DataFrame, comparisons: int, alpha: float = 0.05) -> DataFrame:
+def robustness(pairs: DataFrame, comparisons: int, alpha: float = 0.05, digits: int | None = None) -> DataFrame:
     """Verdicts of both tests side by side, and whether they differ."""
-    w = bonferroni(wilcoxon(pairs), comparisons, alpha).select(*KEYS, F.col("p_value").alias("p_wilcoxon"), F.col("significant").alias("by_wilcoxon"))
+    w = bonferroni(wilcoxon(pairs, digits), comparisons, alpha).select(*KEYS, F.col("p_value").alias("p_wilcoxon"), F.col("significant").alias("by_wilcoxon"))
     t = bonferroni(ttest(pairs), comparisons, alpha).select(*KEYS, F.col("p_value").alias("p_ttest"), F.col("significant").alias("by_ttest"))
     return w.join(t, list(KEYS)).withColumn("flipped", F.col("by_wilcoxon") != F.col("by_ttest"))
 

@@ -158,17 +158,40 @@ def variant_means(spark, sf_dir):
     return metrics.means(_variant_scores(spark, sf_dir)).select("variant", *[_r(m) for m in _METRICS])
 
 
-@register(f"""{_PAIRS_SQL}, d as (select *, round(x - y, 9) as d from pairs), k as (
+_SIGNED_RANKS_SQL = f"""{_PAIRS_SQL}, d as (select *, round(x - y, 9) as d from pairs), k as (
         select *, abs(d) as size, count(*) over (partition by a, b, metric, d = 0, abs(d)) as t,
                rank() over (partition by a, b, metric, d = 0 order by abs(d)) as rk from d
     ), w as (
         select a, b, metric, count(*) as pairs, count(*) filter (where d <> 0) as n, avg(x) as mean_a, avg(y) as mean_b,
                coalesce(sum(rk + (t - 1) / 2) filter (where d > 0), 0.0) as plus, coalesce(sum(rk + (t - 1) / 2) filter (where d < 0), 0.0) as minus,
                coalesce(sum(t * t - 1) filter (where d <> 0), 0) as tied from k group by 1, 2, 3
-    )
-    select a, b, metric, pairs, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, case when n > 0 then least(plus, minus) else 0.0 end as statistic,
-           round((least(plus, minus) - n * (n + 1) / 4) / nullif(sqrt((n * (n + 1) * (2 * n + 1) - tied / 2) / 24), 0), 6) as z
-    from w""")
+    ), z as (
+        select *, case when pairs >= 2 and n > 0 then least(plus, minus) else 0.0 end as statistic, pairs between 2 and 50 and n = pairs and tied = 0 as exact,
+               (least(plus, minus) - n * (n + 1) / 4) / nullif(sqrt((n * (n + 1) * (2 * n + 1) - tied / 2) / 24), 0) as z from w
+    )"""
+# The normal distribution by its series, Student's by its finite sums, the signed ranks' by all signs.
+_P_SQL = f"""{_SIGNED_RANKS_SQL}, signs as (
+        select a, b, metric, n, statistic, unnest(range(0, (2 ** n)::bigint)) as mask from z where exact
+    ), counted as (
+        select a, b, metric, least(1.0, 2.0 * count(*) filter (where list_sum(list_transform(range(1, n + 1), lambda r: case when (mask >> (r - 1)::int) & 1 = 1 then r else 0 end)) <= statistic) / count(*)) as p
+        from signs group by 1, 2, 3
+    ), wilcoxon as (
+        select z.*, case when exact then c.p when z is null then 1.0 else greatest(0.0, 1 - sqrt(2 / pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 200), lambda k:
+               exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))))) end as p
+        from z left join counted c using (a, b, metric)
+    ), m as (
+        select a, b, metric, count(*) as n, avg(x - y) as m, stddev_samp(x - y) / sqrt(count(*)) as e, max(abs(x - y)) as most from pairs group by 1, 2, 3
+    ), angle as (
+        select *, n - 1 as df, atan(case when e > 0 then m / e else 1e300 end / sqrt(n - 1)) as theta from m
+    ), student as (
+        select a, b, metric, case when n < 2 or most = 0 then 1.0 when df % 2 = 1
+               then 1 - 2 / pi() * (abs(theta) + coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda k: sin(abs(theta)) * cos(theta) ** (2 * k + 1) * sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)))), 0))
+               else 1 - coalesce(list_sum(list_transform(range(0, df // 2), lambda k: sin(abs(theta)) * cos(theta) ** (2 * k) * exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()))), 0) end as p
+        from angle
+    )"""
+
+
+@register(f"""{_SIGNED_RANKS_SQL} select a, b, metric, pairs, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, statistic, round(z, 6) as z from z""")
 def wilcoxon_t_z(spark, sf_dir):
     # Sums of discounts come in any order: equal differences are made equal before they are ranked.
     parts = statistics.wilcoxon_parts(statistics.variant_pairs(_variant_scores(spark, sf_dir), list(PARTS)), digits=9)
@@ -182,14 +205,34 @@ def ttest_t(spark, sf_dir):
     return statistics.ttest_parts(pairs).select("a", "b", "metric", "n", _r("mean_a"), _r("mean_b"), _r("statistic"))
 
 
-@register()
+_NATIONS_SQL = """best as (select n_nationkey, n_regionkey, (select avg(c_acctbal) from customer where c_nationkey = n_nationkey) as x, (select avg(s_acctbal) from supplier where s_nationkey = n_nationkey) as y from nation),
+        pairs as (select n_regionkey as a, x, y, x - y as d from best where x is not null and y is not null)"""
+
+
+@register(f"""with {_NATIONS_SQL}, ranked as (select a, d, rank() over (partition by a order by abs(d)) as rk from pairs),
+        sums as (select a, count(*) as n, coalesce(sum(rk) filter (where d > 0), 0) as plus, coalesce(sum(rk) filter (where d < 0), 0) as minus from ranked group by 1),
+        masks as (select a, n, least(plus, minus) as low, unnest(range(0, (2 ** n)::bigint)) as mask from sums),
+        drawn as (select a, n, low, list_sum(list_transform(range(1, n + 1), lambda r: case when (mask >> (r - 1)::int) & 1 = 1 then r else 0 end)) as total from masks)
+        select a::varchar as a, n as pairs, low::double as statistic, round(least(1.0, 2.0 * count(*) filter (where total <= low) / count(*)), 9) as p_value from drawn group by a, n, low""")
+def signed_rank_exact(spark, sf_dir):
+    """Mean balances of a nation's customers and suppliers, paired by region: few pairs, whose distribution is counted out."""
+    means = [_t(spark, sf_dir, t).groupBy(F.col(f"{c}_nationkey").alias("n_nationkey")).agg(F.avg(f"{c}_acctbal").alias(v)) for t, c, v in (("customer", "c", "x"), ("supplier", "s", "y"))]
+    rows = _t(spark, sf_dir, "nation").join(means[0], "n_nationkey").join(means[1], "n_nationkey")
+    pairs = rows.select(F.col("n_regionkey").cast("string").alias("a"), F.lit("").alias("b"), F.lit("").alias("metric"), F.col("n_nationkey").alias("query_id"), "x", "y")
+    return statistics.wilcoxon(pairs).select("a", "pairs", "statistic", F.round("p_value", 9).alias("p_value"))
+
+
+@register(f"""{_P_SQL} select a, b, metric, pairs, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, statistic, round(p, 9) as p_value, p < 0.05 / 12 as significant from wilcoxon""")
 def ablation_verdicts(spark, sf_dir):
-    return statistics.ablation(_variant_scores(spark, sf_dir), list(PARTS))
+    rows = statistics.ablation(_variant_scores(spark, sf_dir), list(PARTS), digits=9)
+    return rows.select("a", "b", "metric", "pairs", "n", _r("mean_a"), _r("mean_b"), "statistic", F.round("p_value", 9).alias("p_value"), "significant")
 
 
-@register()
+@register(f"""{_P_SQL} select a, b, metric, round(w.p, 9) as p_wilcoxon, w.p < 0.05 / 12 as by_wilcoxon, round(t.p, 9) as p_ttest, t.p < 0.05 / 12 as by_ttest, (w.p < 0.05 / 12) <> (t.p < 0.05 / 12) as flipped
+    from wilcoxon w join student t using (a, b, metric)""")
 def test_robustness(spark, sf_dir):
-    return statistics.robustness(statistics.variant_pairs(_variant_scores(spark, sf_dir), list(PARTS)), 12)
+    rows = statistics.robustness(statistics.variant_pairs(_variant_scores(spark, sf_dir), list(PARTS)), 12, digits=9)
+    return rows.withColumns({p: F.round(p, 9) for p in ("p_wilcoxon", "p_ttest")})
 
 
 @register(f"""{_VARIANT_SQL}, d as (select s.variant, s.recall_at_10 - b.recall_at_10 as delta from scores s join scores b on b.query_id = s.query_id and b.variant = 'baseline' and s.variant <> 'baseline')

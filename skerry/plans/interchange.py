@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from skerry import schemas, workspace
 from skerry.functions import text as tx
-from skerry.operators import agreement, models
+from skerry.operators import agreement, models, ordering
 from skerry.plans.catalogue import _t, register
 from skerry.sources import articles, literature, tables
 
@@ -115,21 +115,21 @@ def _lay_file(spark, sf_dir) -> str:
         return F.substring(written, F.lit(2), F.length(written) - 2)
 
     def article(k: int) -> Column:
-        pmid, texts = (F.col("item_id") + 1000 + k).cast("string"), F.struct(F.left("text", F.lit(30)).alias("2"), F.lit("end.").alias("1"))
+        pmid, texts = (F.col("item_id") + 1000 + k).cast("string"), F.struct(F.col("text").alias("2"), F.lit("end.").alias("1"))
         return F.concat(F.lit('"'), pmid, F.lit('": '), F.to_json(F.struct(F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("Title"), texts.alias("abstract"))))
 
     entry = F.concat(F.lit('"'), F.col("item_id").cast("string"), F.lit('": {'), inner(F.col("text").alias("question")), F.lit(', "question_type": "A", '), article(0), F.lit(", "), article(1), F.lit("}"))
-    rows = _t(spark, sf_dir, "benchmark").filter("text is not null").select(F.struct("item_id", entry.alias("e")).alias("r"))
+    rows = _t(spark, sf_dir, "benchmark").withColumn("text", F.coalesce("text", F.lit(""))).select(F.struct("item_id", entry.alias("e")).alias("r"))
     whole = rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["e"]), ",\n").alias("body"))  # the format is one document
     path = workspace.new_path(spark, "lay")
     whole.select(F.concat(F.lit("{"), "body", F.lit("}"))).coalesce(1).write.text(path)
     return path
 
 
-_LAY_SQL = "lay as (select item_id, item_id + 1000 + k as pmid, text, k from benchmark, (values (0), (1)) v(k) where text is not null)"
+_LAY_SQL = "lay as (select item_id, item_id + 1000 + k as pmid, coalesce(text, '') as text, k from benchmark, (values (0), (1)) v(k))"
 
 
-@register(f"with {_LAY_SQL} select pmid::varchar as pmid, 't' || item_id::varchar as title, md5(left(text, 30) || ' end.') as text_md5 from lay qualify row_number() over (partition by pmid order by item_id, k) = 1")
+@register(f"with {_LAY_SQL} select pmid::varchar as pmid, 't' || item_id::varchar as title, md5(text || ' end.') as text_md5 from lay qualify row_number() over (partition by pmid order by item_id, k) = 1")
 def lay_articles(spark, sf_dir):
     found, _ = tables.read_lay_questions(spark, _lay_file(spark, sf_dir))
     return found.select("pmid", "title", _md5(F.get("sections", F.lit(0))["text"]).alias("text_md5"))
@@ -141,7 +141,7 @@ def lay_queries(spark, sf_dir):
     return asked.select("qid", "question", F.array_join("gold_pmids", ",").alias("gold_pmids"))
 
 
-@register(f"with {_LAY_SQL}, few as (select item_id from benchmark where text is not null order by item_id limit 5) select distinct pmid::varchar as pmid from lay where item_id in (select item_id from few)")
+@register(f"with {_LAY_SQL}, few as (select item_id from benchmark order by item_id limit 5) select distinct pmid::varchar as pmid from lay where item_id in (select item_id from few)")
 def lay_first_queries(spark, sf_dir):
     return tables.first_queries(*tables.read_lay_questions(spark, _lay_file(spark, sf_dir)), 5)[0].select("pmid")
 
@@ -153,7 +153,7 @@ _VALUE_SQL = "case doc_id % 4 when 0 then 1 when 1 then 0 end"
 
 def _judge_labels(spark, sf_dir) -> DataFrame:
     chunk = F.concat(F.col("doc_id").cast("string"), F.lit(":0000"))
-    qa = F.concat(F.lit("q"), (F.col("doc_id") % 20).cast("string"))
+    qa = F.concat(F.lit("q"), F.floor(F.col("doc_id") / 10).cast("string"))  # ten documents each, at any size
     return _t(spark, sf_dir, "labels").select(qa.alias("qa_id"), chunk.alias("chunk_id"), F.col("quality").alias("judge_a"), F.col("toxic").alias("judge_b"), F.col("quality").alias("final"), "doc_id")
 
 
@@ -163,8 +163,8 @@ def _sheet(spark, sf_dir, numbered: bool) -> DataFrame:
     return tables.blind_sheet(_judge_labels(spark, sf_dir), questions, chunks, numbered)
 
 
-@register("""select 'q' || (l.doc_id % 20)::varchar as qa_id, l.doc_id::varchar || ':0000' as chunk_id, coalesce(b.text, '') as question, md5(coalesce(d.text, '')) as chunk_md5, '' as human_relevant
-    from labels l left join benchmark b on b.item_id = l.doc_id % 20 left join documents d using (doc_id)""")
+@register("""select 'q' || (l.doc_id // 10)::varchar as qa_id, l.doc_id::varchar || ':0000' as chunk_id, coalesce(b.text, '') as question, md5(coalesce(d.text, '')) as chunk_md5, '' as human_relevant
+    from labels l left join benchmark b on b.item_id = l.doc_id // 10 left join documents d using (doc_id)""")
 def blind_sheet(spark, sf_dir):
     return _sheet(spark, sf_dir, False).select("qa_id", "chunk_id", "question", _md5(F.col("chunk_text")).alias("chunk_md5"), "human_relevant")
 
@@ -184,7 +184,7 @@ def sheet_validation(spark, sf_dir):
     return rows.select("group_name", "n", F.round("accuracy", 6).alias("accuracy"), (F.round("kappa", 6) + 0.0).alias("kappa"))  # no negative zero
 
 
-@register("select 'q' || (doc_id % 20)::varchar as qa_id, doc_id::varchar || ':0000' as chunk_id, quality as judge_a, toxic as judge_b, quality as final from labels")
+@register("select 'q' || (doc_id // 10)::varchar as qa_id, doc_id::varchar || ':0000' as chunk_id, quality as judge_a, toxic as judge_b, quality as final from labels")
 def labels_jsonl(spark, sf_dir):
     path = workspace.new_path(spark, "labels")
     _gold_files(spark, sf_dir, path)
@@ -197,7 +197,7 @@ def _gold_files(spark, sf_dir, path: str) -> None:
     tables.write_gold(labelled, agreement.report(labelled, "judge_a", "judge_b"), path)
 
 
-@register("select 'q' || (doc_id % 20)::varchar as query_id, coalesce(string_agg(doc_id::varchar || ':0000', ',' order by doc_id) filter (where quality = 1), '') as relevant_ids from labels group by 1")
+@register("select 'q' || (doc_id // 10)::varchar as query_id, coalesce(string_agg(doc_id::varchar || ':0000', ',' order by doc_id) filter (where quality = 1), '') as relevant_ids from labels group by 1")
 def gold_files(spark, sf_dir):
     path = workspace.new_path(spark, "gold")
     _gold_files(spark, sf_dir, path)
@@ -260,9 +260,9 @@ def section_histogram(spark, sf_dir):
     return tables.section_histogram(_t(spark, sf_dir, "documents").select(sections.alias("abstract")))
 
 
-@register("select doc_id::varchar || ':0000' as chunk_id, md5(text) as content_md5, lang || '?|' || source as questions from documents where text is not null")
+@register("select doc_id::varchar || ':0000' as chunk_id, md5(coalesce(text, '')) as content_md5, lang || '?|' || source as questions from documents")
 def enrichment_dump(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").filter("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(":0000")).alias("chunk_id"), F.col("text").alias("content"), F.array(F.concat("lang", F.lit("?")), "source").alias("hq_questions"))
+    rows = _t(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(":0000")).alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.concat("lang", F.lit("?")), "source").alias("hq_questions"))
     path = workspace.new_path(spark, "enrichment")
     tables.write_enrichment(rows, path)
     back = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,struct<content:string,hq_questions:array<string>>>")).alias("chunk_id", "e"))
@@ -330,23 +330,23 @@ def model_rewrites(spark, sf_dir):
 
 
 @register("""select chunk_id, 'What is ' || lang || '?' || chr(10) || 'Why ' || source || '?' as questions, md5(content || chr(10) || 'What is ' || lang || '?' || chr(10) || 'Why ' || source || '?') as enriched_md5
-    from (select doc_id::varchar as chunk_id, lang, source, lang || '/' || source || '/' || text as content from documents where text is not null)""")
+    from (select doc_id::varchar as chunk_id, lang, source, lang || '/' || source || '/' || coalesce(text, '') as content from documents)""")
 def model_enrichment(spark, sf_dir):
     def call(system: str, user: str) -> tuple[str, int, int]:
         lang, source, _ = user.split("/", 2)
         return f"1. What is {lang}?\n\n2) Why {source}?\n3. one too many", 1, 1
 
-    chunks = _t(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat_ws("/", "lang", "source", "text").alias("content"), F.array().cast("array<string>").alias("hq_questions"))
+    chunks = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat_ws("/", "lang", "source", F.coalesce("text", F.lit(""))).alias("content"), F.array().cast("array<string>").alias("hq_questions"))
     rows = models.enrich(chunks, "{content}", workspace.new_path(spark, "cache"), "template", call, k=2)
     return rows.select("chunk_id", F.array_join(tx.question_lines(F.substring("enriched", F.length("content") + 1, F.length("enriched")), 2), "\n").alias("questions"), _md5(F.col("enriched")).alias("enriched_md5"))
 
 
-@register("""select 'qa_' || case when n < 10000 then lpad(n::varchar, 4, '0') else n::varchar end as qa_id, doc_id::varchar as pmid, ['direct', 'conversational', 'clinical'][n % 3 + 1] || ' ' || length(text)::varchar as question,
-        ['direct', 'conversational', 'clinical'][n % 3 + 1] as prompting_strategy from (select *, row_number() over (order by doc_id) - 1 as n from documents where text is not null)""")
+@register("""select 'qa_' || case when n < 10000 then lpad(n::varchar, 4, '0') else n::varchar end as qa_id, doc_id::varchar as pmid, ['direct', 'conversational', 'clinical'][n % 3 + 1] || ' ' || length(coalesce(text, ''))::varchar as question,
+        ['direct', 'conversational', 'clinical'][n % 3 + 1] as prompting_strategy from (select *, row_number() over (order by doc_id) - 1 as n from documents)""")
 def model_questions(spark, sf_dir):
     strategy = F.element_at(F.array(*[F.lit(s) for s in schemas.STRATEGIES]), (F.col("ordinal") % 3 + 1).cast("int"))
-    rows = _t(spark, sf_dir, "documents").filter("text is not null").withColumn("ordinal", F.row_number().over(Window.orderBy("doc_id")) - 1)
-    rows = rows.select(F.col("doc_id").cast("string").alias("pmid"), "ordinal", strategy.alias("strategy"), F.col("text").alias("abstract"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.join(ordering.numbered(docs.select("doc_id"), ["doc_id"], "ordinal"), "doc_id").select(F.col("doc_id").cast("string").alias("pmid"), "ordinal", strategy.alias("strategy"), F.col("text").alias("abstract"))
     templates = {s: f"{s}|{{abstract}}" for s in schemas.STRATEGIES}
 
     def call(system: str, user: str) -> tuple[str, int, int]:
@@ -356,17 +356,17 @@ def model_questions(spark, sf_dir):
     return models.generate_questions(rows, templates, workspace.new_path(spark, "cache"), "template", call)
 
 
-@register("""select doc_id, length(text) % 2 = 0 as judge_a, length(text) % 3 = 0 as judge_b, case when (length(text) % 2 = 0) = (length(text) % 3 = 0) then length(text) % 2 = 0 else length(text) % 5 < 2 end as final
-    from documents where text is not null""")
+@register("""select doc_id, n % 2 = 0 as judge_a, n % 3 = 0 as judge_b, case when (n % 2 = 0) = (n % 3 = 0) then n % 2 = 0 else n % 5 < 2 end as final
+    from (select doc_id, length(coalesce(text, '')) as n from documents)""")
 def model_judges(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.lit("q").alias("question"), F.col("text").alias("content"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.lit("q").alias("question"), F.col("text").alias("content"))
     calls = tuple(lambda system, user, rule=rule: ('{"relevant": %d}' % rule(len(user) - 2), 1, 1) for rule in (lambda n: n % 2 == 0, lambda n: n % 3 == 0, lambda n: n % 5 < 2))
     return models.judge_twice(rows, "{question} {chunk}", workspace.new_path(spark, "cache"), ("A", "B", "C"), calls).select("doc_id", "judge_a", "judge_b", "final")
 
 
-@register("select doc_id, length(text)::double as chars, (doc_id % 2)::double as odd from documents where text is not null")
+@register("select doc_id, length(coalesce(text, ''))::double as chars, (doc_id % 2)::double as odd from documents")
 def model_embeddings(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.concat((F.col("doc_id") % 2).cast("string"), F.col("text")).alias("t"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.concat((F.col("doc_id") % 2).cast("string"), F.coalesce("text", F.lit(""))).alias("t"))
     found = models.embed(rows, "t", workspace.new_path(spark, "cache"), "length", lambda texts: [[float(len(t) - 1), float(t[0])] for t in texts])
     return found.select("doc_id", F.get("embedding", F.lit(0)).alias("chars"), F.get("embedding", F.lit(1)).alias("odd"))
 

@@ -10,10 +10,9 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skerry import schemas
-from skerry.operators import agreement
+from skerry.operators import agreement, ordering
 from skerry.sources import files
 from skerry.sources.store import Collection  # noqa: F401
 
@@ -98,20 +97,34 @@ def write_results(rows: DataFrame, path: str, tag: str) -> None:
     rows.withColumn("run", F.lit(tag)).write.mode("overwrite").partitionBy("run", "variant").json(path)
 
 
+# The German headers of a numbered sheet.
+NUMBERED_SHEET = ("nr", "qa_id", "chunk_id", "frage", "textausschnitt", "relevant", "kommentar")
+#: A sheet of so many rows is one file, for a person to fill in; a larger one is as many as Spark makes.
+ONE_FILE_ROWS = 5_000
+
+
 def blind_sheet(sample: DataFrame, questions: DataFrame, chunks: DataFrame, numbered: bool = False) -> DataFrame:
     """What a rater sees of a sample: no judge's label; unknown texts are empty."""
-    rows = sample.select("qa_id", "chunk_id").join(questions.select("qa_id", "question"), "qa_id", "left").join(chunks.select("chunk_id", F.col("content").alias("chunk_text")), "chunk_id", "left")
-    rows = rows.select("qa_id", "chunk_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("chunk_text", F.lit("")).alias("chunk_text"), F.lit("").alias("human_relevant"))
+    rows = sample.select("qa_id", "chunk_id")
+    if numbered:
+        rows = ordering.numbered(rows, ["qa_id", "chunk_id"], "nr", 1)
+    rows = rows.join(questions.select("qa_id", "question"), "qa_id", "left").join(chunks.select("chunk_id", F.col("content").alias("chunk_text")), "chunk_id", "left")
+    texts = [F.coalesce("question", F.lit("")), F.coalesce("chunk_text", F.lit(""))]
     if not numbered:
-        return rows
-    nr = F.row_number().over(Window.orderBy("qa_id", "chunk_id"))  # a sheet that a person fills in
-    return rows.select(nr.alias("nr"), "qa_id", "chunk_id", F.col("question").alias("frage"), F.col("chunk_text").alias("textausschnitt"), F.lit("").alias("relevant"), F.lit("").alias("kommentar"))
+        return rows.select("qa_id", "chunk_id", texts[0].alias("question"), texts[1].alias("chunk_text"), F.lit("").alias("human_relevant"))
+    columns = [F.col("nr"), F.col("qa_id"), F.col("chunk_id"), *texts, F.lit(""), F.lit("")]
+    return rows.select(*[c.alias(n) for c, n in zip(columns, NUMBERED_SHEET)])
 
 
 def write_sheet(sheet: DataFrame, path: str, mark: bool = False) -> None:
-    """A sheet as one CSV file with a header, in the order of its first column; with ``mark`` it begins with a byte-order mark."""
+    """A sheet as CSV with a header, in the order of its first column; with ``mark`` a file begins with a byte-order mark.
+
+    Up to ONE_FILE_ROWS rows are one file; more are several, each with the header, that follow each other in order.
+    """
     first = sheet.columns[0]
-    rows = sheet.orderBy(first).coalesce(1)  # a person opens one file
+    few = sheet.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS
+    rows = sheet.orderBy(first)
+    rows = rows.coalesce(1) if few else rows
     rows = rows.withColumnRenamed(first, f"\ufeff{first}") if mark else rows
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
