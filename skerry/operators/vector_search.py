@@ -3,6 +3,10 @@
 ``native`` keeps everything in the JVM; ``block`` multiplies Arrow batches of vectors with the query
 matrix and sends only each batch's best on.  Queries are broadcast in blocks of at most
 ``QUERY_BLOCK``; more queries are more passes over the items, one after another.  Ties go to the smaller item.
+:mod:`skerry.operators.cell_index` skips what can't be among the best, and takes any number of queries.
+
+At every size, by every method: a vector that is null, or holds a null, NaN or an infinite number, neither
+asks nor is found; a zero vector has the score 0 with all; identifiers may be of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -36,12 +40,17 @@ def ranked(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) ->
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def usable(rows: DataFrame) -> DataFrame:
+    """Rows whose vectors can be compared."""
+    return rows.filter(F.col("vector").isNotNull() & F.forall("vector", lambda x: F.abs(x) < F.lit(float("inf"))))
+
+
 def topk_native(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """(query_id, vector), (item_id, vector): query_id, item_id, score, rank.  ``queries`` is a small stated set.
+    """(query_id, vector), (item_id, vector): query_id, item_id, score, rank.
 
-    Rows without a vector neither ask nor are found.
+    Up to ``QUERY_BLOCK`` queries are broadcast; more go the way of :func:`topk_block`, with the same results.
     """
-    queries, items = queries.filter("vector is not null"), items.filter("vector is not null")
+    queries, items = usable(queries), usable(items)
     if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
         return topk_block(queries, items, k, exclude_self)
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("qv"))
@@ -50,70 +59,74 @@ def topk_native(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
     d = d.withColumn("dn", _dot(F.col("dv"), F.col("dv")))
     pairs = d.crossJoin(F.broadcast(q))
     if exclude_self:
-        pairs = pairs.filter("query_id <> item_id")
+        pairs = pairs.filter(F.col("query_id").cast("string") != F.col("item_id").cast("string"))
     norm = F.sqrt(F.col("qn") * F.col("dn"))
     score = F.when(norm > 0, _dot(F.col("qv"), F.col("dv")) / norm).otherwise(0.0)
     return ranked(pairs.select("query_id", "item_id", score.alias("score")), k)
 
 
-def _best_of(ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, kind: pa.DataType):
-    """The best of each batch; equal scores keep the order of items."""
-    norms = (vectors * vectors).sum(1)
-
+def best_of(ids: pa.Array, vectors: np.ndarray, items: pa.Array, x: np.ndarray, k: int, exclude_self: bool) -> pa.RecordBatch:
+    """query_id, item_id, score of each query's best ``k`` items; equal scores keep the order of items."""
+    order = pc.array_sort_indices(items)
+    items, x = items.take(order), x[np.asarray(order)]
+    scale = np.sqrt((vectors * vectors).sum(1)[:, None] * (x * x).sum(1)[None, :])
+    score = np.divide(vectors @ x.T, scale, out=np.zeros_like(scale), where=scale > 0)
+    if exclude_self:
+        mine, theirs = (ids, items) if ids.type == items.type else (ids.cast(pa.string()), items.cast(pa.string()))
+        same = pc.index_in(theirs, value_set=mine)
+        at = np.flatnonzero(np.asarray(same.is_valid()))
+        score[np.asarray(same.take(pa.array(at))), at] = -np.inf
+    if k < score.shape[1]:  # all that reach the k-th score, so that its ties are ordered below
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        rows, columns = np.nonzero(score >= least[:, None])
+        by = np.lexsort((columns, -score[rows, columns], rows))
+        rows, columns = rows[by], columns[by]
+        first = np.searchsorted(rows, np.arange(len(ids)))
+        keep = np.arange(len(rows)) - first[rows] < k
+        rows, columns = rows[keep], columns[keep]
+    else:
+        columns = np.argsort(-score, axis=1, kind="stable").ravel()
+        rows = np.repeat(np.arange(len(ids)), score.shape[1])
+    keep = np.isfinite(score[rows, columns])
+    rows, columns = rows[keep], columns[keep]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), items.take(pa.array(columns)), pa.array(score[rows, columns])], names=["query_id", "item_id", "score"])
+
+
+def matrix(lists: pa.Array, rows: int) -> np.ndarray:
+    return np.asarray(lists.flatten()).astype(np.float64).reshape(rows, -1 if rows else 0)
+
+
+def _best_of_batches(ids: pa.Array, vectors: np.ndarray, k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            items = batch.column("item_id").to_numpy(zero_copy_only=False)
-            lists = batch.column("vector")
-            x = np.asarray(lists.flatten()).astype(np.float64).reshape(len(items), -1)
-            order = np.argsort(items, kind="stable")
-            items, x = items[order], x[order]
-            scale = np.sqrt(norms[:, None] * (x * x).sum(1)[None, :])
-            score = np.divide(vectors @ x.T, scale, out=np.zeros_like(scale), where=scale > 0)
-            if exclude_self:
-                score[ids[:, None] == items[None, :]] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(ids)), best.shape[1])
-            keep = np.isfinite(score[rows, best.ravel()])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows][keep], kind), pa.array(items[best.ravel()][keep], batch.column("item_id").type), pa.array(score[rows, best.ravel()][keep])], names=["query_id", "item_id", "score"]
-            )
+            if batch.num_rows:
+                yield best_of(ids, vectors, batch.column("item_id"), matrix(batch.column("vector"), batch.num_rows), k, exclude_self)
 
     return run
 
 
 def topk_block(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """As :func:`topk_native` with matrix products; identifiers are whole numbers or strings, and keep their types.
+    """As :func:`topk_native` with matrix products.
 
     One block of queries is on the driver at a time: with more than one, the best of each are written
     before the next block is asked.
     """
-    kinds = {name: rows.schema[name].dataType.simpleString() for rows, name in ((queries, "query_id"), (items, "item_id"))}
-    if wrong := {n: t for n, t in kinds.items() if t not in ("string", "tinyint", "smallint", "int", "bigint")}:
-        raise ValueError(f"identifiers must be whole numbers or strings: {wrong}")
-
-    def key(name: str) -> Column:
-        return F.col(name) if kinds[name] == "string" else F.col(name).cast("long").alias(name)
-
-    def typed(found: DataFrame) -> DataFrame:
-        return found.select(F.col("query_id").cast(kinds["query_id"]), F.col("item_id").cast(kinds["item_id"]), "score", "rank")
-
-    queries, items = queries.filter("vector is not null"), items.filter("vector is not null")
-    asked = queries.select(key("query_id"), F.col("vector").cast("array<double>"))
+    asked = usable(queries).select("query_id", F.col("vector").cast("array<double>"))
     first = asked.limit(QUERY_BLOCK + 1).toArrow()  # all queries, unless they are more than a block
-    blocks = min(first.num_rows, 1) if first.num_rows <= QUERY_BLOCK else -(-queries.count() // QUERY_BLOCK)
-    rows = items.select(key("item_id"), F.col("vector").cast("array<double>"))
+    blocks = min(first.num_rows, 1) if first.num_rows <= QUERY_BLOCK else -(-asked.count() // QUERY_BLOCK)
+    rows = usable(items).select("item_id", F.col("vector").cast("array<double>"))
+    kinds = [asked.schema["query_id"].dataType.simpleString(), rows.schema["item_id"].dataType.simpleString()]
     if not blocks:
-        return typed(ranked(rows.select(F.lit(None).alias("query_id"), "item_id", F.lit(0.0).alias("score")).filter(F.lit(False)), k))
+        none = rows.sparkSession.createDataFrame([], f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
+        return ranked(none, k)
     out = None
     for b in range(blocks):
         table = first if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()  # a block of queries
-        ids = table.column(0).to_numpy()
-        vectors = np.array(table.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        names = [rows.schema["item_id"].dataType.simpleString(), "string" if kinds["query_id"] == "string" else "bigint"]
-        scored = rows.mapInArrow(_best_of(ids, vectors, k, exclude_self, table.schema[0].type), f"query_id {names[1]}, item_id {names[0]}, score double")
-        best = typed(ranked(scored, k))
+        if not table.num_rows:
+            continue
+        ids, vectors = (table.column(c).combine_chunks() for c in range(2))
+        scored = rows.mapInArrow(_best_of_batches(ids, matrix(vectors, len(ids)), k, exclude_self), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
+        best = ranked(scored, k)
         if blocks > 1:
             best = workspace.materialize(best, "top-k")
         out = best if out is None else out.union(best)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from skerry import workspace
 from skerry.functions import labels as answer_labels
 from skerry.functions import text as tx
-from skerry.operators import agreement, chunking, corpus, metrics, pooling, sampling, statistics, vector_search
+from skerry.operators import agreement, cell_index, chunking, corpus, metrics, pooling, sampling, statistics, vector_search
 from skerry.plans import experiment
 from skerry.schemas import VARIANTS
 from skerry.sources import pages as html_pages
@@ -105,6 +105,16 @@ def topk_cosine_block(spark, sf_dir):
     return _vector_hits(spark, sf_dir, method=vector_search.topk_block).select("query_id", "item_id", "rank", _r("score"))
 
 
+def _cells(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    return cell_index.CellIndex.build(items, block_rows=64).search(queries, k, exclude_self)
+
+
+@register(f"with {_hits_sql()} select query_id, item_id, rank, round(score, 6) as score from hits")
+def topk_cosine_cells(spark, sf_dir):
+    """By an inverted file, whose blocks are small enough here that some can be left out."""
+    return _vector_hits(spark, sf_dir, method=_cells).select("query_id", "item_id", "rank", _r("score"))
+
+
 def _scores(spark, sf_dir) -> DataFrame:
     return _label_scores(spark, sf_dir, _vector_hits(spark, sf_dir).withColumn("variant", F.lit("baseline")))
 

@@ -87,8 +87,6 @@ def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "QUERY_BLOCK", 100)
     key = lambda r: (r["query_id"], r["rank"], r["item_id"], round(r["score"], 9))
     assert sorted(map(key, got.collect())) == sorted(map(key, vector_search.topk_native(asked, rows, 4, True).collect()))
-    with pytest.raises(ValueError):
-        vector_search.topk_block(asked.withColumn("query_id", F.col("query_id").cast("double")), rows, 4)
 
 
 def test_citations_last_wins(spark):
