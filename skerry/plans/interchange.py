@@ -30,8 +30,8 @@ def _marked(text: Column) -> Column:
     return F.replace(F.replace(F.replace(_clean(text), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def _article_files(spark, sf_dir) -> DataFrame:
-    """An article of each document; every 50th file is cut off."""
+def _article_files(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """An article of each document; every 50th file is cut off, unless all are to be ``whole``."""
     text, number = _marked(F.col("text")), F.col("doc_id").cast("string")
     parts = [
         F.lit("<set><article><front><journal-meta><journal-title>"), _marked(F.col("source")), F.lit('</journal-title></journal-meta><article-meta><article-id pub-id-type="pmid"> '), number,
@@ -40,9 +40,9 @@ def _article_files(spark, sf_dir) -> DataFrame:
         F.lit('</given-names></name></contrib><contrib contrib-type="author"><name/></contrib></contrib-group><abstract><p>['), text,
         F.lit("]</p></abstract></article-meta></front><body>lost<sec><title>All</title><p>["), text, F.lit("]</p><fig>no</fig>tail</sec><sec><p>untitled</p></sec></body></article></set>"),
     ]
-    whole = F.concat(*parts)
-    markup = F.when(F.col("doc_id") % 50 == 7, F.left(whole, F.length(whole) - 5)).otherwise(whole)
-    return _t(spark, sf_dir, "documents").select(F.concat(number, F.lit(".xml")).alias("path"), F.encode(markup, "UTF-8").alias("content"))
+    full = F.concat(*parts)
+    markup = full if whole else F.when(F.col("doc_id") % 50 == 7, F.left(full, F.length(full) - 5)).otherwise(full)
+    return _t(spark, sf_dir, "documents").select("doc_id", F.concat(number, F.lit(".xml")).alias("path"), F.encode(markup, "UTF-8").alias("content"))
 
 
 def _md5(text: Column) -> Column:
@@ -66,6 +66,30 @@ def bundles_split(spark, sf_dir):
     return articles.bundle_articles(_article_files(spark, sf_dir)).select("path", F.col("error").isNull().alias("parsed"), "pmcid")
 
 
+@register(f"""select doc_id::varchar as pmcid, doc_id % 50 <> 7 as parsed, case when doc_id % 50 <> 7 then md5('All:[' || {_CLEAN_SQL} || ']tail') end as body_md5 from documents""")
+def bundles_read(spark, sf_dir):
+    """Bundles of some hundred documents each, with a root that declares a prefix; every 50th article has an end tag too many."""
+    docs = _article_files(spark, sf_dir, whole=True)
+    broken = F.when(F.col("doc_id") % 50 == 7, F.lit("</sec>")).otherwise(F.lit(""))
+    inner = F.regexp_extract(F.decode("content", "UTF-8"), r"(?s)<article>(.*)</article>", 1)
+    one = F.concat(F.lit("<article "), F.lit('id="a'), F.col("doc_id").cast("string"), F.lit('" x:k="1">'), broken, inner, F.lit("</article>"))
+    bundle = F.floor(F.col("doc_id") / 300)
+    rows = docs.select(bundle.alias("bundle"), F.lit(1).alias("part"), "doc_id", one.alias("value"))
+    ends = docs.select(bundle.alias("bundle")).distinct().select("bundle", F.explode(F.array(F.lit(0), F.lit(2))).alias("part"), F.lit(0).cast("long").alias("doc_id"))
+    ends = ends.withColumn("value", F.when(F.col("part") == 0, F.lit('<pmc-articleset xmlns:x="urn:x">')).otherwise(F.lit("</pmc-articleset>")))
+    path = workspace.new_path(spark, "bundles")
+    rows.unionByName(ends).repartition("bundle").sortWithinPartitions("bundle", "part", "doc_id").select("bundle", "value").write.partitionBy("bundle").text(path)
+    found = workspace.materialize(articles.read_bundles(spark, f"{path}/bundle=*"), "articles")
+    parsed = articles.parse_files(found.filter("error is null").select(F.col("pmcid").alias("path"), "content"))
+    body = _md5(F.array_join(F.transform("body", lambda s: F.concat(s["title"], F.lit(":"), s["text"])), "|"))
+    whole = parsed.select(F.col("path").alias("pmcid"), F.lit(True).alias("parsed"), body.alias("body_md5"))
+    # A broken article has no identifier; it is told by what the others leave over.
+    rest = docs.select(F.col("doc_id").cast("string").alias("pmcid")).join(whole.select("pmcid"), "pmcid", "left_anti")
+    if rest.count() != found.filter("error is not null").count():
+        raise ValueError("articles are missing")
+    return whole.unionByName(rest.select("pmcid", F.lit(False).alias("parsed"), F.lit(None).cast("string").alias("body_md5")))
+
+
 def _citation_files(spark, sf_dir) -> DataFrame:
     """Files of 1,000 citations, one for each event: a user has several, with dates of six forms."""
     ts, form = F.col("ts"), F.col("event_id") % 6

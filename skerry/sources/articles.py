@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +120,46 @@ def bundle_articles(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, at int, pmcid string, content binary, error string")
 
 
+_PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+
+
+def _single(piece: str) -> tuple[str | None, str | None, bytes | None]:
+    """(pmcid, error, markup) of the article that ends a piece of a bundle; prefixes that the bundle's root declares get names here."""
+    begin = re.search(r"<article[\s>]", piece)
+    if begin is None:
+        return None, "no article begins here", None
+    markup = piece[begin.start() :] + "</article>"
+    prefixes = {p for p in _PREFIX.findall(markup) if p not in ("xml", "xmlns") and f"xmlns:{p}=" not in markup}
+    names = "".join(f' xmlns:{p}="urn:{p}"' for p in sorted(prefixes))
+    try:
+        article = ET.fromstring(f"<article{names}{markup[len('<article') :]}")
+    except ET.ParseError as error:
+        return None, str(error), None
+    return _identifier(article, "pmc", "pmcid"), None, ET.tostring(article)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """path, place, pmcid, content, error: one row per article of the bundles (UTF-8) that has an identifier, or that can't be parsed.
+
+    A bundle is read in splits, up to the end of each article, so a task holds one article at a time,
+    however large the bundle; one that is malformed doesn't cost the others.  What stands in the root itself
+    isn't looked at.  The order of ``place`` (split, row) is that of the articles in their file.
+    """
+    rows = spark.read.option("lineSep", "</article>").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    pieces = rows.filter(F.col("value").rlike(r"<article[\s>]")).select(F.col("_metadata.file_path").alias("path"), place.alias("place"), F.col("value").alias("piece"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                number, error, markup = _single(batch.column("piece")[k].as_py())
+                if number or error:
+                    one = batch.slice(k, 1)
+                    yield pa.RecordBatch.from_arrays([one.column("path"), one.column("place"), pa.array([number], pa.string()), pa.array([markup], pa.binary()), pa.array([error], pa.string())], names=["path", "place", "pmcid", "content", "error"])
+
+    return pieces.mapInArrow(run, "path string, place struct<block:bigint,row:bigint>, pmcid string, content binary, error string")
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """(path, content: binary) to path, error, article columns."""
 

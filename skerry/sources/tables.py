@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -53,30 +54,84 @@ def write_ranked_json(hits: DataFrame, path: str) -> None:
     by.select(F.to_json(F.create_map("query_id", "by")).alias("value")).write.mode("overwrite").text(path)
 
 
-def parse_lay_questions(raw: str) -> list[tuple[str, str, str, str, str]]:
-    """(qid, question, pmid, title, abstract); the file's data is in its keys, whose order counts."""
-    out = []
-    for qid, entry in json.loads(raw).items():
-        for pmid, article in entry.items():
-            if pmid not in _RESERVED:
-                out.append((qid, entry["question"], pmid, article["Title"], " ".join(article["abstract"].values())))
-    return out
+class JsonEntries:
+    """Cuts one JSON object into its entries, as its text comes in pieces; holds one entry at a time."""
+
+    _MARK = re.compile(r'\\.|["{}\[\]]', re.DOTALL)
+
+    def __init__(self):
+        self.depth, self.quoted, self.held = 0, False, ""
+
+    def feed(self, piece: str) -> Iterator[tuple[str, dict]]:
+        """(key, value) of the entries that end in this piece; a piece must not end within an escape."""
+        begin = 0
+        for mark in self._MARK.finditer(piece):
+            sign = mark.group()
+            if sign == '"':
+                self.quoted = not self.quoted
+            elif self.quoted or len(sign) > 1:
+                continue
+            elif sign in "{[":
+                self.depth += 1
+                if self.depth == 1:
+                    self.held, begin = "", mark.end()
+            else:
+                self.depth -= 1
+                if self.depth == 1:
+                    yield from json.loads("{" + (self.held + piece[begin : mark.end()]).lstrip().removeprefix(",") + "}").items()
+                    self.held, begin = "", mark.end()
+        self.held += piece[begin:]
+
+    def end(self) -> None:
+        if self.depth or self.quoted:
+            raise ValueError("the JSON object isn't whole")
+
+
+def lay_rows(qid: str, entry: dict) -> list[tuple[str, str, str, str, str]]:
+    """(qid, question, pmid, title, abstract) of an entry; its data is in its keys, whose order counts."""
+    return [(qid, entry["question"], pmid, a["Title"], " ".join(a["abstract"].values())) for pmid, a in entry.items() if pmid not in _RESERVED]
+
+
+def json_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """path, place, piece: the text of JSON files up to each closing brace; pieces in the order of path and place make up the files.
+
+    Files are read in splits, as lines that end in a brace.
+    """
+    rows = spark.read.option("lineSep", "}").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(F.col("_metadata.file_path").alias("path"), place.alias("place"), F.col("value").alias("piece"))
 
 
 def read_lay_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(articles: pmid, title, sections), (queries: qid, question, gold_pmids); of a pmid the first occurrence counts."""
+    """(articles: pmid, title, sections), (queries: qid, question, gold_pmids, at); of a pmid the first occurrence counts.
+
+    Order within a file counts, so a file is one task's; it holds one entry of it at a time, the rest is
+    sorted by Spark, on disk where it must be.  ``at`` is the place in file and entry.  A file that isn't
+    whole is an error; one that lacks nothing but its last brace, before white space, reads as if it had it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, entries, n = None, JsonEntries(), 0
         for batch in batches:
-            for raw in batch["value"]:
-                rows = [(i, *r) for i, r in enumerate(parse_lay_questions(raw))]
-                yield pd.DataFrame(rows, columns=["at", "qid", "question", "pmid", "title", "abstract"])
-
-    rows = spark.read.text(path, wholetext=True).mapInPandas(run, "at long, qid string, question string, pmid string, title string, abstract string")
+            rows = []
+            for name, piece in zip(batch["path"], batch["piece"]):
+                if name != now:
+                    entries.end()
+                    now, entries, n = name, JsonEntries(), 0
+                # The last piece of a file has no brace after it: only white space may follow the object.
+                for qid, entry in entries.feed(piece + "}" if piece.strip() or entries.depth else ""):
+                    for row in lay_rows(qid, entry):
+                        rows.append((name, n, *row))
+                        n += 1
+            yield pd.DataFrame(rows, columns=["path", "n", "qid", "question", "pmid", "title", "abstract"])
+        entries.end()
+
+    pieces = json_pieces(spark, path).repartition("path").sortWithinPartitions("path", "place").select("path", "piece")
+    rows = pieces.mapInPandas(run, "path string, n long, qid string, question string, pmid string, title string, abstract string").withColumn("at", F.struct("path", "n"))
     first = rows.groupBy("pmid").agg(F.min_by(F.struct("title", "abstract"), "at").alias("a"))
     articles = first.select("pmid", "a.title", F.array(F.struct(F.lit("Abstract").alias("title"), F.col("a.abstract").alias("text"))).alias("sections"))
     gold = F.transform(F.sort_array(F.collect_list(F.struct("at", "pmid"))), lambda x: x["pmid"])
-    queries = rows.groupBy("qid").agg(F.first("question").alias("question"), gold.alias("gold_pmids"), F.min("at").alias("at"))
+    queries = rows.groupBy("qid").agg(F.min_by("question", "at").alias("question"), gold.alias("gold_pmids"), F.min("at").alias("at"))
     return articles, queries
 
 

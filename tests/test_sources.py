@@ -226,3 +226,63 @@ def test_descriptions_of_nothing(spark):
     assert Counter(r["key"] for r in corpus.one_per_key(rows, F.col("k") % 2, "k", True).collect()) == {0: 1, 1: 1}
     assert pooling.pool(none.select(F.col("k").alias("query_id"), F.col("t").alias("item_id"), F.lit(0).alias("pos")), none.select(F.col("k").alias("query_id"), F.lit(1).alias("rank"), F.col("t").alias("item_id"))).count() == 0
     assert tx.strip(F.lit("x")) is not None
+
+
+def test_json_entries_in_pieces():
+    rng = random.Random(6)
+    for _ in range(60):
+        values = {f"k{n}": {"q": rng.choice(['a}b"c', "\\", "{[", "é\n}", ""]), "x": rng.choice([[], [{"y": 1}], {"z": "}"}])} for n in range(rng.randint(0, 5))}
+        raw = json.dumps(values, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5) + rng.choice(["", "\n"])
+        entries = tables.JsonEntries()
+        pieces = raw.split("}")
+        got = [e for k, p in enumerate(pieces) for e in entries.feed(p + ("}" if k + 1 < len(pieces) else ""))]
+        entries.end()
+        assert got == list(values.items())
+    entries = tables.JsonEntries()
+    list(entries.feed('{"a": {"b": 1}'))
+    with pytest.raises(ValueError, match="whole"):
+        entries.end()
+
+
+@pytest.mark.parametrize("split", ["128m", "64"])
+def test_lay_questions_of_files_in_splits(spark, tmp_path, split):
+    """Small splits: the order of entries is that of the file, not of the tasks."""
+    files = {f"f{f}": {f"q{f}{n}": {"question": f"{{{n}}} \"}}\" {'x' * n}", "question_type": "A", str(n % 7): {"Title": f"t{f}{n}", "abstract": {"2": "b }", "1": "a"}}, f"{f}9{n}": {"Title": "", "abstract": {}}} for n in range(30)} for f in range(3)}
+    for name, values in files.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(values, indent=1 if name == "f1" else None))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        articles_, queries = tables.read_lay_questions(spark, str(tmp_path))
+        asked = [(r["qid"], r["question"], r["gold_pmids"]) for r in queries.orderBy("at").collect()]
+        assert asked == [(q, e["question"], [k for k in e if not k.startswith("question")]) for v in files.values() for q, e in v.items()]
+        found = {r["pmid"]: (r["title"], r["sections"][0]["text"]) for r in articles_.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {}
+    for v in files.values():
+        for e in v.values():
+            for k, a in e.items():
+                if not k.startswith("question"):
+                    want.setdefault(k, (a["Title"], " ".join(a["abstract"].values())))
+    assert found == want
+
+
+@pytest.mark.parametrize("split", ["128m", "4k"])
+def test_bundles_in_splits(spark, tmp_path, split):
+    def article(n, extra=""):
+        return f'<article a="{n}"><front><article-meta><article-id pub-id-type="pmc">PMC{n}</article-id></article-meta></front><body>{extra}<p m:k="1">é{n} http://x y:z</p><sub-article/></body></article>'
+
+    body = "\n".join(article(n, "</p>" if n in (40, 41) else "") for n in range(300))
+    (tmp_path / "a.xml").write_text(f'<?xml version="1.0"?><set xmlns:m="urn:m">{body}<article><front/></article></set>\n')
+    (tmp_path / "b.xml").write_text(f"<set>{article(900)}<article><unfinished")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = articles.read_bundles(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows.sort(key=lambda r: (r["path"], r["place"]))
+    a = [r for r in rows if r["path"].endswith("a.xml")]
+    assert [r["pmcid"] for r in a] == [None if n in (40, 41) else str(n) for n in range(300)] and all((r["error"] is None) == (r["pmcid"] is not None) for r in a)
+    assert f"é{7}" in bytes(a[7]["content"]).decode() or "&#233;7" in bytes(a[7]["content"]).decode()
+    b = [(r["pmcid"], r["error"] is None) for r in rows if r["path"].endswith("b.xml")]
+    assert b == [("900", True), (None, False)]
