@@ -15,7 +15,8 @@ over block indexes for the joins, so no task holds a source.  A source with a ta
 at least, however small it is.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source, ordered last;
-documents with equal identifiers are separate rows, each with its own share of the mix; an empty table
+documents with equal identifiers are separate rows, each with its own share of the mix; of documents
+whose hash places are equal the smaller identifier, then size, then the first row precedes; an empty table
 gives an empty result; further columns are ignored by :class:`Mix` and kept by :func:`mixed_documents`,
 whatever their names; a text of any length is counted, and cut into words once, as a whole.
 """
@@ -106,7 +107,7 @@ class Mix:
         doc_id = F.col(id_col).cast("long")
         sized = docs.select(
             doc_id.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-            F.monotonically_increasing_id().alias("row"), F.xxhash64(F.lit(seed), doc_id).alias("place"),
+            F.monotonically_increasing_id().alias("row"), F.xxhash64(F.lit(seed), doc_id).alias("place"), F.xxhash64(F.lit(1), doc_id, F.col(text_col)).alias("spread"),
         )
         sized = workspace.materialize(sized, "mix-sizes")
         totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
@@ -128,7 +129,7 @@ class Mix:
         source = self.sources.withColumnRenamed("source", "known")
         source = F.broadcast(source) if len(self._known) <= BROADCAST_SOURCES else source
         sized = sized.join(source, F.col("source").eqNullSafe(F.col("known"))).drop("known")
-        sized = sized.withColumn("bucket", F.pmod(F.xxhash64("place", F.lit(1)), F.lit(buckets)))
+        sized = sized.withColumn("bucket", F.pmod("spread", F.lit(buckets)))  # also rows of one identifier, or of none, are spread
         by = sized.groupBy("source_ix", "bucket").agg(F.sum("size").alias("in_bucket"))
         before = Window.partitionBy("source_ix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         by = by.select("source_ix", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("base"))

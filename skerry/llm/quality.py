@@ -37,6 +37,8 @@ FEATURES = (
 _ODD = np.zeros(256, dtype=bool)
 _ODD[[*b"#$%&*+<=>@\\^_`{}~"]] = True
 _STRETCH = 32
+#: Some ten numbers of eight bytes for each byte of a slice are in memory at once.
+STATISTICS_BYTES = 1 << 20
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,7 +197,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate:
 
 
 def _statistics_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in _arrow.text_slices(batches):
+    for part, texts in _arrow.text_slices(batches, limit=STATISTICS_BYTES):
         x = statistics(texts)
         yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -218,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
 
 def _scorer(trees: Trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _arrow.text_slices(batches):
+        for part, texts in _arrow.text_slices(batches, limit=STATISTICS_BYTES):
             yield part.drop_columns(["text"]).append_column("score", pa.array(trees.score(statistics(texts))))
 
     return run
@@ -235,7 +237,7 @@ def keep_good(docs: DataFrame, trees: Trees, *, text_col="text", threshold: floa
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _arrow.text_slices(batches, text_col):
+        for part, texts in _arrow.text_slices(batches, text_col, STATISTICS_BYTES):
             yield part.filter(pa.array(trees.score(statistics(texts)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema).select(*names)
