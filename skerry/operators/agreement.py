@@ -83,6 +83,11 @@ def gold_sizes(questions: DataFrame, labels: DataFrame) -> DataFrame:
     return questions.select("query_id").join(sizes, "query_id", "left").select("query_id", F.coalesce("gold_size", F.lit(0)).alias("gold_size"))
 
 
+def empty_gold(sizes: DataFrame) -> DataFrame:
+    """questions, empty: how many of :func:`gold_sizes` have nothing relevant; one row."""
+    return sizes.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("gold_size") == 0).alias("empty"))
+
+
 def gold_lists(labels: DataFrame) -> DataFrame:
     """query_id and its relevant items in pool order."""
     ordered = F.sort_array(F.collect_list(F.when(F.col("final"), F.struct("pos", "item_id"))))

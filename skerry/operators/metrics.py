@@ -87,6 +87,16 @@ def latency(rows: DataFrame, value: str, keys: tuple[str, ...] = ("variant",)) -
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
 
 
+def timed(scores: DataFrame, times: DataFrame, keys: tuple[str, ...] = ("variant",)) -> DataFrame:
+    """Scores per query with ``latency_ms`` and ``tokens`` of (keys, query_id, latency_ms, tokens); null where a query wasn't timed."""
+    return scores.join(times.select(*keys, "query_id", "latency_ms", "tokens"), [*keys, "query_id"], "left")
+
+
+def run_metrics(rows: DataFrame, metrics: tuple[str, ...] = ("recall_at_5", "recall_at_10", "mrr", "ndcg_at_10"), keys: tuple[str, ...] = ("variant",)) -> DataFrame:
+    """Means of a run's :func:`timed` rows: the metrics, avg_latency_ms and avg_tokens over the queries that have them."""
+    return rows.groupBy(*keys).agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics], F.avg("latency_ms").alias("avg_latency_ms"), F.avg("tokens").alias("avg_tokens"))
+
+
 def deltas(scores: DataFrame, metric: str, baseline: str, epsilon: float = 1e-9) -> DataFrame:
     """variant, query_id, delta, change: against the baseline's score of the same query."""
     base = scores.filter(F.col("variant") == baseline).select("query_id", F.col(metric).alias("base"))

@@ -19,9 +19,35 @@ def pool(source: DataFrame, hits: DataFrame, depth: int = 10) -> DataFrame:
     return first.select("query_id", (F.row_number().over(order) - 1).alias("pos"), "item_id", (F.col("at.kind") == 0).alias("from_source"))
 
 
+def source_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, item_ids: the chunks of each question's own article, in order; empty where it has none.
+
+    (query_id, pmid), (item_id, pmid, position).  A question without a pmid has no article.
+    """
+    mine = questions.select("query_id", "pmid").join(chunks.select("item_id", "pmid", "position"), "pmid", "left")
+    ordered = F.sort_array(F.collect_list(F.when(F.col("item_id").isNotNull(), F.struct("position", "item_id"))))
+    return mine.groupBy("query_id").agg(F.transform(ordered, lambda c: c["item_id"]).alias("item_ids"))
+
+
+def of_lists(lists: DataFrame) -> DataFrame:
+    """(query_id, item_ids) as the source of :func:`pool`: query_id, item_id, pos."""
+    return lists.select("query_id", F.posexplode("item_ids").alias("pos", "item_id"))
+
+
+def size_statistics(rows: DataFrame) -> DataFrame:
+    """mean_size, max_size, queries of the pools that have any row."""
+    sizes = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.avg("n").alias("mean_size"), F.max("n").alias("max_size"), F.count(F.lit(1)).alias("queries"))
+
+
+def missing(pool_rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """item_id of the pooled items that the corpus lacks."""
+    return pool_rows.select("item_id").distinct().join(corpus.select("item_id"), "item_id", "left_anti")
+
+
 def require_known(pool_rows: DataFrame, corpus: DataFrame) -> DataFrame:
     """``pool_rows``, if the corpus has all of their items; else an error that counts the missing ones."""
-    missing = pool_rows.join(corpus.select("item_id"), "item_id", "left_anti").select("item_id").distinct().count()
-    if missing:
-        raise ValueError(f"{missing} pooled items aren't in the corpus; were other articles chunked?")
+    n = missing(pool_rows, corpus).count()
+    if n:
+        raise ValueError(f"{n} pooled items aren't in the corpus; were other articles chunked?")
     return pool_rows

@@ -18,6 +18,7 @@ from skerry.operators import agreement, cell_index, chunking, corpus, metrics, p
 from skerry.plans import experiment
 from skerry.schemas import VARIANTS
 from skerry.sources import pages as html_pages
+from skerry.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -245,6 +246,31 @@ def test_robustness(spark, sf_dir):
     return rows.withColumns({p: F.round(p, 9) for p in ("p_wilcoxon", "p_ttest")})
 
 
+@register(f"""{_P_SQL} select a, b, metric, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, statistic, round(p, 9) as p_value, p < 0.05 / 12 as significant,
+        (select count(distinct query_id) from scores) as n_queries, 4 as n_variants, 'hash-64' as model from wilcoxon""")
+def ablation_file(spark, sf_dir):
+    """A run's ablation is written under its tag and read back."""
+    scores = _variant_scores(spark, sf_dir)
+    path = workspace.new_path(spark, "results")
+    tests = statistics.ablation(scores, list(PARTS), digits=9)
+    tables.write_ablation(metrics.means(scores), tests, scores.select("query_id").distinct().count(), 0, path, "large", {"embedding_model": "hash-64"})
+    back = tables.read_ablation(spark, path, "large")
+    rows = back.select(F.explode("comparisons").alias("c"), "n_queries", F.size("means").alias("n_variants"), F.col("run_config")["embedding_model"].alias("model")).select("c.*", "n_queries", "n_variants", "model")
+    return rows.withColumns({"mean_a": _r("mean_a"), "mean_b": _r("mean_b"), "p_value": F.round("p_value", 9)})
+
+
+@register(f"""{_VARIANT_SQL}, times as (select user_id as query_id, avg(value) as latency_ms, count(*) as tokens from events group by 1)
+        select variant, {', '.join(f'round(avg({m}), 6) as {m}' for m in _METRICS)}, round(avg(latency_ms), 6) as avg_latency_ms, round(avg(tokens), 6) as avg_tokens, count(latency_ms) as timed
+        from scores left join times using (query_id) group by 1""")
+def run_metrics(spark, sf_dir):
+    """A query's time and tokens are those of the events of its number; some have none."""
+    times = _t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.avg("value").alias("latency_ms"), F.count(F.lit(1)).alias("tokens"))
+    times = times.select(F.explode(F.lit(list(PARTS))).alias("variant"), "*")
+    rows = metrics.timed(_variant_scores(spark, sf_dir), times)
+    timed = rows.groupBy("variant").agg(F.count("latency_ms").alias("timed"))
+    return metrics.run_metrics(rows).join(timed, "variant").select("variant", *[_r(m) for m in (*_METRICS, "avg_latency_ms", "avg_tokens")], "timed")
+
+
 @register(f"""{_VARIANT_SQL}, d as (select s.variant, s.recall_at_10 - b.recall_at_10 as delta from scores s join scores b on b.query_id = s.query_id and b.variant = 'baseline' and s.variant <> 'baseline')
     select variant, count(*) filter (where delta > 1e-9) as better, count(*) filter (where delta < -1e-9) as worse, count(*) filter (where abs(delta) <= 1e-9) as same,
            round(coalesce(sum(delta) filter (where delta > 1e-9), 0.0), 6) as gained, round(coalesce(sum(delta) filter (where delta < -1e-9), 0.0), 6) as lost, round(avg(delta), 6) as mean_delta
@@ -284,6 +310,18 @@ def chunk_sections(spark, sf_dir):
     return _chunks(spark, sf_dir, True).select("pmid", "position", "section", "char_start", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
 
 
+@register(f"""with parts as (select doc_id, 0 as sec, 'Languages' as section, lang || '/' || source as part from documents union all select doc_id, 1, 'Text', coalesce(text, '') from documents),
+    w as (select doc_id, sec, section, k, part from parts, unnest(range(0, greatest(ceil((length(part) - 1000) / 800), 0)::bigint + 1)) r(k) where part <> '')
+    select doc_id::varchar as pmid, (row_number() over (partition by doc_id order by sec, k) - 1)::int as position, section, (k * 800)::int as char_start, md5(substring(part, k * 800 + 1, 1000)) as content_md5 from w""")
+def chunk_articles(spark, sf_dir):
+    """Articles with an abstract and a body: positions count over both."""
+    docs = _t(spark, sf_dir, "documents")
+    abstract = F.array(F.struct(F.lit("Languages").alias("title"), F.concat_ws("/", "lang", "source").alias("text")))
+    body = F.array(F.struct(F.lit("Text").alias("title"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = chunking.chunk(chunking.article_sections(docs.select(F.col("doc_id").cast("string").alias("pmid"), abstract.alias("abstract"), body.alias("body"))))
+    return rows.select("pmid", "position", "section", "char_start", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+
+
 @register(f"select count(*) as chunks, count(distinct split_part(chunk_id, ':', 1)) as articles, round(avg(length(content)), 6) as mean_chars, max(position) as last_position from ({_CHUNK_SQL})")
 def chunk_stats(spark, sf_dir):
     return _chunks(spark, sf_dir).agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("pmid").alias("articles"), F.round(F.avg(F.length("content")), 6).alias("mean_chars"), F.max("position").alias("last_position"))
@@ -404,8 +442,16 @@ def variant_pool(spark, sf_dir):
 
 @register(_POOL_SQL + " select round(avg(n), 6) as mean_size, max(n) as max_size, count(*) as queries from (select query_id, count(*) as n from pools group by 1)")
 def pool_size_stats(spark, sf_dir):
-    sizes = pooling.pool(_source_items(spark, sf_dir), _variant_hits(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("max_size"), F.count(F.lit(1)).alias("queries"))
+    return pooling.size_statistics(pooling.pool(_source_items(spark, sf_dir), _variant_hits(spark, sf_dir))).withColumn("mean_size", _r("mean_size"))
+
+
+@register("""select b.item_id as query_id, coalesce(array_to_string(list(b.item_id::varchar || ':' || lpad(k::varchar, 4, '0') order by k) filter (where k is not null), ','), '') as item_ids
+    from benchmark b left join (select doc_id, unnest(range(0, greatest(ceil((length(text) - 1000) / 800), 0)::bigint + 1)) as k from documents where length(text) > 0) d on d.doc_id = b.item_id * 7 group by 1""".replace("b.item_id::varchar || ':'", "(b.item_id * 7)::varchar || ':'"))
+def source_chunks(spark, sf_dir):
+    """A question's article is the document of seven times its number, which there may not be."""
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 7).cast("string").alias("pmid"))
+    found = pooling.source_chunks(asked, _chunks(spark, sf_dir).withColumnRenamed("chunk_id", "item_id"))
+    return found.select("query_id", F.array_join("item_ids", ",").alias("item_ids"))
 
 
 def _judged(spark, sf_dir) -> DataFrame:
@@ -446,6 +492,11 @@ def gold_sizes(spark, sf_dir):
     return agreement.gold_sizes(asked, _judged(spark, sf_dir))
 
 
+@register(_JUDGED_SQL + " select count(*) as questions, count(*) filter (where n = 0) as empty from (select b.item_id, count(l.item_id) filter (where l.final) as n from benchmark b left join labelled l on l.query_id = b.item_id group by 1)")
+def empty_gold_count(spark, sf_dir):
+    return agreement.empty_gold(gold_sizes(spark, sf_dir))
+
+
 @register(_JUDGED_SQL + " select query_id, array_to_string(list(item_id order by pos) filter (where final), ',') as relevant_ids from labelled group by 1 having count(*) filter (where final) > 0")
 def gold_lists(spark, sf_dir):
     lists = agreement.gold_lists(_judged(spark, sf_dir)).filter(F.size("relevant_ids") > 0)
@@ -466,12 +517,14 @@ def experiment_means(spark, sf_dir):
 
 @register("select d.doc_id from documents d anti join labels l using (doc_id)")
 def missing_chunks_anti(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    docs, known = (_t(spark, sf_dir, t).select(F.col("doc_id").alias("item_id")) for t in ("documents", "labels"))
+    return pooling.missing(docs, known).withColumnRenamed("item_id", "doc_id")
 
 
 @register("select d.doc_id from documents d semi join labels l using (doc_id)")
 def semi_scored_ids(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    docs, known = (_t(spark, sf_dir, t).select(F.col("doc_id").alias("query_id")) for t in ("documents", "labels"))
+    return metrics.scorable(docs, known, known).withColumnRenamed("query_id", "doc_id")
 
 
 # --- agreement, strata, samples -------------------------------------------------------------------

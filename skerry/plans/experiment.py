@@ -90,13 +90,22 @@ def evaluate(hits: DataFrame, labels: DataFrame, questions: DataFrame, settings:
     }
 
 
+def checked(chunks: DataFrame, settings: Settings, *credentials: str) -> DataFrame:
+    """``chunks``, if an experiment can begin: enough hits for the pools, any chunk, all ``credentials`` (names of settings)."""
+    if settings.top_k < settings.pool_depth:
+        raise ValueError(f"{settings.top_k} hits don't fill a pool of depth {settings.pool_depth}")
+    settings.require(*credentials)
+    if chunks.isEmpty():
+        raise ValueError("there are no chunks to search")
+    return chunks
+
+
 def run(chunks: DataFrame, questions: DataFrame, source: DataFrame, embed: Embedder, judge: Callable[[DataFrame], DataFrame], settings: Settings = Settings()) -> Outcome:
     """Chunks (item_id, content, enriched), questions (query_id, question, rewritten), source (query_id, pos, item_id).
 
     ``judge`` takes pool rows with question and content and adds judge_a, judge_b and final.
     """
-    if settings.top_k < settings.pool_depth:
-        raise ValueError(f"{settings.top_k} hits don't fill a pool of depth {settings.pool_depth}")
+    checked(chunks, settings)
     hits = workspace.materialize(retrieve(questions, collections(chunks, embed), embed, settings.top_k), "hits")
     pool = workspace.materialize(pooling.require_known(pooling.pool(source, hits, settings.pool_depth), chunks), "pool")
     rows = pool.join(chunks.select("item_id", "content"), "item_id").join(questions.select("query_id", "question"), "query_id")

@@ -350,7 +350,16 @@ def collection_versions(spark, sf_dir):
 @register("select item_id::varchar as qa_id, text as question, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as rewritten, (2 * length(text) + 6)::int as tokens from benchmark")
 def model_rewrites(spark, sf_dir):
     rows = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qa_id"), F.col("text").alias("question"))
-    return models.rewrite(rows, "Q: {query}", workspace.new_path(spark, "cache"), "echo", lambda system, user: (f" {user[3:]}\n", len(user), len(user)))
+    return models.rewrite(rows, "Q: {query}", workspace.new_path(spark, "cache"), "echo", lambda system, user: (f" {user[3:]}\n", len(user), len(user)), models.Calls(threads=4))
+
+
+@register("""select doc_id::varchar as chunk_id, md5('Ask 2 of ' || coalesce(text, '')) as prompt_md5, 2 * length(coalesce(text, '')) + 18 as total_tokens, 'A?|B?' as questions, md5(coalesce(text, '') || chr(10) || 'A?' || chr(10) || 'B?') as enriched_md5
+    from documents order by doc_id::varchar offset 7 limit 1""")
+def model_inspection(spark, sf_dir):
+    """The eighth chunk in the order of identifiers."""
+    chunks = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"))
+    row = models.inspected(chunks, 7, "Ask {n} of {content}", workspace.new_path(spark, "cache"), "template", lambda system, user: ("1. A?\n2. B?", len(user), len(user)), k=2)
+    return row.select("chunk_id", _md5(F.col("prompt")).alias("prompt_md5"), F.col("total_tokens").cast("long").alias("total_tokens"), F.array_join("questions", "|").alias("questions"), _md5(F.col("enriched")).alias("enriched_md5"))
 
 
 @register("""select chunk_id, 'What is ' || lang || '?' || chr(10) || 'Why ' || source || '?' as questions, md5(content || chr(10) || 'What is ' || lang || '?' || chr(10) || 'Why ' || source || '?') as enriched_md5
@@ -388,11 +397,12 @@ def model_judges(spark, sf_dir):
     return models.judge_twice(rows, "{question} {chunk}", workspace.new_path(spark, "cache"), ("A", "B", "C"), calls).select("doc_id", "judge_a", "judge_b", "final")
 
 
-@register("select doc_id, length(coalesce(text, ''))::double as chars, (doc_id % 2)::double as odd from documents")
+@register("select doc_id, length(coalesce(text, ''))::double as chars, (doc_id % 2)::double as odd, 2 as dimensions from documents")
 def model_embeddings(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select("doc_id", F.concat((F.col("doc_id") % 2).cast("string"), F.coalesce("text", F.lit(""))).alias("t"))
-    found = models.embed(rows, "t", workspace.new_path(spark, "cache"), "length", lambda texts: [[float(len(t) - 1), float(t[0])] for t in texts])
-    return found.select("doc_id", F.get("embedding", F.lit(0)).alias("chars"), F.get("embedding", F.lit(1)).alias("odd"))
+    call = lambda texts: [[float(len(t) - 1), float(t[:1] == "1")] for t in texts]
+    found = models.embed(rows, "t", workspace.new_path(spark, "cache"), "length", call, models.Calls(threads=2))
+    return found.withColumn("dimensions", F.lit(models.probe(call))).select("doc_id", "dimensions", F.get("embedding", F.lit(0)).alias("chars"), F.get("embedding", F.lit(1)).alias("odd"))
 
 
 @register("select doc_id::varchar as pmcid, md5(doc_id::varchar) as content_md5, doc_id % 2 = 0 as cached from documents where doc_id % 7 > 0")

@@ -147,6 +147,28 @@ def write_questions(rows: DataFrame, path: str) -> None:
     rows.orderBy("qa_id").write.mode("overwrite").json(path)
 
 
+def tagged(name: str, tag: str = "") -> str:
+    """The name of a run's file or collection: that of the run without a tag, and the tag."""
+    return f"{name}_{tag}" if tag else name
+
+
+ABLATION = "means array<struct<variant:string,recall_at_5:double,recall_at_10:double,mrr:double,ndcg_at_10:double>>, comparisons array<struct<a:string,b:string,metric:string,mean_a:double,mean_b:double,statistic:double,p_value:double,significant:boolean>>, n_queries long, n_excluded_empty_gold long, run_config map<string,string>"
+
+
+def write_ablation(means: DataFrame, comparisons: DataFrame, n_queries: int, n_excluded: int, path: str, tag: str = "", run_config: dict | None = None) -> None:
+    """One JSON line of a run: means by variant (in their order), comparisons with verdicts, how many queries were scored and left out."""
+    m, c = ([f.split(":")[0] for f in part.split("struct<")[1].split(">")[0].split(",")] for part in ABLATION.split(">>")[:2])
+    rows = means.agg(F.sort_array(F.collect_list(F.struct(*m))).alias("means"))  # a row per variant
+    tests = comparisons.agg(F.sort_array(F.collect_list(F.struct(*c))).alias("comparisons"))  # a row per pair and metric
+    config = F.from_json(F.lit(json.dumps(run_config or {})), "map<string,string>")
+    one = rows.crossJoin(tests).select("means", "comparisons", F.lit(n_queries).cast("long").alias("n_queries"), F.lit(n_excluded).cast("long").alias("n_excluded_empty_gold"), config.alias("run_config"))
+    one.coalesce(1).write.mode("overwrite").json(f"{path}/{tagged('ablation', tag)}")
+
+
+def read_ablation(spark: SparkSession, path: str, tag: str = "") -> DataFrame:
+    return read_jsonl(spark, f"{path}/{tagged('ablation', tag)}", ABLATION)
+
+
 def write_results(rows: DataFrame, path: str, tag: str) -> None:
     """Per-query results under ``run=<tag>/variant=<v>``."""
     rows.withColumn("run", F.lit(tag)).write.mode("overwrite").partitionBy("run", "variant").json(path)
