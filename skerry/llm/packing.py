@@ -39,7 +39,7 @@ END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PIECES_PER_BUCKET = 20_000
 
-_CACHE_PARTS = 200_000  # of some 200 bytes each, in each Python worker
+_CACHE_PARTS = 400_000  # of some 200 bytes each, in each Python worker
 _SLICE_BYTES = 2 << 20
 
 _BLANK, _LETTER, _NUMBER, _MARK, _OTHER = range(5)
