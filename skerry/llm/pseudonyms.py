@@ -9,10 +9,11 @@ values of a notation different ones, and a pseudonym is as valid as what it stan
 * phone: separators and the country code stay, the digits are permuted;
 * social security number: permuted among the 898 x 99 x 9999 numbers that can be issued;
 * IPv4: permuted among all addresses; an octet with leading zeros keeps its width and stays below 100;
-* date: permuted among the 72,900 days from 1900 on, those before, or those after; notation kept.
-  Slashed dates are month first where that is a date.  Where only day first is one (day 13 and later),
-  the day is permuted with the year of the century among such days, 29 February among the leap
-  years of four centuries, so its pseudonym reads day first, too;
+* date: permuted by its day, whatever its notation, among the days of the years 1901 to 2095, those before,
+  or those after; so one day has one pseudonym in every notation, and the notation stays.  Days up to the
+  12th and later ones are permuted apart: where a slashed date can only be read one way, so can its
+  pseudonym.  Slashed dates are month first where that is a date, in every text, so that equal values
+  stay linked; a day first is recognised from the 13th on;
 * e-mail: letters and digits of the local part are permuted in blocks (capitals don't count), domain
   and other characters stay.
 
@@ -30,7 +31,7 @@ columns are ignored by :func:`findings`; a text of any length is worked on as a
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame
@@ -39,12 +40,12 @@ from pyspark.sql import functions as F
 from skerry.llm._columns import computed_once, let
 
 ROUNDS = 8
-#: Dates are permuted within the period of so many days (270 squared) from 1900 on, before it, or after it.
-DATE_START, DATE_PERIOD = date(1900, 1, 1), 270**2
-FIRST_DAY, LAST_DAY = (date.min - DATE_START).days, (date.max - DATE_START).days
-#: Day-first dates that can't be read month first, by day and month; 29 February apart.
-LATE_DAYS = [f"{d:02d}/{m:02d}" for m in range(1, 13) for d in range(13, (date(2001 + m // 12, m % 12 + 1, 1) - date(2001, m, 1)).days + 1)]
-LEAP_YEARS = [y for y in range(400) if date(400 + y, 3, 1).toordinal() - date(400 + y, 2, 1).toordinal() == 29]
+#: Dates are permuted among days of the years from one of these to the next; both numbers of days of
+#: every span have factors that are near each other.
+YEARS = (1, 1901, 2096, 10_000)
+#: Days of a month that can't be months; the last ones of a leap year, in order.
+EARLY = 12
+LATE_DAYS = [d.isoformat()[5:] for d in (date(2000, 1, 1) + timedelta(k) for k in range(366)) if d.day > EARLY]
 BLOCK = 16
 #: Put around matches; texts that have it themselves take a second pass instead.
 MARK = "\x01"
@@ -204,23 +205,12 @@ def _ipv4(value: Column, key: str | Column) -> Column:
     return let(run, **octets, **widths)
 
 
-def _since(day: Column) -> Column:
-    return F.date_diff(day, F.lit(DATE_START))
-
-
 def _day(value: Column) -> Column:
-    """The date of a value that isn't read day first with slashes, or null."""
-    iso = F.try_to_date(value, "yyyy-MM-dd")
-    dotted = F.try_to_date(value, "dd.MM.yyyy")
-    slashed = F.try_to_date(value, "MM/dd/yyyy")
+    """The date of a value, or null."""
+    iso, dotted = F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "dd.MM.yyyy")
+    slashed = F.coalesce(F.try_to_date(value, "MM/dd/yyyy"), F.try_to_date(value, "dd/MM/yyyy"))
     day = F.when(value.contains("."), dotted).when(value.contains("/"), slashed).otherwise(iso)
-    return F.when(_since(day).between(FIRST_DAY, LAST_DAY), day)
-
-
-def _day_first(value: Column) -> Column:
-    """Whether a value is a date only if its day stands first, in a year from 400 on."""
-    late = value.contains("/") & F.substring(value, 1, 2).between("13", "31")
-    return late & F.try_to_date(value, "dd/MM/yyyy").isNotNull() & (F.substring(value, 7, 4) >= "0400")
+    return F.when(F.year(day).between(YEARS[0], YEARS[-1] - 1), day)
 
 
 def _sides(n: int) -> tuple[int, int]:
@@ -229,39 +219,74 @@ def _sides(n: int) -> tuple[int, int]:
     return a, n // a
 
 
-def _date(value: Column, key: str | Column) -> Column:
-    spans = ((FIRST_DAY, -FIRST_DAY), (0, DATE_PERIOD), (DATE_PERIOD, LAST_DAY + 1 - DATE_PERIOD))  # first day, days
+def _early_before(year):
+    """Days up to the 12th in the years 1 to ``year`` - 1, of a number or a column."""
+    return 12 * EARLY * (year - 1)
+
+
+def _late_before(year):
+    """Days from the 13th on in those years."""
+    past = year - 1
+    if isinstance(year, Column):
+        leaps = F.floor(past / 4) - F.floor(past / 100) + F.floor(past / 400)
+    else:
+        leaps = past // 4 - past // 100 + past // 400
+    return (len(LATE_DAYS) - 1) * past + leaps
+
+
+def _early_day(n: Column) -> Column:
+    """The ``n``-th day (from 0) up to the 12th, from year 1 on."""
+    rest = n % (12 * EARLY)
+    return F.make_date((F.floor(n / (12 * EARLY)) + 1).cast("int"), (F.floor(rest / EARLY) + 1).cast("int"), (rest % EARLY + 1).cast("int"))
+
 
-    def moved(since: Column) -> Column:
+def _late_day(n: Column) -> Column:
+    """The ``n``-th day (from 0) from the 13th on, from year 1 on."""
+    mean = (400 * (len(LATE_DAYS) - 1) + 97) / 400
+
+    def of_year(year: Column, n: Column) -> Column:
+        place = n - _late_before(year)
+        common = _late_before(year + 1) - _late_before(year) < len(LATE_DAYS)
+        place = place + F.when(common & (place >= LATE_DAYS.index("02-29")), 1).otherwise(0)
+        month_day = F.element_at(F.split(F.lit(",".join(LATE_DAYS)), ","), (place + 1).cast("int"))
+        return F.make_date(year.cast("int"), F.substring(month_day, 1, 2).cast("int"), F.substring(month_day, 4, 2).cast("int"))
+
+    def near(guess: Column, n: Column) -> Column:
+        year = F.when(_late_before(guess + 1) <= n, guess + 1).when(_late_before(guess) <= n, guess).otherwise(guess - 1)
+        return let(of_year, year=year, n=n)
+
+    return let(near, guess=F.floor(n / mean).cast("long") + 1, n=n)
+
+
+def _moved_day(day: Column, key: str | Column) -> Column:
+    """The day that stands for another."""
+
+    def of_class(before, number: Column, make, year: Column) -> Column:
         def of_span(numbers: list[int]) -> Column:
-            return F.when(since < 0, numbers[0]).when(since < DATE_PERIOD, numbers[1]).otherwise(numbers[2]).cast("long")
+            return F.when(year < YEARS[1], numbers[0]).when(year < YEARS[2], numbers[1]).otherwise(numbers[2]).cast("long")
 
-        base, (a, b) = of_span([first for first, _ in spans]), [of_span([_sides(n)[k] for _, n in spans]) for k in (0, 1)]
-        return F.date_add(F.lit(DATE_START), (base + feistel(since - base, a, b, key, "date")).cast("int"))
+        first = [before(y) for y in YEARS]
+        sides = [_sides(n - m) for m, n in zip(first, first[1:])]
 
-    def written(day: Column) -> Column:
-        return F.when(value.contains("."), F.date_format(day, "dd.MM.yyyy")).when(value.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+        def run(number: Column, base: Column) -> Column:
+            return let(make, n=base + feistel(number - base, of_span([x for x, _ in sides]), of_span([x for _, x in sides]), key, "date"))
 
-    return F.when(_day_first(value), _late(value, key)).otherwise(let(written, day=let(moved, since=_since(_day(value)))))
+        return let(run, number=number.cast("long"), base=of_span(first))
 
+    def run(year: Column, month: Column, day: Column, of_year: Column) -> Column:
+        early = of_class(_early_before, _early_before(year) + (month - 1) * EARLY + day - 1, _early_day, year)
+        late = of_class(_late_before, _late_before(year) + of_year - EARLY * month - 1, _late_day, year)
+        return F.when(day > EARLY, late).otherwise(early)
 
-def _late(value: Column, key: str | Column) -> Column:
-    """The pseudonym of a day-first date."""
-    days, leaps = F.split(F.lit(",".join(LATE_DAYS)), ","), F.split(F.lit(",".join(map(str, LEAP_YEARS))), ",").cast("array<int>")
-    n, rest = F.lit(len(LATE_DAYS)).cast("long"), F.lit(len(LEAP_YEARS)).cast("long")
+    return let(run, year=F.year(day), month=F.month(day), day=F.day(day), of_year=F.dayofyear(day))
 
-    def run(head: Column, year: Column) -> Column:
-        def late(p: Column) -> Column:
-            return F.concat(F.element_at(days, (p % n + 1).cast("int")), F.lit("/"), F.lpad((year - year % 100 + F.floor(p / n)).cast("string"), 4, "0"))
 
-        place = (year % 100) * n + F.array_position(days, head) - 1
-        leap = feistel(F.array_position(leaps, (year % 400).cast("int")) - 1, F.lit(1).cast("long"), rest, key, "leap day")
-        leap_year = year - year % 400 + F.element_at(leaps, (leap + 1).cast("int"))
-        return F.when(head == "29/02", F.concat(F.lit("29/02/"), F.lpad(leap_year.cast("string"), 4, "0"))).otherwise(
-            let(late, p=feistel(place, F.lit(100).cast("long"), n, key, "late day"))
-        )
+def _date(value: Column, key: str | Column) -> Column:
+    def written(day: Column) -> Column:
+        slashed = F.when(F.substring(value, 1, 2) > str(EARLY), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+        return F.when(value.contains("."), F.date_format(day, "dd.MM.yyyy")).when(value.contains("/"), slashed).otherwise(F.date_format(day, "yyyy-MM-dd"))
 
-    return let(run, head=F.substring(value, 1, 5), year=F.substring(value, 7, 4).cast("long"))
+    return let(written, day=let(lambda day: _moved_day(day, key), day=_day(value)))
 
 
 def _permuted_block(block: Column, key: str | Column) -> Column:
@@ -304,7 +329,7 @@ def kind_of(value: Column) -> Column:
     ssn = ~F.substring(value, 1, 3).isin("000", "666") & (F.substring(value, 1, 1) != "9") & (F.substring(value, 5, 2) != "00") & (F.substring(value, 8, 4) != "0000")
     return (
         F.when(value.contains("@"), F.lit("email"))
-        .when(_whole(value, DATE), F.when(_day(value).isNotNull() | _day_first(value), F.lit("date")))
+        .when(_whole(value, DATE), F.when(_day(value).isNotNull(), F.lit("date")))
         .when(_whole(value, SSN), F.when(ssn, F.lit("ssn")))
         .when(_whole(value, PHONE), F.lit("phone"))
         .when(_whole(value, CARD), F.when(card, F.lit("card")))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from skerry.llm import brown, chat, decontamination, divergence, exact_dedup, importance, licenses, matroska, mixing, packing, pseudonyms, quality, simhash
 
 TOKENIZER = "word_bpe_49k.json"
-#: The setting that holds the secret of pseudonyms.
-PSEUDONYM_KEY = "spark.skerry.pseudonym.key"
+#: The setting that holds the secret of pseudonyms, and what stands in for it where it is unset; anyone can invert the latter's.
+PSEUDONYM_KEY, PUBLIC_KEY = "spark.skerry.pseudonym.key", "key of a demonstration"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +50,11 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonyms.findings(_documents(spark, sf_dir), spark.conf.get(PSEUDONYM_KEY, "key of a demonstration"))
+    """``secret`` says whether the key was a secret one, or the public one that hides nothing."""
+    key = spark.conf.get(PSEUDONYM_KEY, PUBLIC_KEY)
+    found = pseudonyms.findings(_documents(spark, sf_dir), key)
     kinds = F.array_join(F.array_sort(F.array_distinct("found.kind")), ",")
-    return found.select("doc_id", F.size("found").cast("long").alias("n_found"), kinds.alias("kinds"), "text")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_found"), kinds.alias("kinds"), "text", F.lit(key != PUBLIC_KEY).alias("secret"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,7 +332,7 @@ def test_pseudonyms_stay_valid(spark):
     rng = random.Random(12)
     days = [datetime.date.fromordinal(rng.choice([rng.randint(1, 693_595), rng.randint(693_596, 766_495), rng.randint(766_496, 3_652_059)])) for _ in range(400)]
     days += [datetime.date(1, 1, 1), datetime.date(9999, 12, 31), datetime.date(1900, 1, 1), datetime.date(1899, 12, 31), datetime.date(2099, 8, 5), datetime.date(2099, 8, 6), datetime.date(9883, 9, 28)]
-    late = [d for d in days if d.day > 12 and d.year >= 400] + [datetime.date(y, 2, 29) for y in (400, 1600, 1604, 2000, 2024, 9996)]
+    late = [d for d in days if d.day > 12] + [datetime.date(y, 2, 29) for y in (4, 400, 1600, 1604, 2000, 2024, 9996)]
     values = {f"{d.year:04d}-{d.month:02d}-{d.day:02d}" for d in days} | {f"{d.day:02d}.{d.month:02d}.{d.year:04d}" for d in days}
     values |= {f"{d.month:02d}/{d.day:02d}/{d.year:04d}" for d in days} | {f"{d.day:02d}/{d.month:02d}/{d.year:04d}" for d in late}
     values |= {f"{rng.choice([*range(1, 666), *range(667, 900)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(600)} | {"001-01-0001", "899-99-9999", "667-01-0001", "665-99-9999"}
@@ -355,16 +355,34 @@ def test_pseudonyms_stay_valid(spark):
 
 
 def test_small_feistel_domains(spark):
-    """All of a domain, in and out: leap days, late days, padded octets."""
-    leap = {f"29/02/{y}" for y in range(2000, 2400) if y % 4 == 0 and y % 100 or y % 400 == 0}
-    late = {f"{d}/{1900 + y}" for d in pseudonyms.LATE_DAYS for y in range(100)}
+    """All of a domain, in and out: days of a span up to the 12th and later ones, padded octets."""
+    first, last = datetime.date(pseudonyms.YEARS[1], 1, 1), datetime.date(pseudonyms.YEARS[2] - 1, 12, 31)
+    days = [datetime.date.fromordinal(k) for k in range(first.toordinal(), last.toordinal() + 1)]
+    late, early = ({f"{d:%d/%m/%Y}" for d in days if (d.day > 12) == after} for after in (True, False))
     padded = {f"{a:02d}.0{b:02d}.7.{c}" for a in range(10) for b in range(0, 100, 9) for c in (0, 9, 255)}
-    for values, closed in ((leap, True), (late, True), (padded, False)):
+    for values, closed in ((late, True), (early, True), (padded, False)):
         table = spark.createDataFrame([(v,) for v in sorted(values)], "v string").repartition(4)
         got = {r["p"] for r in table.select(pseudonyms.pseudonym(F.col("v"), pseudonyms.kind_of(F.col("v")), "k").alias("p")).collect()}
         assert got == values if closed else len(got) == len(values) and all(re.fullmatch(r"0\d\.0\d\d\.\d+\.\d+", p) for p in got)
 
 
+def test_one_day_in_all_notations(spark):
+    """A day has one pseudonym, whatever its notation; numbers of days and their days, over all years."""
+    rng = random.Random(8)
+    days = [datetime.date.fromordinal(rng.randint(1, 3_652_059)) for _ in range(500)] + [datetime.date(2024, 12, 25), datetime.date(2024, 6, 5), datetime.date(1, 1, 1), datetime.date(9999, 12, 31)]
+    days += [datetime.date(y, m, d) for y in (4, 1900, 1901, 2000, 2095, 2096, 2100, 9996) for m, d in ((1, 12), (1, 13), (2, 28), (3, 13), (12, 31))]
+    forms = {"%Y-%m-%d": "{0.year:04d}-{0.month:02d}-{0.day:02d}", "%d.%m.%Y": "{0.day:02d}.{0.month:02d}.{0.year:04d}", "%m/%d/%Y": "{0.month:02d}/{0.day:02d}/{0.year:04d}", "%d/%m/%Y": "{0.day:02d}/{0.month:02d}/{0.year:04d}"}
+    asked = [(d.isoformat(), form, written.format(d)) for d in set(days) for form, written in forms.items() if form != "%d/%m/%Y" or d.day > 12]
+    table = spark.createDataFrame(asked, "day string, form string, v string").repartition(4)
+    got = {}
+    for r in table.select("day", "form", pseudonyms.pseudonym(F.col("v"), F.lit("date"), "k").alias("p")).collect():
+        got.setdefault(r["day"], set()).add(datetime.datetime.strptime(r["p"], r["form"]).date())
+    assert len(got) == len(set(days)) and all(len(g) == 1 for g in got.values())
+    for day, (new,) in got.items():
+        span = [sum(y <= int(d[:4]) for y in pseudonyms.YEARS) for d in (day, f"{new.year:04d}")]
+        assert span[0] == span[1] and (int(day[8:]) > 12) == (new.day > 12)
+
+
 def test_pseudonyms_of_long_and_repeated_rows(spark):
     """Long texts, repeated rows, texts with the mark itself; the key isn't in the plan."""
     long = "word 12 " * 30_000 + "ssn 123-45-6789 " + "x" * 50_000 + " a.b@c.de"
