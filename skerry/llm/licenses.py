@@ -8,9 +8,11 @@ window.  A window that holds 0.8 of the template has a Jaccard similarity of at
 band meets with a probability of over 0.99999.  Retrieved templates are verified by exact shingle
 containment.
 
-Windows without any shingle of a template of their length can't hold one and aren't formed.  Documents
-with none of the words that every template shingle has at least one of are left before that.  The templates are a parameter, and their
-bands a broadcast table of templates x bands rows; ``MOST_TEMPLATES`` bounds it.
+Windows without any shingle of a template of their length can't hold one and aren't formed: the documents'
+shingles are joined to the templates', both as tables, so the plan doesn't grow with the templates.
+Documents with none of the words that every template shingle has at least one of are left before that.
+The templates are a parameter, and their bands a broadcast table of templates x bands rows;
+``MOST_TEMPLATES`` bounds it.
 
 Defined results: a null or empty text has no findings, nor has one with fewer words than any template or notice; a null
 identifier is kept; repeated rows give repeated findings; an empty table gives an empty result;
@@ -22,11 +24,11 @@ equal shares the first counts.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry import workspace
 from skerry.llm._columns import computed_once
 from skerry.llm.templates import NOTICES, TEMPLATES
 
@@ -34,6 +36,10 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 16
 MOST_TEMPLATES = 2_000
+#: Template shingles that may be broadcast, 16 bytes each; beyond that the join is shuffled.
+BROADCAST_SHINGLES = 1_000_000
+#: A search for more words than these costs more than hashing all documents.
+MOST_ANCHORS = 512
 
 
 def words_of(text: Column) -> Column:
@@ -51,33 +57,24 @@ def signature(shingles: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda j: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, j))))
 
 
-@dataclass(frozen=True)
-class _Length:
-    """The templates of one length."""
+def stride_of(n: Column) -> Column:
+    """From one window's start to the next, for templates of ``n`` shingles."""
+    return F.greatest(F.floor(n / 4), F.lit(1)).cast("int")
 
-    n: int
-    shingles: tuple[int, ...]
 
-    @property
-    def stride(self) -> int:
-        return max(1, self.n // 4)
+def window_of(n: Column) -> Column:
+    return (n + stride_of(n) - 1).cast("int")
 
-    @property
-    def window(self) -> int:
-        return self.n + self.stride - 1
 
-
-def _template_table(docs: DataFrame, templates: dict[str, str]) -> tuple[DataFrame, list[_Length]]:
+def _template_table(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """license, shingles (each once), n (with repeats)."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     if short := [name for name, text in templates.items() if len(re.findall(r"[^\W_]+", text)) < SHINGLE]:
         raise ValueError(f"templates with fewer than {SHINGLE} words: {short}")
     table = docs.sparkSession.createDataFrame(list(templates.items()), "license string, body string")
-    table = table.select("license", F.array_distinct(shingles_of(words_of(F.col("body")))).alias("shingles"), F.size(shingles_of(words_of(F.col("body")))).alias("n"))
-    lengths: dict[int, set[int]] = {}
-    for row in table.collect():  # MOST_TEMPLATES rows at most
-        lengths.setdefault(row["n"], set()).update(row["shingles"])
-    return table, [_Length(n, tuple(sorted(s))) for n, s in sorted(lengths.items())]
+    shingles = shingles_of(words_of(F.col("body")))
+    return table.select("license", F.array_distinct(shingles).alias("shingles"), F.size(shingles).alias("n"))
 
 
 def anchors(templates: dict[str, str]) -> list[str]:
@@ -128,31 +125,28 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, notices: dic
         notices = NOTICES if templates is TEMPLATES else {}
     if len(templates) + len(notices) > MOST_TEMPLATES or set(templates) & set(notices):
         raise ValueError(f"more than {MOST_TEMPLATES} templates and notices, or a name in both")
-    table, lengths = _template_table(docs, templates)
-    every = sorted({s for length in lengths for s in length.shingles})
+    table = _template_table(docs, templates)
+    rows = docs
     # A document with a template's shingle has one of the anchors: the others needn't be hashed.
-    word = "|".join(re.escape(w) for w in anchors(templates))
-    lower = F.lower(F.col(text_col))
-    rows = docs.filter(lower.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{word})(?![\p{{L}}\p{{N}}])"))
+    if len(words := anchors(templates)) <= MOST_ANCHORS:
+        word = "|".join(re.escape(w) for w in words)
+        rows = rows.filter(F.lower(F.col(text_col)).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{word})(?![\p{{L}}\p{{N}}])"))
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = computed_once(computed_once(rows, words=words_of(F.col("text"))), all=shingles_of(F.col("words")))
-    hit = F.filter(F.transform("all", lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda h: h["s"].isin(every))
-    rows = computed_once(rows.select("doc_id", "row", "all"), hits=hit)
-
-    def starts(length: _Length) -> Column:
-        """Structs of (n, first shingle, window) for the windows that hold a shingle of these templates."""
-        places = F.filter("hits", lambda h: h["s"].isin(list(length.shingles)))
-        number = F.array_distinct(F.flatten(F.transform(places, lambda h: F.sequence(
-            F.greatest(F.ceil((h["i"] - length.window + 1) / length.stride).cast("int"), F.lit(0)), F.floor(h["i"] / length.stride).cast("int")
-        ))))
-        return F.transform(number, lambda k: F.struct(
-            F.lit(length.n).alias("n"), (k * length.stride).alias("first"), F.slice("all", k * length.stride + 1, F.lit(length.window)).alias("window")
-        ))
-
-    windows = rows.select("doc_id", "row", F.explode(F.concat(*[starts(length) for length in lengths])).alias("w")).select("doc_id", "row", "w.*")
+    # Written once: the places of template shingles and the windows around them come of the same rows.
+    rows = workspace.materialize(rows.select("doc_id", "row", "all").filter(F.size("all") > 0), "license-rows")
+
+    wanted = table.select("n", F.explode("shingles").alias("s")).distinct()
+    places = rows.select("row", F.posexplode("all").alias("i", "s"))
+    places = places.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_SHINGLES else wanted, "s")
+    stride, window = stride_of(F.col("n")), window_of(F.col("n"))
+    first = F.greatest(F.ceil((F.col("i") - window + 1) / stride).cast("int"), F.lit(0))
+    starts = places.select("row", "n", F.explode(F.sequence(first, F.floor(F.col("i") / stride).cast("int"))).alias("k")).distinct()
+    start = F.col("k") * stride
+    windows = starts.join(rows, "row").select("doc_id", "row", "n", start.alias("first"), F.slice("all", start + 1, window).alias("window"))
     windows = windows.select("*", F.posexplode(signature(F.col("window"), bands)).alias("band", "least"))
-    wanted = table.select("license", "shingles", "n", F.posexplode(signature(F.col("shingles"), bands)).alias("band", "least"))
-    found = windows.join(F.broadcast(wanted), ["n", "band", "least"])
+    bands_of = table.select("license", "shingles", "n", F.posexplode(signature(F.col("shingles"), bands)).alias("band", "least"))
+    found = windows.join(F.broadcast(bands_of), ["n", "band", "least"])
     share = F.size(F.array_intersect("shingles", "window")) / F.size("shingles")
     found = found.select("doc_id", "row", "license", "first", share.alias("containment")).filter(F.col("containment") >= containment)
     best = F.max(F.struct(F.col("containment"), (-F.col("first")).alias("neg")))

@@ -153,6 +153,21 @@ def test_licenses_against_brute_force(spark):
     assert len(want) > 150 and got == want
 
 
+def test_many_license_templates(spark, monkeypatch):
+    """More templates than words are searched for: found all the same, by a broadcast and by a shuffled join, and no plan grows with them."""
+    rng = random.Random(5)
+    templates = {f"t{k}": " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(6, 40))) for k in range(900)}
+    assert len(licenses.anchors(templates)) > licenses.MOST_ANCHORS
+    data = [(k, f"before it {templates[f't{k * 7}']} after") for k in range(100)] + [(200, "nothing of them"), (201, None)]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for bound in (licenses.BROADCAST_SHINGLES, 0):
+        monkeypatch.setattr(licenses, "BROADCAST_SHINGLES", bound)
+        found = licenses.scan(table, templates)
+        assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+        got = {(r["doc_id"], r["license"]) for r in found.collect() if r["containment"] == 1}
+        assert got >= {(k, f"t{k * 7}") for k in range(100)} and {d for d, _ in got} == set(range(100))
+
+
 # --- mixing -----------------------------------------------------------------------------------------
 
 
