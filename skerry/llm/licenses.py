@@ -9,7 +9,8 @@ band meets with a probability of over 0.99999.  Retrieved templates are verified
 containment.
 
 Windows without any shingle of a template of their length can't hold one and aren't formed: the documents'
-shingles are joined to the templates', both as tables, so the plan doesn't grow with the templates.
+shingles are joined to the templates', both as tables, so the plan doesn't grow with the templates.  Only
+the numbers of windows are written for that; a second pass forms them in the documents that have any.
 Documents with none of the words that every template shingle has at least one of are left before that.
 The templates are a parameter, and their bands a broadcast table of templates x bands rows;
 ``MOST_TEMPLATES`` bounds it.
@@ -38,6 +39,8 @@ BANDS = 16
 MOST_TEMPLATES = 2_000
 #: Template shingles that may be broadcast, 16 bytes each; beyond that the join is shuffled.
 BROADCAST_SHINGLES = 1_000_000
+#: Windows and texts around template shingles that may be broadcast, 32 bytes each at most.
+BROADCAST_STARTS = 500_000
 #: A search for more words than these costs more than hashing all documents.
 MOST_ANCHORS = 512
 
@@ -115,6 +118,24 @@ def _notices(docs: DataFrame, notices: dict[str, str], id_col: str, text_col: st
     return rows.select("doc_id", "license", F.lit(1.0).alias("containment"), (F.get("places", F.lit(0)) - 1).cast("long").alias("first_word"), F.size("places").cast("long").alias("n_windows"))
 
 
+def _starts(rows: DataFrame, table: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, starts): numbers of the windows around template shingles, by text key; and whether all of it may be broadcast.
+
+    The key is a hash of the text.  Texts that shared one would get each other's windows, too, which hold
+    no template: they change nothing.
+    """
+    wanted = table.select("n", F.explode("shingles").alias("s")).distinct()
+    places = computed_once(rows.select("key", "text"), words=words_of(F.col("text"))).select("key", F.posexplode(shingles_of(F.col("words"))).alias("i", "s"))
+    places = places.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_SHINGLES else wanted, "s")
+    stride = stride_of(F.col("n"))
+    first = F.greatest(F.ceil((F.col("i") - window_of(F.col("n")) + 1) / stride).cast("int"), F.lit(0))
+    starts = places.select("key", "n", F.explode(F.sequence(first, F.floor(F.col("i") / stride).cast("int"))).alias("k"))
+    # A group holds some of the windows of one text.
+    starts = workspace.materialize(starts.groupBy("key").agg(F.collect_set(F.struct("n", "k")).alias("starts")), "license-starts")
+    size = starts.agg(F.coalesce(F.sum(F.size("starts") + 1), F.lit(0))).first()[0]
+    return starts, size <= BROADCAST_STARTS
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, notices: dict[str, str] | None = None, containment: float = CONTAINMENT, bands: int = BANDS, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, license, containment, first_word, n_windows: one row per document row and template found in it.
 
@@ -131,19 +152,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, notices: dic
     if len(words := anchors(templates)) <= MOST_ANCHORS:
         word = "|".join(re.escape(w) for w in words)
         rows = rows.filter(F.lower(F.col(text_col)).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{word})(?![\p{{L}}\p{{N}}])"))
-    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = computed_once(computed_once(rows, words=words_of(F.col("text"))), all=shingles_of(F.col("words")))
-    # Written once: the places of template shingles and the windows around them come of the same rows.
-    rows = workspace.materialize(rows.select("doc_id", "row", "all").filter(F.size("all") > 0), "license-rows")
-
-    wanted = table.select("n", F.explode("shingles").alias("s")).distinct()
-    places = rows.select("row", F.posexplode("all").alias("i", "s"))
-    places = places.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_SHINGLES else wanted, "s")
-    stride, window = stride_of(F.col("n")), window_of(F.col("n"))
-    first = F.greatest(F.ceil((F.col("i") - window + 1) / stride).cast("int"), F.lit(0))
-    starts = places.select("row", "n", F.explode(F.sequence(first, F.floor(F.col("i") / stride).cast("int"))).alias("k")).distinct()
-    start = F.col("k") * stride
-    windows = starts.join(rows, "row").select("doc_id", "row", "n", start.alias("first"), F.slice("all", start + 1, window).alias("window"))
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    starts, small = _starts(rows, table)
+    rows = rows.join(F.broadcast(starts) if small else starts, "key").withColumn("row", F.monotonically_increasing_id())
+    rows = computed_once(computed_once(rows, words=words_of(F.col("text"))), all=shingles_of(F.col("words"))).select("doc_id", "row", "all", "starts")
+    start = F.col("s.k") * stride_of(F.col("s.n"))
+    windows = rows.select("doc_id", "row", "all", F.explode("starts").alias("s"))
+    windows = windows.select("doc_id", "row", F.col("s.n").alias("n"), start.alias("first"), F.slice("all", start + 1, window_of(F.col("s.n"))).alias("window"))
     windows = windows.select("*", F.posexplode(signature(F.col("window"), bands)).alias("band", "least"))
     bands_of = table.select("license", "shingles", "n", F.posexplode(signature(F.col("shingles"), bands)).alias("band", "least"))
     found = windows.join(F.broadcast(bands_of), ["n", "band", "least"])

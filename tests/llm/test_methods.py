@@ -162,6 +162,7 @@ def test_many_license_templates(spark, monkeypatch):
     table = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     for bound in (licenses.BROADCAST_SHINGLES, 0):
         monkeypatch.setattr(licenses, "BROADCAST_SHINGLES", bound)
+        monkeypatch.setattr(licenses, "BROADCAST_STARTS", bound)
         found = licenses.scan(table, templates)
         assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
         got = {(r["doc_id"], r["license"]) for r in found.collect() if r["containment"] == 1}
