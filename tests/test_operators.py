@@ -280,6 +280,22 @@ def test_two_judges(spark, tmp_path):
         models.probe(lambda texts: [[]])
 
 
+def test_readings_of_growing_answers_are_kept_apart(spark, tmp_path):
+    """With more partitions than buckets answers are shuffled; a reused shuffle would have the first judge's answers only."""
+    names = {"spark.sql.shuffle.partitions": "20", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        rows = spark.createDataFrame([("q", t) for t in "abcd"], "question string, content string")
+        calls = tuple(lambda system, user, yes=yes: ('{"relevant": %d}' % (user[2:] in yes), 1, 1) for yes in ("ab", "ac", "c"))
+        got = models.judge_twice(rows, "{question} {chunk}", str(tmp_path / "cache"), ("A", "B", "C"), calls).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {r["content"]: (r["judge_a"], r["judge_b"], r["final"]) for r in got} == {"a": (True, True, True), "b": (True, False, False), "c": (False, True, True), "d": (False, False, False)}
+
+
 def test_experiment(spark):
     texts = ["red apple pie", "green apple", "blue whale song", "whale watching tour", "stone bridge"]
     chunks = spark.createDataFrame([(k, t, t + "\nWhat is it?") for k, t in enumerate(texts)], "item_id long, content string, enriched string")
