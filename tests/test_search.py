@@ -136,3 +136,19 @@ def test_overlapping_groups_without_rows_from_python(spark):
     assert "ExistingRDD" not in plan and "Generate" not in plan.split("Expand")[-1]
     got = {r["group_name"]: (r["n"], r["n_agree"], r["n_disagree"]) for r in report.collect()}
     assert got == {"overall": (3, 1, 1), "disagreements": (1, 0, 1), "agreements": (2, 1, 0), "disagree": (1, 0, 1), "agree_rel": (2, 1, 0), "agree_not": (0, 0, 0)}
+
+
+def test_more_than_a_few_queries_are_matrix_products_with_the_same_bits(spark, monkeypatch):
+    numbers = np.random.default_rng(5).normal(size=(60, 24)).tolist()
+    items = spark.createDataFrame([(k, numbers[k % 60]) for k in range(180)], "item_id long, vector array<double>")  # each three times
+    queries = items.filter("item_id < 80").withColumnRenamed("item_id", "query_id")
+
+    def found():
+        rows = vector_search.topk_native(queries, items, 5, True)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        return "NestedLoopJoin" in plan or "CartesianProduct" in plan, sorted(map(tuple, rows.select("query_id", "rank", "item_id", "score").collect()))
+
+    by_products, mine = found()
+    monkeypatch.setattr(vector_search, "NATIVE_QUERIES", 1000)
+    by_pairs, theirs = found()
+    assert not by_products and by_pairs and mine == theirs
