@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from skerry.functions import text as tx
 from skerry.schemas import ARTICLE
 
 #: Elements whose content isn't text of a section; what follows them is.
 SKIPPED = ("table-wrap", "fig")
+#: Files whose records are in memory at once.
+PIECE_BYTES = 1 << 20
 _RAW_DATE = "year string, month string, day string, free string"
 
 
@@ -105,19 +108,43 @@ def read_articles(spark: SparkSession, folder: str) -> DataFrame:
     return parse_files(files)
 
 
+def in_pieces(of: Callable[[str, bytes], list[dict]], schema: pa.Schema):
+    """The rows that ``of`` finds in each file (path, content) of Arrow batches.
+
+    Rows go on as soon as they come of PIECE_BYTES of files, so a task holds the records of few files, or of one
+    large file, at a time; the files themselves come in batches whose bytes Spark bounds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                raw = content.as_py()
+                rows += of(path.as_py(), raw)
+                size += len(raw)
+                if size >= PIECE_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
+
+
+def _read_files(files: DataFrame, of: Callable[[str, bytes], list[dict]], result: str) -> DataFrame:
+    return files.select("path", "content").mapInArrow(in_pieces(of, to_arrow_schema(StructType.fromDDL(result))), result)
+
+
 def bundle_articles(files: DataFrame) -> DataFrame:
     """(path, content: binary) to path, at, pmcid, content, error: the articles of bundles; a malformed bundle is one row with its error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows = [(path, k, number, markup.encode(), None) for k, (number, markup) in enumerate(split_bundle(bytes(content)))]
-                except ET.ParseError as error:
-                    rows = [(path, 0, None, None, str(error))]
-                yield pd.DataFrame(rows, columns=["path", "at", "pmcid", "content", "error"])
+    def of(path: str, raw: bytes) -> list[dict]:
+        try:
+            return [{"path": path, "at": k, "pmcid": number, "content": markup.encode()} for k, (number, markup) in enumerate(split_bundle(raw))]
+        except ET.ParseError as error:
+            return [{"path": path, "at": 0, "error": str(error)}]
 
-    return files.select("path", "content").mapInPandas(run, "path string, at int, pmcid string, content binary, error string")
+    return _read_files(files, of, "path string, at int, pmcid string, content binary, error string")
 
 
 _PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
@@ -163,20 +190,14 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 def parse_files(files: DataFrame) -> DataFrame:
     """(path, content: binary) to path, error, article columns."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    record = parse_article(bytes(content))
-                    record |= {k: [{"title": t, "text": x} for t, x in record[k]] for k in ("abstract", "body")}
-                    rows.append({"path": path, "error": None, **record})
-                except (ValueError, ET.ParseError) as error:
-                    rows.append({"path": path, "error": str(error)})
-            names = ["path", "error", *[f.split()[0] for f in ("pmid", "pmcid", "doi", "title", "journal", "authors", "abstract", "body")]]
-            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
+    def of(path: str, raw: bytes) -> list[dict]:
+        try:
+            record = parse_article(raw)
+            return [{"path": path, **record, **{k: [{"title": t, "text": x} for t, x in record[k]] for k in ("abstract", "body")}}]
+        except (ValueError, ET.ParseError) as error:
+            return [{"path": path, "error": str(error)}]
 
-    return files.mapInPandas(run, f"path string, error string, {ARTICLE}")
+    return _read_files(files, of, f"path string, error string, {ARTICLE}")
 
 
 def corpus(parsed: DataFrame) -> DataFrame:
@@ -209,15 +230,12 @@ def parse_citations(raw: bytes) -> list[dict]:
 
 def read_citations(files: DataFrame) -> DataFrame:
     """(content: binary, and path, if there) to pmid, mesh_terms, published_at, path, at (the place in the file)."""
-    names = ["path", "at", "pmid", "mesh_terms", "year", "month", "day", "free"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [{"path": p, "at": k, **r} for p, c in zip(batch["path"], batch["content"]) for k, r in enumerate(parse_citations(bytes(c)))]
-            yield pd.DataFrame(rows, columns=names)
+    def of(path: str, raw: bytes) -> list[dict]:
+        return [{"path": path, "at": k, **record} for k, record in enumerate(parse_citations(raw))]
 
     path = F.col("path") if "path" in files.columns else F.lit("").alias("path")
-    rows = files.select(path, "content").mapInPandas(run, f"path string, at int, pmid string, mesh_terms array<string>, {_RAW_DATE}")
+    rows = _read_files(files.select(path, "content"), of, f"path string, at int, pmid string, mesh_terms array<string>, {_RAW_DATE}")
     return rows.select("pmid", "mesh_terms", tx.partial_date(F.col("year"), F.col("month"), F.col("day"), F.col("free")).alias("published_at"), "path", "at")
 
 

@@ -6,6 +6,7 @@ import threading
 import urllib.parse
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,18 @@ def test_bundles_in_splits(spark, tmp_path, split):
     assert f"é{7}" in bytes(a[7]["content"]).decode() or "&#233;7" in bytes(a[7]["content"]).decode()
     b = [(r["pmcid"], r["error"] is None) for r in rows if r["path"].endswith("b.xml")]
     assert b == [("900", True), (None, False)]
+
+
+def test_records_go_on_before_all_files_of_a_batch_are_read(monkeypatch):
+    """The rows of few files are in memory at once, and a task that stops early has read no further."""
+    monkeypatch.setattr(articles, "PIECE_BYTES", 8)
+    read = []
+
+    def of(path, raw):
+        read.append(path)
+        return [{"path": path, "n": k} for k in range(3)]
+
+    batch = pa.RecordBatch.from_pydict({"path": list("abcde"), "content": [b"12345"] * 5})
+    parts = articles.in_pieces(of, pa.schema([("path", pa.string()), ("n", pa.int32())]))(iter([batch]))
+    assert next(parts).num_rows == 6 and read == ["a", "b"]
+    assert [part.num_rows for part in parts] == [6, 3] and read == list("abcde")
