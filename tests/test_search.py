@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,14 @@ def test_more_than_a_few_queries_are_matrix_products_with_the_same_bits(spark, m
     monkeypatch.setattr(vector_search, "NATIVE_QUERIES", 1000)
     by_pairs, theirs = found()
     assert not by_products and by_pairs and mine == theirs
+
+
+def test_embedded_texts_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(vector_search, "EMBEDDED_BYTES", 10)
+    monkeypatch.setattr(vector_search, "EMBEDDED_ROWS", 3)
+    texts = ["a b", "", "long é text of more bytes", "c d e f", "g h", "", "", "", "i"]
+    batch = pa.RecordBatch.from_pydict({"item_id": list(range(len(texts))), "text": texts})
+    parts = [part.column("text").to_pylist() for part in vector_search._slices(batch.slice(0))]
+    assert parts == [["a b", ""], ["long é text of more bytes"], ["c d e f", "g h", ""], ["", "", "i"]]
+    got = [part.column("vector").to_pylist() for part in vector_search._counted(iter([batch]))]
+    assert [sum(v) for part in got for v in part] == [2, 0, 6, 4, 2, 0, 0, 0, 1] and list(map(len, got)) == [2, 1, 3, 3]
