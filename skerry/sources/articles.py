@@ -147,7 +147,20 @@ def bundle_articles(files: DataFrame) -> DataFrame:
     return _read_files(files, of, "path string, at int, pmcid string, content binary, error string")
 
 
-_PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+_COLON = re.compile(r":[A-Za-z_]")
+
+
+def _prefixes(markup: str) -> set[str]:
+    """All that ``[<\\s/]([A-Za-z_][\\w.-]*):[A-Za-z_]`` finds; colons are fewer than words, so names are read back from these."""
+    out = set()
+    for colon in _COLON.finditer(markup):
+        end = start = colon.start()
+        while start and (markup[start - 1].isalnum() or markup[start - 1] in "_.-"):
+            start -= 1
+        before, first = markup[start - 1 : start], markup[start]
+        if start < end and (before in ("<", "/") or before.isspace()) and first.isascii() and (first.isalpha() or first == "_"):
+            out.add(markup[start:end])
+    return out
 
 
 def _single(piece: str) -> tuple[str | None, str | None, bytes | None]:
@@ -156,7 +169,7 @@ def _single(piece: str) -> tuple[str | None, str | None, bytes | None]:
     if begin is None:
         return None, "no article begins here", None
     markup = piece[begin.start() :] + "</article>"
-    prefixes = {p for p in _PREFIX.findall(markup) if p not in ("xml", "xmlns") and f"xmlns:{p}=" not in markup}
+    prefixes = {p for p in _prefixes(markup) if p not in ("xml", "xmlns") and f"xmlns:{p}=" not in markup}
     names = "".join(f' xmlns:{p}="urn:{p}"' for p in sorted(prefixes))
     try:
         article = ET.fromstring(f"<article{names}{markup[len('<article') :]}")
@@ -165,26 +178,42 @@ def _single(piece: str) -> tuple[str | None, str | None, bytes | None]:
     return _identifier(article, "pmc", "pmcid"), None, ET.tostring(article)
 
 
+def _single_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, place, piece) to (path, place, pmcid, content, error): rows go on as soon as they come of PIECE_BYTES of pieces."""
+
+    def batch_of(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        rows, numbers, errors, markups = zip(*found)
+        own = batch.take(pa.array(rows))
+        columns = [own.column("path"), own.column("place"), pa.array(numbers, pa.string()), pa.array(markups, pa.binary()), pa.array(errors, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "place", "pmcid", "content", "error"])
+
+    for batch in batches:
+        keys, found, size = batch.select(["path", "place"]), [], 0
+        for k, piece in enumerate(batch.column("piece")):
+            piece = piece.as_py()
+            number, error, markup = _single(piece)
+            if number or error:
+                found.append((k, number, error, markup))
+            size += len(piece)
+            if size >= PIECE_BYTES and found:
+                yield batch_of(keys, found)
+                found, size = [], 0
+        if found:
+            yield batch_of(keys, found)
+
+
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     """path, place, pmcid, content, error: one row per article of the bundles (UTF-8) that has an identifier, or that can't be parsed.
 
-    A bundle is read in splits, up to the end of each article, so a task holds one article at a time,
-    however large the bundle; one that is malformed doesn't cost the others.  What stands in the root itself
-    isn't looked at.  The order of ``place`` (split, row) is that of the articles in their file.
+    A bundle is read in splits, up to the end of each article, so a task holds PIECE_BYTES of articles, or one
+    larger article, at a time, however large the bundle; one that is malformed doesn't cost the others.  What
+    stands in the root itself isn't looked at.  The order of ``place`` (split, row) is that of the articles in their file.
     """
     rows = spark.read.option("lineSep", "</article>").text(path)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     pieces = rows.filter(F.col("value").rlike(r"<article[\s>]")).select(F.col("_metadata.file_path").alias("path"), place.alias("place"), F.col("value").alias("piece"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                number, error, markup = _single(batch.column("piece")[k].as_py())
-                if number or error:
-                    one = batch.slice(k, 1)
-                    yield pa.RecordBatch.from_arrays([one.column("path"), one.column("place"), pa.array([number], pa.string()), pa.array([markup], pa.binary()), pa.array([error], pa.string())], names=["path", "place", "pmcid", "content", "error"])
-
-    return pieces.mapInArrow(run, "path string, place struct<block:bigint,row:bigint>, pmcid string, content binary, error string")
+    return pieces.mapInArrow(_single_in_pieces, "path string, place struct<block:bigint,row:bigint>, pmcid string, content binary, error string")
 
 
 def parse_files(files: DataFrame) -> DataFrame:

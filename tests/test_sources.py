@@ -2,6 +2,7 @@ import http.server
 import json
 import os
 import random
+import re
 import threading
 import urllib.parse
 from collections import Counter
@@ -10,9 +11,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from skerry import workspace
 from skerry.config import Settings
 from skerry.functions import text as tx
 from skerry.operators import corpus, metrics, models, pooling, statistics, vector_search
+from skerry.plans import interchange
 from skerry.sources import articles, literature, tables
 
 
@@ -302,3 +305,37 @@ def test_records_go_on_before_all_files_of_a_batch_are_read(monkeypatch):
     parts = articles.in_pieces(of, pa.schema([("path", pa.string()), ("n", pa.int32())]))(iter([batch]))
     assert next(parts).num_rows == 6 and read == ["a", "b"]
     assert [part.num_rows for part in parts] == [6, 3] and read == list("abcde")
+
+
+def test_articles_of_a_bundle_go_on_before_all_of_a_batch_are_parsed(monkeypatch):
+    """Few articles are in memory at once, and more than one leaves at a time."""
+    monkeypatch.setattr(articles, "PIECE_BYTES", 50)
+    read, single = [], articles._single
+    monkeypatch.setattr(articles, "_single", lambda piece: read.append(piece) or single(piece))
+    one = '<article><article-id pub-id-type="pmc">{}</article-id>{}'
+    pieces = [one.format(k, "<p>" if k == 3 else "") for k in range(5)] + ["<article>"]
+    batch = pa.RecordBatch.from_pydict({"path": ["a"] * 6, "place": [{"block": 0, "row": k} for k in range(6)], "piece": pieces})
+    parts = articles._single_in_pieces(iter([batch]))
+    assert next(parts).num_rows == 1 and len(read) == 1
+    monkeypatch.setattr(articles, "PIECE_BYTES", 100)
+    parts = list(articles._single_in_pieces(iter([batch])))
+    assert [p.num_rows for p in parts] == [2, 2, 1]
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [(r["place"]["row"], r["pmcid"], r["error"] is None) for r in rows] == [(0, "0", True), (1, "1", True), (2, "2", True), (3, None, False), (4, "4", True)]
+
+
+def test_prefixes_of_names():
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choices("<</  :::ab1_.-é\n=", k=30))
+        assert articles._prefixes(text) == set(re.findall(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]", text))
+
+
+def test_bundles_are_parsed_once(spark, monkeypatch):
+    """What is parsed is written; the three plans that read it don't parse anew."""
+    written, write = [], workspace.materialize
+    monkeypatch.setattr(workspace, "materialize", lambda rows, label: written.append(label) or write(rows, label))
+    rows = interchange.bundles_read(spark, "/root/testdata/sf0.001")
+    assert written == ["articles", "bodies"] and "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert rows.count() == docs and rows.filter("not parsed").count() == rows.filter("body_md5 is null").count() > 0
